@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import simhash, tokens
+from .storage import scratch
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -18,6 +19,20 @@ def op2_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, lanes=1, limit=2, key_bits=None)
 
 
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_ranked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all ``documents`` in doc_id order, read back: where each document starts, its length, its checksum."""
+    uri = scratch(spark, "op5")
+    tokens.write_token_files(table(spark, sf_dir, "documents"), uri, byte_bpe(), 2)
+    return tokens.digest_tokens(spark, uri)
+
+
 QUERIES = {
     "op2_simhash_gray_index": op2_simhash_gray_index,
+    "op5_ranked_token_files": op5_ranked_token_files,
 }
