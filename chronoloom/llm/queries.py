@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, tokens
+from . import simhash, tokens, toxicity
 from .storage import scratch
 
 ORACLE_SQL: dict[str, str] = {}
@@ -32,7 +32,13 @@ def op5_ranked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest_tokens(spark, uri)
 
 
+def op7_nb_scaled_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all ``documents``, learned from the labels that are not held out."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_simhash_gray_index": op2_simhash_gray_index,
     "op5_ranked_token_files": op5_ranked_token_files,
+    "op7_nb_scaled_toxicity": op7_nb_scaled_toxicity,
 }

@@ -31,7 +31,7 @@ LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2)[None, :] & 3).astype(np
 #: Space-delimited pieces remembered by a worker before it starts over.
 CACHE = 400_000
 #: White space besides the plain space and line feed.
-_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict = {}
 
