@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, tokens, toxicity
+from . import html_text, simhash, tokens, toxicity
 from .storage import scratch
 
 ORACLE_SQL: dict[str, str] = {}
@@ -37,8 +37,14 @@ def op7_nb_scaled_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all ``pages``."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_simhash_gray_index": op2_simhash_gray_index,
     "op5_ranked_token_files": op5_ranked_token_files,
     "op7_nb_scaled_toxicity": op7_nb_scaled_toxicity,
+    "op10_wrapper_induction": op10_wrapper_induction,
 }
