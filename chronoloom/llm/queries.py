@@ -3,22 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_text, simhash, tokens, toxicity
+from . import decontaminate, html_text, mixing, neighbours, pii, simhash, suffixes, tokens, toxicity, warc
 from .storage import scratch
 
-ORACLE_SQL: dict[str, str] = {}
+#: Key of the surrogates that the registered query draws; a real run keeps its own secret.
+PII_KEY = b"example key of the registered query"
+ORACLE_SQL: dict[str, str] = {
+    "op6_size_partitioned_minhash": decontaminate.ORACLE_SQL,
+    "op9_pfair_mixing": mixing.ORACLE_SQL,
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` with surrogates for personal data: (doc_id, text, n_replaced)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY).select("doc_id", "text", "n_replaced")
+
+
 def op2_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of ``documents`` whose 64-bit fingerprints of 3-word shingles link at 2 or fewer bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, lanes=1, limit=2, key_bits=None)
 
 
+def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all ``pages``, read back and assembled: one row for each capture."""
+    uri = scratch(spark, "op3")
+    warc.write_archives(table(spark, sf_dir, "pages"), uri)
+    return warc.digest_captures(spark, uri)
+
+
+def op4_columnwise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` without the bytes that strings of 400 bytes cover which also start elsewhere."""
+    made = suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def byte_bpe() -> str:
     import public_tokenizers
 
@@ -32,19 +57,42 @@ def op5_ranked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest_tokens(spark, uri)
 
 
+def op6_size_partitioned_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of ``benchmark`` of which ``documents`` hold 0.8 or more of the 5-word shingles."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_nb_scaled_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all ``documents``, learned from the labels that are not held out."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of all ``embeddings`` for each whose vec_id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of all ``documents`` in a mixture by the square roots of the sources' sizes."""
+    made = mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return made.select("doc_id", "source", *[F.col(f"mix_{c}").alias(c) for c in ("block", "release", "deadline", "slot", "place")])
+
+
 def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all ``pages``."""
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_simhash_gray_index": op2_simhash_gray_index,
+    "op3_warc_transactions": op3_warc_transactions,
+    "op4_columnwise_suffix_dedup": op4_columnwise_suffix_dedup,
     "op5_ranked_token_files": op5_ranked_token_files,
+    "op6_size_partitioned_minhash": op6_size_partitioned_minhash,
     "op7_nb_scaled_toxicity": op7_nb_scaled_toxicity,
+    "op8_collision_counting": op8_collision_counting,
+    "op9_pfair_mixing": op9_pfair_mixing,
     "op10_wrapper_induction": op10_wrapper_induction,
 }
