@@ -1,7 +1,512 @@
-"""Registered queries over the test tables, with their DuckDB text."""
+"""Registered queries over the test tables, with their DuckDB text.
+
+The tables play the model's parts: a user's events are a stream of packets (event_id the packet number, ts the arrival),
+orders and lineitem packets and samples, conversations a dense key set, embeddings fixed-width values. IDs in the
+docstrings are those of the operator inventory.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import canonical, scalars
+from .operators import catalog, chains, checks, folds, profile, verdict
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "packet_range_by_stream"
+STREAM = ["user_id"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function of the tables it names as arguments."""
+
+    def put(function: Callable) -> Callable:
+        tables = function.__code__.co_varnames[: function.__code__.co_argcount]
+        QUERIES[function.__name__] = lambda spark, sf_dir: function(*[table(spark, sf_dir, t) for t in tables])
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return put
+
+
+@query("""
+WITH s AS (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events)
+SELECT user_id, min(event_id) AS first_seq, max(event_id) AS last_seq, count(*) AS n_rows, bool_and(coalesce(step > 0, true)) AS increasing FROM s GROUP BY user_id
+""")
+def packet_range_by_stream(events):
+    """AGG-01, AGG-02, WIN-01: range of packet numbers of each stream in row order."""
+    return checks.packet_range(events, STREAM, "event_id", "event_id")
+
+
+@query("""
+SELECT user_id, event_id, value, before FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE value <= before
+""")
+def strictly_increasing_steps(events):
+    """WIN-01, WIN-05: rows whose value does not exceed the one before."""
+    return checks.not_increasing(events, STREAM, "event_id", "value").select("user_id", "event_id", "value", "before")
+
+
+@query("""
+WITH s AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+SELECT user_id, min(event_id) AS at, arg_min(before, event_id) AS before, arg_min(value, event_id) AS value FROM s WHERE value <= before GROUP BY user_id
+""")
+def first_violation(events):
+    """WIN-10, FLT-02: only the first such row of each stream."""
+    return checks.first_not_increasing(events, STREAM, "event_id", "value")
+
+
+@query("""
+SELECT user_id, before AS after, event_id - before - 1 AS missing FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_id - before > 1
+""")
+def sequence_gaps(events):
+    """Gaps of the packet counter; reported, never judged."""
+    return checks.sequence_gaps(events, STREAM, "event_id")
+
+
+@query("""
+WITH c AS (SELECT user_id, event_type, min(event_id) AS f, max(event_id) AS l, min(event_id) % 97 AS chunk_id FROM events GROUP BY user_id, event_type),
+o AS (SELECT *, lag(chunk_id) OVER (PARTITION BY user_id ORDER BY event_type) AS pc,
+  last_value(l IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pl FROM c)
+SELECT user_id, event_type, chunk_id, coalesce(chunk_id <= pc, false) AS id_order, coalesce(f <= pl, false) AS range_order FROM o WHERE coalesce(chunk_id <= pc, false) OR coalesce(f <= pl, false)
+""")
+def chain_order(events):
+    """WIN-02: chunks whose id or packet range does not come after the chunk before."""
+    chunks = events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("f"), F.max("event_id").alias("l"), (F.min("event_id") % 97).alias("chunk_id"))
+    return checks.chain_order(chunks, STREAM, "event_type", "chunk_id", "f", "l").select("user_id", "event_type", "chunk_id", "id_order", "range_order")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem ANTI JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderstatus <> 'F') USING (l_orderkey)")
+def orphan_children(lineitem, orders):
+    """JOIN-02, JOIN-03: child rows without a parent."""
+    parents = orders.where("o_orderstatus != 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return checks.orphans(lineitem.select("l_orderkey", "l_linenumber"), parents, ["l_orderkey"])
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, n AS parent_size FROM lineitem JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) USING (l_orderkey) WHERE l_linenumber - 1 >= n OR l_linenumber - 1 < 0
+""")
+def index_out_of_range(lineitem):
+    """JOIN-04, FLT-03: sample index outside 0..size-1 of its packet."""
+    sizes = lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    rows = lineitem.select("l_orderkey", "l_linenumber", (F.col("l_linenumber") - 1).alias("i"))
+    return checks.index_out_of_range(rows, sizes, ["l_orderkey"], "i", "n").select("l_orderkey", "l_linenumber", "parent_size")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_sample_keys(lineitem):
+    """AGG-05, SET-05: keys that occur more than once."""
+    return checks.duplicate_keys(lineitem, ["l_orderkey", "l_linenumber"])
+
+
+@query("""
+WITH p AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
+e AS (SELECT conv_id, unnest(range(0, n)) AS turn FROM p), a AS (SELECT conv_id, CASE WHEN turn % 7 = 6 THEN turn - 1 ELSE turn END AS turn FROM conversations WHERE turn % 5 <> 3),
+w AS (SELECT conv_id, turn, count(*) AS want FROM e GROUP BY ALL), h AS (SELECT conv_id, turn, count(*) AS have FROM a GROUP BY ALL)
+SELECT conv_id, turn, greatest(coalesce(want, 0) - coalesce(have, 0), 0) AS n_missing, greatest(coalesce(have, 0) - coalesce(want, 0), 0) AS n_extra
+FROM w FULL JOIN h USING (conv_id, turn) WHERE coalesce(want, 0) <> coalesce(have, 0)
+""")
+def dense_key_difference(conversations):
+    """JOIN-06, JOIN-07, SET-03, AGG-04: expected dense keys against the keys there, as multisets."""
+    sizes = conversations.groupBy("conv_id").agg(F.count("*").alias("n"))
+    actual = conversations.where("turn % 5 != 3").select("conv_id", F.expr("if(turn % 7 = 6, turn - 1, turn)").alias("turn"))
+    return checks.multiset_difference(checks.expected_dense_keys(sizes, ["conv_id"], "n", "turn"), actual, ["conv_id", "turn"])
+
+
+@query("""
+WITH w AS (SELECT o_orderkey, cast(sum(o_custkey % 5) AS BIGINT) AS expected FROM orders GROUP BY 1), h AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT o_orderkey, expected, coalesce(n, 0) AS actual FROM w LEFT JOIN h ON l_orderkey = o_orderkey WHERE expected <> coalesce(n, 0)
+""")
+def expected_row_totals(orders, lineitem):
+    """AGG-06: totals of declared sizes against rows."""
+    parents = orders.select("o_orderkey", (F.col("o_custkey") % 5).alias("n"))
+    return checks.row_totals(parents, lineitem.select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"], "n")
+
+
+@query("SELECT vec_id, cast(channel AS INTEGER) AS channel FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS channel FROM embeddings) WHERE channel >= 60 OR channel % 16 = 5")
+def channel_membership(embeddings):
+    """JOIN-05: samples of channels that the descriptor does not list."""
+    samples = embeddings.select("vec_id", F.posexplode("embedding").alias("channel", "value"))
+    channels = embeddings.sparkSession.range(60).where("id % 16 != 5").select(F.col("id").cast("int").alias("channel"))
+    return checks.membership(samples, channels, [], "channel").select("vec_id", "channel")
+
+
+@query("SELECT vec_id, cast(channel - 1 AS INTEGER) AS channel, cast(embedding[channel] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS channel FROM embeddings)")
+def dense_to_sparse(embeddings):
+    """PRJ-04: fixed-width values as one row a channel."""
+    return embeddings.select("vec_id", F.posexplode("embedding").alias("channel", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+@query("SELECT vec_id, len(embedding)::INTEGER AS width, embedding[1]::DOUBLE AS first_value, embedding[64]::DOUBLE AS last_value FROM embeddings")
+def sparse_to_dense(embeddings):
+    """PRJ-04 back: sparse samples gathered by channel; the result's ends and width."""
+    sparse = embeddings.select("vec_id", F.posexplode("embedding").alias("channel", "value"))
+    dense = sparse.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "value"))), lambda x: x["value"]).alias("v"))
+    return dense.select("vec_id", F.size("v").alias("width"), F.col("v")[0].cast("double").alias("first_value"), F.col("v")[63].cast("double").alias("last_value"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'right_only' END AS side FROM (SELECT doc_id FROM documents WHERE doc_id % 9 <> 4) d FULL JOIN labels l USING (doc_id) WHERE d.doc_id IS NULL OR l.doc_id IS NULL
+""")
+def two_way_presence(documents, labels):
+    """JOIN-10, JOIN-14, SET-02: keys on one side only."""
+    return checks.presence(documents.where("doc_id % 9 != 4"), labels, ["doc_id"])
+
+
+@query("""
+WITH s AS (SELECT url, md5(html) AS h FROM pages WHERE page_id % 11 <> 0), a AS (SELECT url, CASE WHEN page_id % 13 = 0 THEN 'x' ELSE md5(html) END AS h FROM pages WHERE page_id % 17 <> 0)
+SELECT url, CASE WHEN a.h IS NULL THEN 'missing' WHEN s.h IS NULL THEN 'unexpected' ELSE 'hash_mismatch' END AS problem FROM s FULL JOIN a USING (url) WHERE a.h IS DISTINCT FROM s.h
+""")
+def sealed_file_set(pages):
+    """JOIN-08, JOIN-09, JOIN-10, JOIN-15: listed digests against the files there."""
+    digest = F.md5(F.col("html").cast("binary"))
+    sealed = pages.where("page_id % 11 != 0").select("url", digest.alias("h"))
+    actual = pages.where("page_id % 17 != 0").select("url", F.when(F.col("page_id") % 13 == 0, "x").otherwise(digest).alias("h"))
+    return checks.sealed_mismatch(sealed, actual, ["url"], "h")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, o_orderstatus, o_orderkey IS NOT NULL AS matched FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_custkey % 10 <> 3) ON l_orderkey = o_orderkey
+""")
+def strict_payload_join(lineitem, orders):
+    """JOIN-01: join in which every left row must find its match."""
+    right = orders.where("o_custkey % 10 != 3").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    return checks.unmatched_strict(lineitem.select("l_orderkey", "l_linenumber"), right, ["l_orderkey"])
+
+
+@query("""
+WITH e AS (SELECT *, sha256(props) AS h FROM events), l AS (SELECT user_id, event_id, h, coalesce(lag(h) OVER (PARTITION BY user_id ORDER BY event_id), repeat('0', 64)) AS p FROM e)
+SELECT user_id, event_id, h AS sha256, p AS expected_prev FROM l
+""")
+def hash_chain(events):
+    """WIN-03, SCA-01, SCA-23: hash of each record and the hash it must name."""
+    return chains.link(events, STREAM, "event_id", "props").select("user_id", "event_id", "sha256", "expected_prev")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, sha256(props) AS h FROM events),
+l AS (SELECT user_id, event_id, coalesce(lag(h) OVER (PARTITION BY user_id ORDER BY event_id), repeat('0', 64)) AS want FROM e),
+b AS (SELECT *, CASE WHEN event_id % 41 = 7 THEN 'forged' ELSE want END AS prev FROM l),
+c AS (SELECT *, max(CASE WHEN prev <> want THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS broken FROM b)
+SELECT user_id, event_id FROM c WHERE broken = 0
+""")
+def chain_valid_prefix(events):
+    """WIN-03, WIN-04, SRC-09, SRC-14: records before the first break of a chain."""
+    linked = chains.link(events, STREAM, "event_id", "props")
+    prev = F.when(F.col("event_id") % 41 == 7, "forged").otherwise(F.col("expected_prev"))
+    marked = linked.withColumn("bad", prev != F.col("expected_prev"))
+    return chains.valid_prefix(marked, STREAM, "event_id", "bad").select("user_id", "event_id")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS n_bytes FROM documents")
+def content_hash(documents):
+    """SCA-01: SHA-256 and length in bytes of whole contents."""
+    body = F.col("text").cast("binary")
+    return documents.select("doc_id", F.sha2(body, 256).alias("sha256"), F.octet_length(body).cast("bigint").alias("n_bytes"))
+
+
+_OUTCOME = """CASE event_id % 4 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'ABORTED' WHEN 2 THEN 'TECHNICAL_FAILURE' ELSE 'UNCLASSIFIED' END"""
+_FROM = """CASE WHEN event_id % 3 = 0 THEN 'COMPLETED' WHEN event_id % 3 = 1 THEN 'UNCLASSIFIED' ELSE 'ABORTED' END"""
+
+
+@query(f"""
+WITH RECURSIVE a AS (SELECT user_id, event_id, {_FROM} AS f, {_OUTCOME} AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+  CASE WHEN user_id % 2 = 0 THEN 'COMPLETED' ELSE 'UNCLASSIFIED' END AS sealed FROM events),
+r AS (SELECT DISTINCT user_id, sealed, sealed AS outcome, cast(0 AS BIGINT) AS n, cast(0 AS BIGINT) AS accepted, cast(0 AS BIGINT) AS c, cast(0 AS BIGINT) AS s, cast(0 AS BIGINT) AS p FROM a
+  UNION ALL
+  SELECT r.user_id, r.sealed, CASE WHEN ok THEN t ELSE outcome END, r.n + 1, accepted + ok::BIGINT, c + (t = 'COMPLETED')::BIGINT, s + (t <> 'COMPLETED' AND f <> outcome)::BIGINT, p + (t <> 'COMPLETED' AND f = outcome AND NOT ok)::BIGINT
+  FROM r JOIN (SELECT * FROM a) a ON a.user_id = r.user_id AND a.n = r.n + 1,
+  LATERAL (SELECT t <> 'COMPLETED' AND f = outcome AND f IN ('COMPLETED', 'UNCLASSIFIED') AND t IN ('ABORTED', 'TECHNICAL_FAILURE') AS ok))
+SELECT user_id, sealed, outcome, accepted, c AS target_completed, s AS stale_from, p AS not_permitted FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1
+""")
+def outcome_fold(events):
+    """WIN-06, FLT-15, FLT-23: annotations applied in order, with three reasons of refusal."""
+    records = events.select("user_id", "event_id", F.expr(_FROM).alias("f"), F.expr(_OUTCOME).alias("t"), F.expr("if(user_id % 2 = 0, 'COMPLETED', 'UNCLASSIFIED')").alias("sealed"))
+    made = folds.effective_outcome(records, STREAM, "event_id", "f", "t", "sealed")
+    count = lambda reason: F.size(F.filter("rejected", lambda x: x["reason"] == reason)).cast("bigint")
+    return made.select("user_id", "sealed", "outcome", "accepted", count("TARGET_COMPLETED").alias("target_completed"), count("STALE_FROM").alias("stale_from"), count("TRANSITION_NOT_PERMITTED").alias("not_permitted"))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def last_state(events):
+    """AGG-08, AGG-20: the last record of each log by position."""
+    return folds.last_record(events, STREAM, "event_id", ["event_type", "value"])
+
+
+@query("""
+WITH s AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS from_state FROM events)
+SELECT * FROM s WHERE from_state IS NOT NULL AND (from_state || '>' || event_type) NOT IN ('view>click', 'click>purchase', 'view>view', 'click>view')
+""")
+def transition_validity(events):
+    """WIN-07, SNK-08: records whose state may not follow the one before."""
+    pairs = (("view", "click"), ("click", "purchase"), ("view", "view"), ("click", "view"))
+    return folds.invalid_transitions(events.select("user_id", "event_id", "event_type"), STREAM, "event_id", "event_type", pairs)
+
+
+@query("""
+WITH s AS (SELECT user_id, event_id, cast(value AS DECIMAL(18,2)) AS v, row_number() OVER w - 2 AS pos, cast(value AS DECIMAL(18,2)) - lag(cast(value AS DECIMAL(18,2))) OVER w AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, count(*) AS n, arg_min(v, event_id)::DOUBLE AS first_value, arg_max(v, event_id)::DOUBLE AS last_value, min(v)::DOUBLE AS min_value, max(v)::DOUBLE AS max_value,
+  bool_and(coalesce(step >= 0, true)) AS non_decreasing, bool_and(coalesce(step > 0, true)) AS strictly_increasing, count(DISTINCT step) AS distinct_steps, min(step)::DOUBLE AS step_min, max(step)::DOUBLE AS step_max,
+  cast(count(*) FILTER (step < 0) AS BIGINT) AS n_backward, array_to_string(list_slice(list(pos ORDER BY pos) FILTER (step < 0), 1, 20), ',') AS backward_positions FROM s GROUP BY user_id
+""")
+def series_profile(events):
+    """AGG-09, WIN-05, SCA-22: description of a series in one pass."""
+    exact = events.select("user_id", "event_id", F.col("value").cast("decimal(18,2)").alias("v"))
+    made = profile.series_profile(exact, STREAM, "event_id", "v")
+    plain = {c: F.col(c).cast("double") for c in ("first_value", "last_value", "min_value", "max_value", "step_min", "step_max")}
+    return made.withColumns(plain).withColumn("backward_positions", F.array_join("backward_positions", ","))
+
+
+@query("""
+SELECT user_id, count(*) AS n, CASE WHEN max(ts) > min(ts) THEN (count(*) - 1) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) END AS rate FROM events GROUP BY user_id
+""")
+def arrival_rate(events):
+    """AGG-10: packets a second between the first and the last arrival."""
+    at = scalars.epoch_micros(F.col("ts"))
+    made = events.groupBy("user_id").agg(F.count("*").alias("n"), F.min(at).alias("a"), F.max(at).alias("b"))
+    return made.select("user_id", "n", profile.arrival_rate(F.lit(0), (F.col("b") - F.col("a")) / 1000000, F.col("n")).alias("rate"))
+
+
+@query("""
+SELECT user_id, event_id, 'value' AS name, 'float64' AS value_type, cast(NULL AS BIGINT) AS value_i64, value AS value_f64 FROM events
+UNION ALL SELECT user_id, event_id, 'k', 'int64', cast(json_extract_string(props, '$.k') AS BIGINT), NULL FROM events
+""")
+def typed_observation_unpivot(events):
+    """SRC-44: columns as typed observation rows."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    rows = events.select("user_id", "event_id", F.explode(F.array(
+        F.struct(F.lit("value").alias("name"), F.lit("float64").alias("value_type"), F.lit(None).cast("bigint").alias("value_i64"), F.col("value").alias("value_f64")),
+        F.struct(F.lit("k").alias("name"), F.lit("int64").alias("value_type"), k.alias("value_i64"), F.lit(None).cast("double").alias("value_f64")))).alias("o"))
+    return rows.select("user_id", "event_id", "o.*")
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'value_type' WHEN event_type NOT IN ('view', 'click') THEN 'kind' WHEN event_id % 7 = 0 THEN 'name'
+  WHEN (event_id % 3 = 0)::INTEGER + (event_id % 2 = 0)::INTEGER <> 1 OR event_id % 2 <> 0 THEN 'value' END AS error FROM events
+""")
+def exactly_one_value(events):
+    """FLT-01, FLT-21: validity of typed observation rows."""
+    rows = events.select("event_id", F.col("event_type").alias("kind"), F.expr("if(event_id % 7 = 0, '', 'n')").alias("name"), F.expr("if(event_id % 5 = 0, 'text', 'float64')").alias("value_type"),
+        F.expr("if(event_id % 3 = 0, event_id, null)").alias("value_i64"), F.expr("if(event_id % 2 = 0, value, null)").alias("value_f64"))
+    return rows.select("event_id", checks.observation_errors(rows, {"kind": ["view", "click"]}, {"int64": "value_i64", "float64": "value_f64"}).alias("error"))
+
+
+@query("SELECT c_custkey, regexp_full_match(c_name, 'Customer#0*[1-9][0-9]{0,2}') AS ok, regexp_full_match(replace(c_name, 'Customer#000000', 'P'), 'P[0-9]{3,6}') AS pseudonym FROM customer")
+def identifier_pattern(customer):
+    """SCA-13: identifiers of a fixed form."""
+    return customer.select("c_custkey", F.col("c_name").rlike(r"\ACustomer#0*[1-9][0-9]{0,2}\z").alias("ok"), scalars.is_pseudonym(F.replace("c_name", F.lit("Customer#000000"), F.lit("P"))).alias("pseudonym"))
+
+
+_PATH = "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN '/' || url WHEN 2 THEN replace(url, '/', '\\') WHEN 3 THEN url || ' ' WHEN 4 THEN replace(replace(url, '://', '/'), '//', '/') ELSE '..' END"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {_PATH} AS p FROM pages)
+SELECT page_id, CASE WHEN p = '' OR p <> trim(p) THEN 'empty_or_padded' WHEN contains(p, '\\') THEN 'illegal_character' WHEN starts_with(p, '/') THEN 'absolute'
+  WHEN len(list_filter(string_split(p, '/'), lambda s: s IN ('', '.', '..'))) > 0 THEN 'empty_or_traversal_segment' END AS error FROM p
+""")
+def path_safety(pages):
+    """SCA-11: why a relative path is not safe."""
+    path = F.expr(_PATH.replace("'\\'", "'\\\\'"))
+    return pages.select("page_id", scalars.path_error(path).alias("error"))
+
+
+@query("""
+SELECT event_id, epoch_us(ts) * 1000 AS ns, CAST(epoch_us(ts) * 1000 AS VARCHAR) AS text, CASE WHEN event_id % 3 = 1 THEN NULL ELSE epoch_us(ts) * 1000 END AS parsed FROM events
+""")
+def ns_roundtrip(events):
+    """SCA-06, SCA-24, FLT-19: nanoseconds as canonical decimal text and back; other spellings are refused."""
+    ns = scalars.epoch_ns(F.col("ts"))
+    text = F.expr("case event_id % 3 when 0 then text when 1 then concat('0', text) else text end")
+    rows = events.select("event_id", ns.alias("ns")).withColumn("text", F.col("ns").cast("string"))
+    return rows.select("event_id", "ns", "text", scalars.int64(text).alias("parsed"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN cast(18446744073709551615 AS DECIMAL(20,0)) ELSE cast(p_partkey AS DECIMAL(20,0)) END AS value FROM part
+""")
+def unsigned_domain(part):
+    """SCA-06: unsigned 64-bit values, the largest included, one more refused."""
+    text = F.expr("case p_partkey % 3 when 0 then '18446744073709551616' when 1 then '18446744073709551615' else cast(p_partkey as string) end")
+    return part.select("p_partkey", scalars.uint64(text).alias("value"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, cast(json_extract_string(props, '$.k') AS BIGINT) + 1 AS a, event_id % 13 AS b, cast(1 AS BIGINT) AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, a AS sa, b AS sb, c AS sc, cast(0 AS BIGINT) AS chunk FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN x THEN e.a ELSE sa + e.a END, CASE WHEN x THEN e.b ELSE sb + e.b END, CASE WHEN x THEN e.c ELSE sc + e.c END, chunk + x::BIGINT
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1, LATERAL (SELECT sa + e.a > 150 OR sb + e.b > 150 OR sc + e.c > 150 AS x))
+SELECT user_id, event_id, chunk FROM r
+""")
+def chunking_by_rows(events):
+    """WIN-08, STR-04: greedy chunks at packet boundaries under three counters."""
+    rows = events.select("user_id", "event_id", (F.get_json_object("props", "$.k").cast("bigint") + 1).alias("a"), (F.col("event_id") % 13).alias("b"), F.lit(1).cast("bigint").alias("c"))
+    return folds.chunks(rows, STREAM, ["event_id"], ["a", "b", "c"], max_rows=150).select("user_id", "event_id", "chunk")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, t AS since, cast(0 AS BIGINT) AS chunk, false AS done FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, s, chunk + done::BIGINT, e.t - s >= 3600000000 * 24 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1, LATERAL (SELECT CASE WHEN done THEN e.t ELSE since END AS s))
+SELECT user_id, event_id, chunk FROM r
+""")
+def chunking_by_age(events):
+    """WIN-08: chunks that end once they are a day old."""
+    rows = events.select("user_id", "event_id", scalars.epoch_micros(F.col("ts")).alias("t"), F.lit(1).alias("one"))
+    return folds.chunks(rows, STREAM, ["event_id"], ["one"], max_rows=0, max_age=24 * 3_600_000_000, time="t").select("user_id", "event_id", "chunk")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, t AS last, true AS mark FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN e.t - last >= 7200000000 THEN e.t ELSE last END, e.t - last >= 7200000000 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, mark FROM r
+""")
+def periodic_marks(events):
+    """WIN-09, WIN-12: a mark whenever two hours have passed since the last."""
+    rows = events.select("user_id", "event_id", scalars.epoch_micros(F.col("ts")).alias("t"))
+    return folds.periodic_marks(rows, STREAM, ["event_id"], "t", 7_200_000_000).select("user_id", "event_id", "mark")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, value > 50 AS lv, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, lv, cast(NULL AS BIGINT) AS last, false AS edge FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, e.lv, CASE WHEN x THEN e.t ELSE last END, x FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1, LATERAL (SELECT e.lv <> r.lv AND (last IS NULL OR e.t - last > 3600000000) AS x))
+SELECT user_id, event_id, edge FROM r
+""")
+def debounce(events):
+    """WIN-11: edges of a level, held for an hour after each accepted one."""
+    rows = events.select("user_id", "event_id", (F.col("value") > 50).alias("level"), scalars.epoch_micros(F.col("ts")).alias("t"))
+    return folds.debounced(rows, STREAM, ["event_id"], "level", "t", 3_600_000_000).select("user_id", "event_id", "edge")
+
+
+@query("""
+SELECT v.event_id, v.user_id, epoch_us(v.ts) AS t, min(epoch_us(c.ts)) AS reply FROM events v LEFT JOIN events c ON c.user_id = v.user_id AND c.event_type = 'click' AND c.ts BETWEEN v.ts AND v.ts + INTERVAL 6 HOUR
+WHERE v.event_type = 'view' GROUP BY ALL
+""")
+def ping_reply_match(events):
+    """JOIN-12: the first reply of the same stream within six hours, or none."""
+    rows = events.select("event_id", "user_id", "event_type", scalars.epoch_micros(F.col("ts")).alias("t"))
+    pings = rows.where("event_type = 'view'").select("event_id", "user_id", "t")
+    return checks.interval_match(pings, rows.where("event_type = 'click'").select("user_id", F.col("t").alias("at")), STREAM, "t", "at", F.lit(6 * 3_600_000_000))
+
+
+@query("""
+WITH m AS (SELECT v.user_id, v.event_id, count(c.event_id) AS n FROM events v LEFT JOIN events c ON c.user_id = v.user_id AND c.event_type = 'click' AND c.ts BETWEEN v.ts AND v.ts + INTERVAL 1 HOUR WHERE v.event_type = 'view' GROUP BY ALL)
+SELECT user_id, count(*) AS attempted, cast(count(*) FILTER (n = 0) AS BIGINT) AS lost FROM m GROUP BY user_id
+""")
+def lost_pings(events):
+    """AGG-17: pings and those without a reply within an hour."""
+    rows = events.select("event_id", "user_id", "event_type", scalars.epoch_micros(F.col("ts")).alias("t"))
+    pings = rows.where("event_type = 'view'").select("event_id", "user_id", "t")
+    met = checks.interval_match(pings, rows.where("event_type = 'click'").select("user_id", F.col("t").alias("at")), STREAM, "t", "at", F.lit(3_600_000_000))
+    return met.groupBy("user_id").agg(F.count("*").alias("attempted"), F.count_if(F.col("reply").isNull()).alias("lost"))
+
+
+@query("""
+SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM events
+""")
+def latest_prior_event(events):
+    """As-of: the last purchase before each event."""
+    prior = checks.latest_before(events, STREAM, ["event_id"], F.when(F.col("event_type") == "purchase", F.col("value")))
+    return events.select("user_id", "event_id", prior.alias("prior"))
+
+
+@query("""
+WITH s AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+SELECT user_id, event_id, value, cast(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS place FROM s WHERE value <= before QUALIFY place <= 3
+""")
+def topk_evidence(events):
+    """AGG-16, SRT-05, SRT-07: the first three violations of each stream."""
+    found = checks.not_increasing(events, STREAM, "event_id", "value")
+    return checks.first_evidence(found, STREAM, ["event_id"], 3).select("user_id", "event_id", "value", "place")
+
+
+@query("""
+WITH f AS (SELECT user_id, cast(1 + event_id % 8 AS INTEGER) AS condition FROM events WHERE event_id % 37 = 0), u AS (SELECT DISTINCT user_id FROM events),
+c AS (SELECT user_id, cast(n AS INTEGER) AS condition FROM u, range(1, 9) t(n))
+SELECT user_id, count(*) AS n_conditions, cast(count(*) FILTER ((user_id, condition) IN (SELECT (user_id, condition) FROM f)) AS BIGINT) AS n_failed, count(*) FILTER ((user_id, condition) IN (SELECT (user_id, condition) FROM f)) = 0 AS is_completed FROM c GROUP BY user_id
+""")
+def condition_rollup(events):
+    """FLT-11, AGG-14, VER: eight conditions of each session and their verdict."""
+    found = events.where("event_id % 37 = 0").select("user_id", (1 + F.col("event_id") % 8).cast("int").alias("condition"))
+    return verdict.completed(verdict.conditions(events, found, "user_id", range(1, 9)), "user_id", 8)
+
+
+@query("""
+WITH o AS (SELECT o_custkey, count(*) AS submitted, cast(count(*) FILTER (o_orderstatus <> 'P') AS BIGINT) AS written, cast(count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 2 = 0) AS BIGINT) AS dropped FROM orders GROUP BY 1)
+SELECT *, submitted = written + dropped AS accounted FROM o
+""")
+def accounting_identity(orders):
+    """AGG-11, AGG-12, STR-08: measured totals of each stream and whether they add up."""
+    made = orders.groupBy("o_custkey").agg(F.count("*").alias("submitted"), F.count_if(F.expr("o_orderstatus != 'P'")).alias("written"), F.count_if(F.expr("o_orderstatus = 'P' and o_orderkey % 2 = 0")).alias("dropped"))
+    return made.withColumn("accounted", F.expr("submitted = written + dropped"))
+
+
+@query("""
+WITH s AS (SELECT c_custkey, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 10 <> 0),
+f AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_nationkey END AS c_nationkey FROM customer WHERE c_custkey % 13 <> 0)
+SELECT c_custkey, 'not_in_stored' AS kind, NULL::VARCHAR AS field, NULL::VARCHAR AS stored, NULL::VARCHAR AS fresh FROM f ANTI JOIN s USING (c_custkey)
+UNION ALL SELECT c_custkey, 'not_in_fresh', NULL, NULL, NULL FROM s ANTI JOIN f USING (c_custkey)
+UNION ALL SELECT c_custkey, 'field_differs', 'c_mktsegment', s.c_mktsegment, f.c_mktsegment FROM s JOIN f USING (c_custkey) WHERE s.c_mktsegment IS DISTINCT FROM f.c_mktsegment
+UNION ALL SELECT c_custkey, 'field_differs', 'c_nationkey', s.c_nationkey::VARCHAR, f.c_nationkey::VARCHAR FROM s JOIN f USING (c_custkey) WHERE s.c_nationkey IS DISTINCT FROM f.c_nationkey
+""")
+def registry_reconcile(customer):
+    """JOIN-13: a stored catalogue against a fresh one, presence and fields."""
+    stored = customer.where("c_custkey % 10 != 0")
+    fresh = customer.where("c_custkey % 13 != 0").withColumns({"c_mktsegment": F.expr("if(c_custkey % 7 = 0, 'CHANGED', c_mktsegment)"), "c_nationkey": F.expr("if(c_custkey % 11 = 0, null, c_nationkey)")})
+    return catalog.reconcile(stored, fresh, ["c_custkey"], ["c_mktsegment", "c_nationkey"])
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'SEALED' WHEN s IN ('CLOSED', 'FINALIZING') THEN 'INTERRUPTED_FINALIZATION' WHEN s = 'RECORDING' THEN 'INTERRUPTED_RECORDING' WHEN s = 'ALLOCATED' THEN 'ALLOCATED_ONLY' ELSE 'UNREADABLE' END AS state
+FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'CLOSED' WHEN 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'RECORDING' ELSE 'ALLOCATED' END END AS s FROM orders)
+""")
+def classify_state(orders):
+    """FLT-12: structural state of a package."""
+    terminal = F.expr("case o_orderstatus when 'F' then 'CLOSED' when 'O' then if(o_orderkey % 2 = 0, 'RECORDING', 'ALLOCATED') end")
+    return orders.select("o_orderkey", verdict.structural_state(F.col("o_totalprice") > 300000, terminal).alias("state"))
+
+
+@query("SELECT DISTINCT event_type AS schema_id FROM events WHERE event_id % 3 = 0 EXCEPT SELECT event_type FROM events WHERE event_type IN ('click')")
+def referenced_schema_ids(events):
+    """AGG-07, SET-02: ids in use without a snapshot."""
+    used = events.where("event_id % 3 = 0").select(F.col("event_type").alias("schema_id")).distinct()
+    return checks.orphans(used, events.where("event_type = 'click'").select(F.col("event_type").alias("schema_id")), ["schema_id"])
+
+
+@query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS findings, cast(count(DISTINCT event_type) AS BIGINT) AS n FROM events WHERE value > 60 GROUP BY user_id")
+def distinct_findings(events):
+    """AGG-13, AGG-18, AGG-19: the set of findings of each session, sorted."""
+    made = events.where("value > 60").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("f"))
+    return made.select("user_id", F.array_join("f", ",").alias("findings"), F.size("f").cast("bigint").alias("n"))
+
+
+@query("SELECT p_partkey, format('{:06d}', p_partkey) AS chunk, 'payloads/' || format('{:06d}', p_partkey) || '.bin' AS payload_path, 'packets/' || format('{:06d}', p_partkey) || '.arrow' AS packets_path, regexp_replace(p_name, '[^a-zA-Z0-9_-]', '_', 'g') AS stem, replace(lower(p_brand), '_', '') AS label FROM part")
+def derived_names(part):
+    """PRJ-03, SCA-18, SCA-19: names derived from ids and labels."""
+    path = lambda kind: scalars.artifact_path(F.lit(kind), F.col("p_partkey"))
+    return part.select("p_partkey", F.format_string("%06d", "p_partkey").alias("chunk"), path("payloads").alias("payload_path"), path("packets").alias("packets_path"), scalars.file_stem(F.col("p_name")).alias("stem"), scalars.label_key(F.col("p_brand")).alias("label"))
+
+
+@query("SELECT event_id, '{\"event\":' || event_id || ',\"name\":\"' || event_type || '\",\"user\":' || user_id || '}' AS canonical, sha256('{\"event\":' || event_id || ',\"name\":\"' || event_type || '\",\"user\":' || user_id || '}') AS record_sha256 FROM events")
+def canonical_records(events):
+    """SCA-02, SCA-03, SCA-04, SCA-05: records in canonical form and their hash."""
+    raw = F.format_string('{"user": %d, "name": "%s", "event" : %d}', "user_id", "event_type", "event_id")
+    rows = events.select("event_id", canonical.canonical_json(raw).alias("canonical"))
+    return rows.withColumn("record_sha256", F.sha2(F.col("canonical").cast("binary"), 256))
+
+
+@query()
+def payload_frames(events):
+    """SCA-07, SCA-08, SRC-07, SNK-02: frames of payload bytes, cut again; CRC-32C is not in SQL."""
+    framed = events.select("event_id", canonical.frame(F.col("event_id"), F.col("props").cast("binary")).alias("data"))
+    return framed.select("event_id", F.explode(canonical.parse_frames(F.col("data"))).alias("f")).select("event_id", "f.packet_seq", F.col("f.payload").cast("string").alias("payload"), "f.crc32c", "f.error")
