@@ -1,0 +1,192 @@
+"""Surrogates, archives, suffix dedup, token files, toxicity, extraction and the pipeline, with odd rows."""
+
+import base64
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from chronoloom.llm import html_text, pii, queries, suffixes, tokens, toxicity, warc
+
+KEY = b"test key"
+
+
+def test_surrogates_keep_form_and_identity(spark):
+    text = "Mail Anna.B-7@mail3.example.com, ANNA.B-7@MAIL3.EXAMPLE.COM or +1 (640) 555-0953 and 640-555-0953; card 4111 1111 1111 1111, ip 9.122.68.47, token = \"f6f4b6c25fd9db1a3d0f51bedd389b0833f73c65\". Mrs Anna Schmidt, Frau Schmidt, Иван Петров."
+    rows = [(1, text, 9), (2, "Nothing here but 12 words.", 9), (3, None, 9), (4, "", 9), (5, "again Anna.B-7@mail3.example.com", 9), (1, text, 9)]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string, n_replaced int"), KEY).collect()
+    by = {r.doc_id: r for r in got}
+    made = by[1].text
+    assert len(got) == 6 and by[2].text == rows[1][1] and by[3].text is None and by[4].text == "" and by[2].n_replaced == 0
+    for secret in ("Anna.B-7@mail3", "640", "555-0953", "4111 1111", "9.122.68.47", "f6f4b6", "Schmidt", "Anna", "Иван", "Петров"):
+        assert secret not in made
+    mails = re.findall(r"[\w.+-]+@[\w.-]+\w", made)
+    assert mails[0].lower() == mails[1].lower() and mails[0] in by[5].text and mails[0].endswith(".com") and mails[1].isupper() is False or mails[1] == mails[1].upper()
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", made)
+    card = re.sub(r"\D", "", re.search(r"card ([\d ]{19})", made).group(1))
+    assert pii._luhn(card[:-1]) == int(card[-1])
+    names = re.search(r"Mrs (\w+) (\w+), Frau (\w+), (\w+) (\w+)\.", made)
+    assert names.group(2) == names.group(3) and names.group(1) in pii.GIVEN["f", "latin"] and names.group(4) in pii.GIVEN["m", "cyrillic"] and pii.script_of(names.group(5)) == "cyrillic"
+    assert by[1].kinds["email"] == 2
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 40), st.integers(1, 40))
+def test_permutation_is_one_to_one_without_fixed_points(left, right):
+    image = [pii.permute(x, left, right, KEY, "t") for x in range(left * right)]
+    assert sorted(image) == list(range(left * right))
+    assert left * right < 2 or all(a != b for a, b in enumerate(image))
+
+
+def test_collisions_are_seen(spark):
+    found = spark.createDataFrame([("email", "a", "x", 1), ("email", "b", "x", 1), ("ip", "c", "x", 1)], "kind string, identity string, surrogate string, n bigint")
+    assert [r.surrogate for r in pii.collisions(found).collect()] == ["x"]
+
+
+def test_archives(spark, tmp_path):
+    rows = [(5, "http://a/1", "<p>same</p>"), (3, "http://a/2\n%0A", "<p>same</p>"), (9, None, "<p>same</p>"), (4, "u", None), (6, "u", ""), (7, "u", "é" * 3000), (7, "u", "é" * 3000), (None, "n", "<p>same</p>")]
+    uri = f"file://{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), uri, file_bytes=400)
+    got = warc.digest_captures(spark, uri).collect()
+    first = {}
+    for p, _, h in rows:
+        if p is not None:
+            first[h or ""] = min(first.get(h or "", p), p)
+    want = Counter()
+    for p, _, h in rows:
+        body = (h or "").encode()
+        again = p is not None and first[h or ""] != p
+        want[p, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if again else "response", first[h or ""] if again else None] += 1
+    assert Counter(tuple(r) for r in got) == want
+    captures = warc.assemble(warc.read_records(spark, uri)).collect()
+    assert len(captures) == len(rows) and all(c.request and c.metadata and c.extra == 0 for c in captures)
+    assert {c.response.target_uri for c in captures} == {u or "" for _, u, _ in rows}
+    assert all(c.response.payload_ok for c in captures if c.response.type == "response")
+    with pytest.raises(ValueError):
+        list(warc.records(__import__("io").BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")))
+
+
+def brute_removed(bodies, length):
+    often = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
+    out = []
+    for b in bodies:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if often[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out.append(gone)
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([b"abcab", b"b", b"cc", b"aaaaaaaaaaaa", b"xyzxyzxyz"]), max_size=12), max_size=7), st.sampled_from([(16, 16), (16, 8), (6, 1)]))
+def test_suffix_order(parts, sizes):
+    texts, (length, symbol) = [b"".join(p) for p in parts], sizes
+    often = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    got = suffixes.repeated_windows(texts, length, symbol)
+    for t, hit in zip(texts, got, strict=True):
+        assert hit.tolist() == [often[t[i : i + length]] > 1 for i in range(len(t) - length + 1)]
+
+
+@pytest.mark.parametrize("hot", [1000, 0])
+def test_suffix_dedup(spark, hot):
+    draw = np.random.default_rng(3)
+    part = lambda n: bytes(draw.integers(97, 101, n).astype(np.uint8)).decode()
+    shared, copy = part(70), part(150)
+    texts = [part(30) + shared + part(20), shared + part(90), part(40) + shared[5:60] + part(50), copy, copy, "a" * 90, None, "", "é" * 40, part(10), part(200) + copy[10:] + part(300)]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, part(80), 1)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string, spans int"), length=48, gram=16, hot_segments=hot).collect()
+    bodies = [(t or "").encode() for _, t, _ in rows]
+    want = {}
+    for (i, _, _), b, gone in zip(rows, bodies, brute_removed(bodies, 48), strict=True):
+        edges = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        want[i] = (len(b), int(gone.sum()), edges, bytes(np.frombuffer(b, np.uint8)[~gone]))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
+    assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_token_files(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(queries.byte_bpe())
+    texts = ["Hello world, it's 12.\nNext  line", None, "", " \n\n x\t", "don't stop<|endoftext|> é中", "Hello world, it's 12.\nNext  line"]
+    rows = [(9 - i, t, 1) for i, t in enumerate(texts)] + [(9, texts[0], 1)]
+    uri = f"file://{tmp_path}/t"
+    tokens.write_token_files(spark.createDataFrame(rows, "doc_id bigint, text string, start int"), uri, queries.byte_bpe(), 2)
+    got = tokens.read_tokens(spark, uri).orderBy("start").collect()
+    at = 0
+    for r, (i, t, _) in zip(got, sorted(rows), strict=True):
+        ids = tool.encode(t or "", add_special_tokens=False).ids + [2]
+        assert (r.doc_id, r.start, r.n_tokens, list(r.tokens)) == (i, at, len(ids), ids)
+        at += len(ids)
+    digests = {(r.start, r.ids_crc32) for r in tokens.digest_tokens(spark, uri).collect()}
+    assert digests == {(r.start, zlib.crc32(np.array(r.tokens, "<u4").tobytes())) for r in got}
+    tokens.write_token_files(spark.createDataFrame([], "doc_id bigint, text string"), f"{uri}0", queries.byte_bpe(), 2)
+    assert tokens.digest_tokens(spark, f"{uri}0").count() == 0
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
+def test_control_bytes(values):
+    control, data = tokens.encode_values(np.array(values, np.uint32))
+    assert tokens.decode_values(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), len(values)).tolist() == values
+
+
+def test_pieces_equal_whole_texts():
+    encoder = tokens.encoder(queries.byte_bpe())
+    draw = np.random.default_rng(1)
+    some = ["a", "Bc", "é", "ß", "中", "'s", "don't", "12", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t", ".", "...", "-", " ", "🙂", "İ", "ˈ", "́", "\r\n", "​"]
+    texts = ["".join(draw.choice(some, draw.integers(0, 25))) for _ in range(3000)]
+    for text, made in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(made, encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.classify(docs, labels).join(labels, "doc_id").where("held_out").select("predicted", "toxic").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.97 and (got.predicted[got.toxic == 0] == 1).mean() < 0.01
+    assert (got.predicted[got.toxic == 1] == 1).mean() > 0.75
+
+
+def test_toxicity_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "bad words here", 5.0), (2, None, 5.0), (3, "", 5.0), (None, "fine", 5.0), (1, "bad words here", 5.0)], "doc_id bigint, text string, score double")
+    for rows in ([], [(1, 1)], [(1, 1), (3, 0), (7, None), (None, 1)]):
+        got = toxicity.classify(docs, spark.createDataFrame(rows, "doc_id bigint, toxic int")).collect()
+        assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    kept = toxicity.reject_toxic(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
+    assert kept.columns == docs.columns and kept.count() == 5
+
+
+def test_extraction(spark):
+    page = "<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href=x>Menu</a></nav><div class='ad'>Buy now</div><article><h1>{0}</h1><p>First &amp; {0}<br>more   text<p>Second &lt;b&gt; <b>bold</b>{0}.</p></article><div id=comments>Nice!</div><footer>&copy; host</footer></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(f"story {i} of many words"), "x") for i in range(12)] + [(20, None, None, "x"), (21, "no url", "", "x"), (22, "http://one.example/", "<p>Alone</p>", "x"), (23, "http://h.example/broken", "<article><p>open <b>never closed", "x"), (0, "http://h.example/0", page.format("story 0 of many words"), "x")]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string, host string")).collect()
+    by = {r.page_id: r.text for r in got}
+    assert len(got) == len(rows) and by[20] == "" and by[21] == "" and by[22] == "Alone" and by[23] == "open never closed"
+    for i in range(12):
+        s = f"story {i} of many words"
+        assert by[i] == f"{s}\nFirst & {s} more text\nSecond <b> bold{s}."
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_queries_cover_the_list_and_pipeline(spark):
+    import __spark_entry__ as entry
+    import corpus_pipeline
+
+    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in entry.queries() if n.startswith("op")) == list(range(1, 11))
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, sf)
+        assert made.columns == docs.columns, name
+        docs = spark.createDataFrame(made.toArrow())
+    ids = [r.doc_id for r in docs.collect()]
+    got = corpus_pipeline.run(spark, sf)
+    assert [r.doc_id for r in got.orderBy("start").collect()] == ids
+    assert got.agg(F.sum("n_tokens")).first()[0] > 0
