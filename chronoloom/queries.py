@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import canonical, scalars
 from .operators import catalog, chains, checks, folds, profile, verdict
+from .plans.verify import Fleet
+from .sources import synthetic
+from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -510,3 +513,51 @@ def payload_frames(events):
     """SCA-07, SCA-08, SRC-07, SNK-02: frames of payload bytes, cut again; CRC-32C is not in SQL."""
     framed = events.select("event_id", canonical.frame(F.col("event_id"), F.col("props").cast("binary")).alias("data"))
     return framed.select("event_id", F.explode(canonical.parse_frames(F.col("data"))).alias("f")).select("event_id", "f.packet_seq", F.col("f.payload").cast("string").alias("payload"), "f.crc32c", "f.error")
+
+
+def _fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, or in a temporary one where the session names none (tests)."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"chronoloom-{name}-")
+
+
+def streamed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-01 to STR-08, WIN-08: the events taken in as a stream, chunked with state, written once and read back."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = ingest.file_stream(spark, sf_dir, "events.parquet", schema).select("user_id", "event_id", (F.get_json_object("props", "$.k").cast("bigint") + 1).alias("a"), (F.col("event_id") % 13).alias("b"), F.lit(1).cast("bigint").alias("c"))
+    out = _fresh_folder(spark, "streamed")
+    made = ingest.chunked(stream, STREAM, "event_id", ["a", "b", "c"], max_rows=150)
+    ingest.ingest(made, f"{out}/rows", f"{out}/offsets")
+    return spark.read.parquet(f"{out}/rows").select("user_id", "event_id", "chunk")
+
+
+QUERIES["streamed_chunks"] = streamed_chunks
+ORACLE_SQL["streamed_chunks"] = ORACLE_SQL["chunking_by_rows"]
+
+
+def verified_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC, SNK, FLT, JOIN and VER on packages: a synthetic fleet, one session for each region, written, read and judged."""
+    root = _fresh_folder(spark, "fleet").removeprefix("file://")
+    names = table(spark, sf_dir, "region").select(F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))).alias("session_id"))
+    synthetic.write_fleet(names, root, synthetic.Spec(streams=("eeg", "ecg"))).count()
+    return Fleet(spark, root).verdicts()
+
+
+QUERIES["verified_fleet"] = verified_fleet
+ORACLE_SQL["verified_fleet"] = "SELECT lower(replace(r_name, ' ', '_')) AS session_id, cast(8 AS BIGINT) AS n_conditions, cast(0 AS BIGINT) AS n_failed, true AS is_completed FROM region"
+
+
+def recorded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-01 to SRC-06, SRT-03, SET-06: packets of a readable fleet in commit order, as they were recorded."""
+    root = _fresh_folder(spark, "replay").removeprefix("file://")
+    synthetic.write_fleet(spark.createDataFrame([("s1",), ("s2",)], "session_id string"), root, synthetic.Spec(streams=("eeg",))).count()
+    return Fleet(spark, root).packets.select("session_id", "stream_id", "chunk_id", "row_index", "packet_seq", "host_arrival_utc_ns")
+
+
+QUERIES["recorded_values"] = recorded_values
+ORACLE_SQL["recorded_values"] = """
+SELECT s AS session_id, 'eeg' AS stream_id, i // 3 AS chunk_id, i % 3 AS row_index, i AS packet_seq, 1787923530123456789 + (i + 1) * 4000000 AS host_arrival_utc_ns FROM range(0, 6) t(i), (VALUES ('s1'), ('s2')) v(s)
+"""
