@@ -29,9 +29,9 @@ GRAM = 64
 #: Bytes a symbol; a text of bytes is so many texts of symbols, one for each phase. Divides LENGTH.
 SYMBOL = 16
 #: Bytes a collection, about.
-COLLECTION = 4 << 20
+COLLECTION = 1 << 20
 #: Different segments under one key beyond which its windows are compared by hash, spread over all tasks.
-HOT_SEGMENTS = 4000
+HOT_SEGMENTS = 2000
 _B = 0x9E3779B97F4A7C15
 _INVERSE = pow(_B, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
