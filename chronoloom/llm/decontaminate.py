@@ -18,6 +18,8 @@ from .storage import materialize
 
 WIDTH = 5
 CONTAINMENT = 0.8
+#: Rows of sketches, of item shingles or of candidates that are broadcast at most.
+BROADCAST_ROWS = 500_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -70,6 +72,11 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """Broadcast where the rows, a few words each, are known to be few; else Spark shuffles both sides of the join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def matches(
     docs: DataFrame,
     items: DataFrame,
@@ -90,12 +97,12 @@ def matches(
     known = materialize(sketches(items, containment, width, item_col, item_text_col), "benchmark-shingles")
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     found = rows.select("key", F.explode(shingle_hashes(F.col("t"), width)).alias("hash"))
-    # Spark broadcasts the sketches where the written table is small enough, else both sides shuffle by hash.
     wanted = known.where("in_sketch").select("hash", "item")
-    pairs = materialize(found.join(wanted, "hash").select("key", "item").distinct(), "benchmark-candidates")
-    held = rows.join(pairs.select("key").distinct(), "key").select("key", "id", F.explode(shingle_strings(F.col("t"), width)).alias("shingle")).distinct()
-    asked = pairs.join(known.select("item", "n", "shingle"), "item")
-    counted = held.join(asked, ["key", "shingle"]).groupBy("key", "id", "item", "n").agg(F.count("*").alias("n_found"))
+    pairs = materialize(found.join(_sent(wanted), "hash").select("key", "item").distinct(), "benchmark-candidates")
+    both = F.explode(F.arrays_zip(shingle_strings(F.col("t"), width).alias("shingle"), shingle_hashes(F.col("t"), width).alias("hash"))).alias("z")
+    again = rows.join(_sent(pairs.select("key").distinct()), "key").select("key", "id", both).select("key", "id", "z.hash", "z.shingle")
+    held = again.join(_sent(known.select("hash", "shingle", "item", "n")), ["hash", "shingle"]).select("key", "id", "item", "n", "shingle").distinct()
+    counted = held.join(pairs, ["key", "item"], "left_semi").groupBy("key", "id", "item", "n").agg(F.count("*").alias("n_found"))
     share = F.col("n_found") / F.col("n")
     named = counted.select("key", "id", F.col("item").alias(item_col), F.col("n").cast("bigint").alias("n_shingles"), "n_found", share.alias("containment"))
     return named.where(F.col("containment") >= containment)
