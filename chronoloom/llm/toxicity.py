@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier on character n-grams scaled with naive Bayes log-count ratios.
 
-A gram counts once per document. The ratio of its smoothed share among toxic documents to that among the others,
+A gram weighs by the logarithm of how often a document has it. The ratio of its smoothed share among toxic documents to that among the others,
 in logarithms, scales the gram; a regularised logistic regression is fitted on the scaled grams. Grams are hashed
 into ``SLOTS`` places.
 """
@@ -20,7 +20,8 @@ from .storage import materialize
 
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6, 8)
+ITERATIONS = 700
 _BASE = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,9 +47,13 @@ def gram_slots(text: str) -> Iterator[np.ndarray]:
             yield ((rolled + np.uint64(n)) * _MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _present(text: str, wanted: np.ndarray | None = None) -> np.ndarray:
+def _found(text: str, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots that occur in a text, and log2(1 + count) of each."""
     found = [s if wanted is None else s[wanted[s]] for s in gram_slots(text)]
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    if not found:
+        return np.empty(0, np.int64), np.empty(0)
+    slots, counts = np.unique(np.concatenate(found), return_counts=True)
+    return slots, np.log2(1 + counts)
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -99,7 +104,7 @@ def fit(
         seen = np.zeros((2, SLOTS), np.int32)
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[int(y == 1), _present(text)] += 1
+                seen[int(y == 1), _found(text)[0]] += 1
         used = np.flatnonzero(seen.sum(axis=0))
         cols = [pa.array(used), pa.array(seen[1, used].astype(np.int64)), pa.array(seen[0, used].astype(np.int64))]
         yield pa.RecordBatch.from_arrays(cols, names=["slot", "toxic", "clean"])
@@ -120,29 +125,35 @@ def fit(
         wanted = np.zeros(SLOTS, bool)
         wanted[slots] = True
         for batch in batches:
-            found = [np.searchsorted(slots, _present(t, wanted)).astype("<u2").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["y", "found"])
+            made = [_found(t, wanted) for t in batch.column(1).to_pylist()]
+            at = pa.array([np.searchsorted(slots, x).astype("<u2").tobytes() for x, _ in made], pa.binary())
+            size = pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), at, size], names=["y", "found", "size"])
 
-    sample = rows.mapInArrow(hits, "y int, found binary").toArrow()
+    sample = rows.mapInArrow(hits, "y int, found binary, size binary").toArrow()
     found = [np.frombuffer(x, "<u2").astype(np.int64) for x in sample.column("found").to_pylist()]
+    sizes = [np.frombuffer(x, "<f4").astype(float) for x in sample.column("size").to_pylist()]
     y = np.array(sample.column("y").to_pylist(), float)
-    weights, bias = _logistic(found, y, ratio, prior, strength)
+    weights, bias = _logistic(found, sizes, y, ratio, prior, strength)
     return Model(slots, weights * ratio, bias)
 
 
-def _logistic(found: list[np.ndarray], y: np.ndarray, scale: np.ndarray, prior: float, strength: float) -> tuple[np.ndarray, float]:
+def _logistic(found: list[np.ndarray], sizes: list[np.ndarray], y: np.ndarray, scale: np.ndarray, prior: float, strength: float) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient descent on the mean log loss with a quadratic penalty."""
-    order = np.lexsort((y, [len(x) for x in found]))
-    found, y = [found[i] for i in order], y[order]
     cols = np.concatenate(found) if found else np.empty(0, np.int64)
     rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    value, n = scale[cols], len(found)
+    # Summed in an order of their own: the fit does not depend on how the sample came in.
+    total = np.bincount(rows, (cols + 1) * np.concatenate(sizes), len(found)) if found else np.empty(0)
+    order = np.lexsort((y, total, [len(x) for x in found]))
+    cols, rows = np.concatenate([found[i] for i in order]), np.repeat(np.arange(len(found)), [len(found[i]) for i in order])
+    y, n = y[order], len(found)
+    value = scale[cols] * np.concatenate([sizes[i] for i in order])
     energy = np.bincount(rows, value**2, n)
     step = 4.0 / (energy.mean() * 4 + 1 + strength / n)
     w, b = np.zeros(len(scale)), prior
     ahead_w, ahead_b, momentum = w, b, 1.0
     last = np.inf
-    for _ in range(400):
+    for _ in range(ITERATIONS):
         z = np.bincount(rows, value * ahead_w[cols], n) + ahead_b
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
         loss = np.mean(np.logaddexp(0, z) - y * z) + strength / n / 2 * (ahead_w**2).sum()
@@ -159,6 +170,11 @@ def _logistic(found: list[np.ndarray], y: np.ndarray, scale: np.ndarray, prior:
     return w, float(b)
 
 
+def _sum(weight: np.ndarray, text: str, wanted: np.ndarray) -> float:
+    slots, size = _found(text, wanted)
+    return float((weight[slots] * size).sum())
+
+
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` DOUBLE in 0..1, larger where label 1 is likelier; only the text is read.
 
@@ -174,11 +190,10 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
         wanted = np.zeros(SLOTS, bool)
         wanted[slots] = True
         for batch in batches:
-            z = np.array([bias + weight[_present(t, wanted)].sum() if t else bias for t in batch.column(at).to_pylist()], float)
+            z = np.array([bias + _sum(weight, t, wanted) if t else bias for t in batch.column(at).to_pylist()], float)
             made = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], names=names)
 
-
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
