@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 PERIOD = 1024
 BLOCK_DOCS = 16
 
@@ -22,12 +24,16 @@ def _source(source_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
 
 
-def flattened_weights(docs: DataFrame, *, source_col: str = "source") -> DataFrame:
-    """(source key, weight BIGINT): 1000 times the square root of each source's documents, rounded down.
+def source_sizes(docs: DataFrame, *, source_col: str = "source") -> DataFrame:
+    """(mix_source, n): documents of each source."""
+    return docs.groupBy(_source(source_col).alias("mix_source")).agg(F.count("*").alias("n"))
+
+
+def flattened_weights(sizes: DataFrame) -> DataFrame:
+    """(mix_source, weight BIGINT): 1000 times the square root of each source's documents, rounded down.
 
     Between one share a source and shares by size; a usual choice where small sources should be seen more often.
     """
-    sizes = docs.groupBy(_source(source_col).alias("mix_source")).agg(F.count("*").alias("n"))
     return sizes.select("mix_source", F.floor(F.sqrt("n") * 1000).cast("bigint").alias("weight"))
 
 
@@ -64,17 +70,18 @@ def period_table(shares: DataFrame) -> DataFrame:
     return slots.withColumn("turn", turn)
 
 
-def _numbered(docs: DataFrame, id_col: str, source_col: str) -> DataFrame:
+def _numbered(docs: DataFrame, sizes: DataFrame, id_col: str, source_col: str) -> DataFrame:
     """Add ``mix_source`` and ``mix_number``, the place of a document in its source by the MD5 of its id.
 
     A source of n documents is cut into about sqrt(n) ranges of hashes, so that neither a range nor the list of
     ranges is large, whatever share of all rows the source holds.
     """
     keyed = docs.withColumn("mix_source", _source(source_col)).withColumn("mix_hash", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
-    sizes = docs.groupBy(_source(source_col).alias("mix_source")).agg(F.ceil(F.sqrt(F.count("*"))).cast("bigint").alias("mix_ranges"))
-    keyed = keyed.join(sizes, "mix_source")
+    keyed = keyed.join(sizes.select("mix_source", F.ceil(F.sqrt("n")).cast("bigint").alias("mix_ranges")), "mix_source")
     high = F.conv(F.substring("mix_hash", 1, 8), 16, 10).cast("bigint")
     keyed = keyed.withColumn("mix_range", F.shiftright(high * F.col("mix_ranges"), 32))
+    # Dealt by both columns: a source that holds a third of all rows is spread over all tasks.
+    keyed = keyed.repartition("mix_source", "mix_range")
     counts = keyed.groupBy("mix_source", "mix_range").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("mix_source").orderBy("mix_range")) - F.col("n")
     counts = counts.select("mix_source", "mix_range", before.alias("mix_before"))
@@ -106,14 +113,16 @@ def schedule(
     """
     added = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place", "mix_source", "mix_number"]
     docs = docs.drop(*added)
+    # One row a source: written, so that the documents are counted once and Spark knows how small the table is.
+    sizes = materialize(source_sizes(docs, source_col=source_col), "mix-sources")
     if weights is None:
-        weights = flattened_weights(docs, source_col=source_col)
+        weights = flattened_weights(sizes)
     else:
         weights = weights.groupBy(_source("source").alias("mix_source")).agg(F.floor(F.sum("weight") * 1000).cast("bigint").alias("weight"))
     # A period's slots: bounded by the period and the number of sources, not by the documents.
-    table = period_table(period_shares(weights, period))
+    table = materialize(period_table(period_shares(weights, period)), "mix-period")
     shares = table.select("mix_source", "share").distinct()
-    rows = _numbered(docs, id_col, source_col).join(shares, "mix_source")
+    rows = _numbered(docs, sizes, id_col, source_col).join(shares, "mix_source")
     rows = rows.withColumn("mix_block", F.expr(f"mix_number div {block_docs}")).withColumn("mix_place", (F.col("mix_number") % block_docs).cast("int"))
     rows = rows.withColumn("turn", (F.col("mix_block") % F.col("share")).cast("int")).drop("share").join(table, ["mix_source", "turn"])
     slot = F.expr("(mix_block div share) * period + at")
