@@ -14,6 +14,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +30,23 @@ HEADER = struct.Struct("<8s4Q")
 #: Value lengths of each control byte: the table that decoding looks up.
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2)[None, :] & 3).astype(np.uint8) + 1
 #: Space-delimited pieces remembered by a worker before it starts over.
-CACHE = 400_000
+CACHE = 500_000
 #: White space besides the plain space and line feed.
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: ASCII marks that are no letter, digit, apostrophe or white space: a run of them is a token piece of its own.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words that are encoded in one go.
+TOGETHER = 250
 _ENCODERS: dict = {}
 
 
 class PieceEncoder:
     """Encodes whole texts piece by piece, each distinct piece once.
 
-    Byte-level pre-tokenisation never joins text across a single space between two other characters, so the
-    pieces between such spaces encode alone; a piece keeps the space in front of it.
+    Byte-level pre-tokenisation never joins text across a single space or line feed between two other characters, so
+    the pieces between such places encode alone; a piece keeps the space in front of it. Of a word with marks behind it, the
+    word and the marks encode alone, too. Plain words are encoded in long lines and told apart by their tokens' lengths.
     """
 
     def __init__(self, path: str):
@@ -48,33 +54,74 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.later: dict[str, bytes] = {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
+        size = self.tokenizer.get_vocab_size()
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.token_bytes = np.zeros(size, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.token_bytes[i] = len(token)  # byte-level tokens have a character for each byte
+        self.later: dict[str, bytes] = {}  # of pieces behind a space
+        self.first: dict[str, bytes] = {}  # of pieces at the start of a line
+        self.feed = self._each(["\n"])[0]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> None:
+        """Learn words of letters that follow a space."""
+        width = np.dtype(self.kind).itemsize
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1)) + 1
+            packed, ends = ids.tobytes(), (ends * width).tolist()
+            self.later.update(zip(some, map(packed.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Learn pieces that follow a space."""
+        later, words, marks, rest, cut = self.later, set(), set(), [], []
+        for piece in pieces:
+            word = piece.rstrip(MARKS)
+            # Letters of alphabets whose letters every version of the character tables knows.
+            if not word.isalpha() or not word.isascii() and max(word) >= "\u0250":
+                rest.append(piece)
+                continue
+            if len(word) < len(piece):
+                cut.append((piece, word, piece[len(word) :]))
+                marks.add(piece[len(word) :])
+            if word not in later:
+                words.add(word)
+        self._words(list(words))
+        for at in range(0, len(rest), 10_000):
+            some = rest[at : at + 10_000]
+            later.update(zip(some, self._each([" " + p for p in some]), strict=True))
+        marks = list(marks.difference(self.first))
+        self.first.update(zip(marks, self._each(marks), strict=True))
+        first = self.first
+        later.update([(piece, later[word] + first[mark]) for piece, word, mark in cut])
+
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text):
-            return _LONE_SPACE.split(text)
-        return text.split(" ")
+    def pieces(text: str) -> list[list[str]]:
+        """Pieces of each part between lone line feeds; all but the first of a part are without their space."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or _OTHER_SPACE.search(text):
+            return [_LONE_SPACE.split(text)]
+        return [line.split(" ") for line in text.split("\n")]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed integers of ``kind``."""
         cut = [self.pieces(t) for t in texts]
-        if len(self.later) > CACHE:
+        if len(self.later) + len(self.first) > CACHE:
             self.later.clear()
-        missing = set()
-        for pieces in cut:
-            missing.update(pieces[1:])
-        missing = list(missing.difference(self.later))
-        for at in range(0, len(missing), 10_000):
-            some = missing[at : at + 10_000]
-            self.later.update(zip(some, self._bytes([" " + p for p in some]), strict=True))
-        first = self._bytes([pieces[0] for pieces in cut])
-        get = self.later.__getitem__
-        return [head + b"".join(map(get, pieces[1:])) for head, pieces in zip(first, cut, strict=True)]
+            self.first.clear()
+        heads = [[line.pop(0) for line in lines] for lines in cut]
+        fresh: set[str] = set()
+        for lines in cut:
+            for line in lines:
+                fresh.update(filterfalse(self.later.__contains__, line))
+        self._learn(fresh)
+        begun = list({h for line in heads for h in line}.difference(self.first))
+        self.first.update(zip(begun, self._each(begun), strict=True))
+        first, later, feed = self.first.__getitem__, self.later.__getitem__, self.feed
+        return [feed.join([first(h) + b"".join(map(later, line)) for h, line in zip(hs, lines, strict=True)]) for hs, lines in zip(heads, cut, strict=True)]
 
 
 def encoder(path: str) -> PieceEncoder:
