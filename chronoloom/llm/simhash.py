@@ -22,7 +22,7 @@ from .storage import materialize
 
 SEED = 42
 FANOUT = 8
-FRONTIER = 1 << 18
+FRONTIER = 1 << 16
 _ONES = np.uint64(0x0101010101010101)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,8 +130,12 @@ class Labels:
             self.settle()
 
 
-def link_bucket(codes: np.ndarray, limit: int) -> np.ndarray:
-    """Smallest-position labels of (n, lanes) codes, linked where ``limit`` or fewer bits differ."""
+def link_bucket(codes: np.ndarray, limit: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Smallest-position labels of (n, lanes) codes, linked where ``limit`` or fewer bits differ.
+
+    :param known: labels of links already found. Pairs of nodes that lie in one component as a whole are dropped, so a dense
+        group costs about its size and not its square.
+    """
     order = gray_order(codes)
     levels = [(np.full_like(codes, ~np.uint64(0)), codes[order])]
     while len(levels[-1][0]) > 1:
@@ -141,26 +145,44 @@ def link_bucket(codes: np.ndarray, limit: int) -> np.ndarray:
         zeros = np.bitwise_and.reduceat(~bits & mask, cuts, axis=0)
         levels.append((ones | zeros, ones))
     labels = Labels(len(codes))
+    if known is not None:
+        labels.of = known.copy()
+
+    def whole() -> list[np.ndarray]:
+        """For each level the component of every node, -1 for nodes of several."""
+        found = [labels.of[order]]
+        while len(found[-1]) > 1:
+            cuts = np.arange(0, len(found[-1]), FANOUT)
+            low, high = np.minimum.reduceat(found[-1], cuts), np.maximum.reduceat(found[-1], cuts)
+            found.append(np.where(low == high, low, -1))
+        return found
+
     steps = np.array([(i, j) for i in range(FANOUT) for j in range(FANOUT)])
-    stack = [(len(levels) - 1, np.zeros((1, 2), np.int64), np.zeros(1, np.int64))]
+    stack, groups = [(len(levels) - 1, np.zeros((1, 2), np.int64), np.zeros(1, np.int64))], whole()
     while stack:
         level, pairs, found = stack.pop()
+        apart = (groups[level][pairs[:, 0]] != groups[level][pairs[:, 1]]) | (groups[level][pairs[:, 0]] < 0)
+        pairs, found = pairs[apart], found[apart]
+        if not len(pairs):
+            continue
         if level == 0:
             labels.join(order[pairs[:, 0]], order[pairs[:, 1]])
+            labels.settle()
+            groups = whole()
             continue
         if len(pairs) * len(steps) > FRONTIER and len(pairs) > 1:
             half = len(pairs) // 2
-            stack += [(level, pairs[:half], found[:half]), (level, pairs[half:], found[half:])]
+            stack += [(level, pairs[half:], found[half:]), (level, pairs[:half], found[:half])]
             continue
         mask, bits = levels[level - 1]
-        known = levels[level][0][pairs[:, 0]] & levels[level][0][pairs[:, 1]]
+        known_bits = levels[level][0][pairs[:, 0]] & levels[level][0][pairs[:, 1]]
         below = (pairs[:, None, :] * FANOUT + steps[None, :, :]).reshape(-1, 2)
         parent = np.repeat(np.arange(len(pairs)), len(steps))
         keep = (below[:, 0] <= below[:, 1]) & (below[:, 1] < len(mask))
         if level == 1:
             keep &= below[:, 0] < below[:, 1]
         below, parent = below[keep], parent[keep]
-        fresh = mask[below[:, 0]] & mask[below[:, 1]] & ~known[parent]
+        fresh = mask[below[:, 0]] & mask[below[:, 1]] & ~known_bits[parent]
         total = found[parent] + popcount((bits[below[:, 0]] ^ bits[below[:, 1]]) & fresh)
         near = total <= limit
         if near.any():
@@ -245,11 +267,10 @@ def near_links(codes: DataFrame, limit: int, *, key_bits: int | None = None, tab
                     break
                 left = left[popcount(words[left] ^ words[left + step]) <= limit]
                 labels.join(left, left + step)
-            for a, b in zip(starts, ends, strict=True):
-                if b - a > FANOUT * 4:
-                    found = link_bucket(words[a:b], limit)
-                    labels.join(np.arange(a, b), a + found)
             labels.settle()
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                if b - a > FANOUT * 4:
+                    labels.of[a:b] = a + link_bucket(words[a:b], limit, labels.of[a:b] - a)
             moved = np.flatnonzero(labels.of != np.arange(len(keys)))
             if len(moved):
                 pack = lambda at: pa.array([x.tobytes() for x in words[at].astype(">u8")], pa.binary())
