@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -23,6 +23,8 @@ from .storage import materialize
 SEED = 42
 FANOUT = 8
 FRONTIER = 1 << 16
+#: Hashes of the texts whose shingles are compared that are broadcast at most.
+BROADCAST_ROWS = 500_000
 _ONES = np.uint64(0x0101010101010101)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,18 +78,27 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     return np.packbits((2 * counts > n).reshape(lanes, 64), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, *, width: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, ``fingerprint`` big-endian BINARY) of whole texts; a null text counts as empty."""
+def fingerprints(docs: DataFrame, *, width: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """(``id_col``, ``fingerprint`` big-endian BINARY, ``text_hash``) of whole texts; a null text counts as empty.
+
+    :param once: a shingle that a text repeats counts once.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            codes = [fingerprint(shingle_hashes(t.as_py() or b"", width), lanes).astype(">u8").tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], names=["id", "fingerprint"])
+            texts, codes = batch.column(1).cast(pa.binary()), []
+            for t in texts:
+                hashes = shingle_hashes(t.as_py() or b"", width)
+                codes.append(fingerprint(np.unique(hashes) if once else hashes, lanes).astype(">u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), batch.column(2)], names=["id", "fingerprint", "text_hash"])
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), _text_hash(text_col).alias("text_hash"))
+    return source.mapInArrow(run, f"id {kind}, fingerprint binary, text_hash bigint").withColumnRenamed("id", id_col)
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fingerprint binary")
-    return out.withColumnRenamed("id", id_col)
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -208,11 +219,17 @@ def exact_keys(codes: np.ndarray, limit: int) -> np.ndarray:
 
 
 def sampled_keys(codes: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """(n, tables) bucket keys of ``bits`` bit positions each, drawn once from a fixed seed."""
-    lanes, draw, masks = codes.shape[1], np.random.default_rng(SEED), []
+    """(n, tables) bucket keys of ``bits`` bit positions each, dealt from shuffled positions of a fixed seed.
+
+    All positions serve in about as many tables, so no pair depends on a few that serve in many.
+    """
+    lanes, draw, masks, deck = codes.shape[1], np.random.default_rng(SEED), [], np.empty(0, np.int64)
     for _ in range(tables):
+        if len(deck) < bits:
+            deck = draw.permutation(64 * lanes)
         on = np.zeros(64 * lanes, np.uint8)
-        on[draw.choice(64 * lanes, bits, replace=False)] = 1
+        on[deck[:bits]] = 1
+        deck = deck[bits:]
         masks.append(np.packbits(on).view(">u8").astype(np.uint64))
     return _keys(codes, masks)
 
@@ -280,6 +297,84 @@ def near_links(codes: DataFrame, limit: int, *, key_bits: int | None = None, tab
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "u binary, v binary").distinct()
 
 
+def cross_pairs(codes: DataFrame, limit: int, *, lanes: int, key_bits: int | None = None, tables: int = 0) -> DataFrame:
+    """(u, v): all pairs of the columns (fingerprint, component) that meet in a bucket of :func:`near_links`, differ in
+    ``limit`` or fewer bits and lie in two components."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = np.ascontiguousarray(_codes(batch.column(0))[:, :lanes])
+            keys = exact_keys(words, limit) if key_bits is None else sampled_keys(words, key_bits, tables)
+            for t in range(keys.shape[1]):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), batch.column(0)], names=["key", "both"])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, both in _whole_runs(batches):
+            words, parts = both[:, :lanes], both[:, lanes:]
+            ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1
+            run = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+            step, left = 1, np.arange(len(keys))
+            while len(left := left[left + step < run[left]]):
+                at = left[(parts[left] != parts[left + step]).any(axis=1)]
+                at = at[popcount(words[at] ^ words[at + step]) <= limit]
+                if len(at):
+                    pack = lambda i: pa.array([x.tobytes() for x in words[i].astype(">u8")], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pack(at), pack(at + step)], names=["u", "v"])
+                step += 1
+
+    dealt = codes.select(F.concat("fingerprint", "component").alias("both")).mapInArrow(deal, "key bigint, both binary")
+    pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u binary, v binary")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, *, width: int, text_col: str = "text") -> DataFrame:
+    """(fingerprint, shingles): the distinct shingle hashes of one text for each of ``nodes`` (fingerprint, text_hash)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", width)).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fingerprint", "shingles"])
+
+    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    texts = docs.select(_text_hash(text_col).alias("text_hash"), F.col(text_col).alias("t")).join(few, "text_hash")
+    made = texts.select("fingerprint", "t").mapInArrow(run, "fingerprint binary, shingles array<bigint>")
+    return made.dropDuplicates(["fingerprint"])
+
+
+def similar_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``links`` (u, v) whose shingles have that Jaccard similarity or more."""
+    side = lambda node, name: sets.select(F.col("fingerprint").alias(node), F.col("shingles").alias(name))
+    both = links.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    found = both.select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b")).alias("sizes"))
+    return found.where(F.col("shared") >= similarity * (F.col("sizes") - F.col("shared")) - 1e-9).select("u", "v")
+
+
+def _verified(docs: DataFrame, distinct: DataFrame, links: DataFrame, limit: int, *, lanes: int, key_bits: int | None, tables: int, width: int, similarity: float, text_col: str) -> DataFrame:
+    """Links of that similarity or more which connect what all such pairs within ``limit`` bits in a bucket connect.
+
+    The forests of ``links`` are verified first. A link that fails may have stood for others, so where it leaves several
+    components every pair between them is verified too; pairs inside a component would add nothing.
+    """
+    links = materialize(links, "simhash-candidates")
+    loose = connected_components(links, "simhash-loose").select(F.col("node").alias("fingerprint"), F.col("component").alias("loose"))
+    nodes = materialize(loose.join(distinct, "fingerprint").select("fingerprint", "loose", "text_hash"), "simhash-nodes")
+    sets = materialize(shingle_sets(docs, nodes.select("fingerprint", "text_hash"), width=width, text_col=text_col), "shingle-sets")
+    sure = materialize(similar_links(links, sets, similarity), "simhash-sure")
+    parts = connected_components(sure, "simhash-parts").select(F.col("node").alias("fingerprint"), "component")
+    parts = nodes.join(parts, "fingerprint", "left").select("fingerprint", "loose", F.coalesce("component", "fingerprint").alias("component"))
+    parts = materialize(parts, "simhash-parted")
+    open_ = parts.groupBy("loose").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    again = parts.join(open_.where("n > 2 and low != high").select("loose"), "loose", "left_semi")
+    more = cross_pairs(again, limit, lanes=lanes, key_bits=key_bits, tables=tables)
+    tried = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    more = materialize(more.join(tried, ["u", "v"], "left_anti"), "simhash-more")
+    return sure.union(similar_links(more, sets, similarity))
+
+
 def _whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(keys, codes) pieces of a sorted stream, cut only between different keys."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -307,6 +402,7 @@ def near_duplicates(
     key_bits: int | None = 20,
     similarity: float = 0.8,
     recall: float = 0.9,
+    verify: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -318,15 +414,19 @@ def near_duplicates(
     :param key_bits: bits a sampled bucket key, ``None`` for lossless buckets (small limits only).
     :param similarity, recall: with sampled keys, the tables suffice to meet a pair of this Jaccard similarity
         with this chance.
+    :param verify: repeats of a shingle count once, and only pairs whose sets of shingles have the Jaccard similarity
+        ``similarity`` or more link. Fingerprints that are equal count as one text.
 
     component_id is the smallest id reachable, the document's own included. Null and empty texts, and texts
     without words, have the fingerprint zero and link like any other. Repeated rows each keep their row. A null
     id takes part; a group of null ids alone has a null component_id. Other columns are ignored.
     """
-    coded = materialize(fingerprints(docs, width=width, lanes=lanes, id_col=id_col, text_col=text_col), "fingerprints")
-    distinct = coded.groupBy("fingerprint").agg(F.min(id_col).alias("first"))
+    coded = materialize(fingerprints(docs, width=width, lanes=lanes, id_col=id_col, text_col=text_col, once=verify), "fingerprints")
+    distinct = coded.groupBy("fingerprint").agg(F.min(id_col).alias("first"), F.min("text_hash").alias("text_hash"))
     tables = 0 if key_bits is None else tables_for(similarity, key_bits, recall)
     links = near_links(distinct, limit, key_bits=key_bits, tables=tables)
+    if verify:
+        links = _verified(docs, distinct, links, limit, lanes=lanes, key_bits=key_bits, tables=tables, width=width, similarity=similarity, text_col=text_col)
     groups = connected_components(links, "simhash-links").select(F.col("node").alias("fingerprint"), "component")
     owner = distinct.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     least = owner.groupBy("component").agg(F.min("first").alias("component_id"))

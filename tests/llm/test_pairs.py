@@ -140,3 +140,30 @@ def test_neighbours(spark, kind):
         hits += len({v for v, _ in found[q]} & set(np.lexsort((np.arange(900), -np.round(score, 12)))[:5].tolist()))
     assert hits >= 0.9 * 5 * 18 and unit.shape == x.shape
     assert neighbours.nearest(df.limit(0), df).count() == 0
+
+
+def test_pipeline_near_copies_equal_brute_force(spark):
+    import corpus_pipeline
+
+    draw, texts = np.random.default_rng(7), []
+    word = lambda n: [f"w{x}" for x in draw.integers(0, 1 << 40, n)]
+    for shared in (82, 85, 88, 89, 90, 92, 95):  # of 100 shingles: Jaccard 0.69 to 0.90, 0.786 and 0.802 around the limit
+        for _ in range(40):
+            base = word(104)
+            texts += [base, base[: shared + 4] + word(100 - shared)]
+    base = word(104)
+    for _ in range(80):  # a dense group on both sides of the limit
+        at, copy = draw.integers(0, 104), list(base)
+        copy[at : at + 6] = word(len(copy[at : at + 6]))
+        texts.append(copy)
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    docs = spark.createDataFrame([(i, " ".join(t), "x") for i, t in enumerate(texts)], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(group)
