@@ -51,20 +51,23 @@ def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
 
 
 def sketches(items: DataFrame, containment: float, width: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, n, shingle, hash, in_sketch): the shingles of each item, and which of them are its sketch.
+    """(item, id, n, shingle, hash, in_sketch): the shingles of each item, and which of them are its sketch.
+
+    ``item`` is never null: a row without an id is an item of its own, told apart by its text.
 
     The sketch length is set by the partition, the next power of two of the item's size n: of n shingles a match
     misses (1 - containment) * n at most, so one more than that share of the partition's bound always meets it.
     """
     text = F.col(text_col)
     both = F.arrays_zip(shingle_strings(text, width).alias("shingle"), shingle_hashes(text, width).alias("hash"))
-    rows = items.select(F.col(item_col).alias("item"), F.explode(both).alias("z")).select("item", "z.shingle", "z.hash")
-    rows = rows.groupBy("item", "shingle").agg(F.min("hash").alias("hash"))
-    gathered = rows.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("hash", "shingle"))).alias("all"))
+    item = F.coalesce(F.concat(F.lit("id:"), F.col(item_col).cast("string")), F.concat(F.lit("row:"), row_key(item_col, text_col)))
+    rows = items.select(item.alias("item"), F.col(item_col).alias("id"), F.explode(both).alias("z")).select("item", "id", "z.shingle", "z.hash")
+    rows = rows.groupBy("item", "shingle").agg(F.min("hash").alias("hash"), F.min("id").alias("id"))
+    gathered = rows.groupBy("item").agg(F.min("id").alias("id"), F.array_sort(F.collect_list(F.struct("hash", "shingle"))).alias("all"))
     gathered = gathered.withColumn("n", F.size("all")).withColumn("bound", F.pow(F.lit(2.0), F.ceil(F.log2("n"))))
     length = (F.floor(F.lit(1 - containment + 1e-9) * F.col("bound")) + 1).cast("int")
-    return gathered.select("item", "n", length.alias("length"), F.posexplode("all").alias("place", "z")).select(
-        "item", "n", "z.shingle", "z.hash", (F.col("place") < F.col("length")).alias("in_sketch"))
+    return gathered.select("item", "id", "n", length.alias("length"), F.posexplode("all").alias("place", "z")).select(
+        "item", "id", "n", "z.shingle", "z.hash", (F.col("place") < F.col("length")).alias("in_sketch"))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -91,8 +94,8 @@ def matches(
     """(key, id, item_id, n_shingles, n_found, containment): the items of which a text holds the asked share.
 
     Whole texts count. Items and texts without words match nothing; an item of fewer words than ``width`` matches
-    a text that is that item. Null ids take part; repeated rows count once; an item_id of several rows is the union of
-    its texts. Empty tables give an empty result. Other columns are ignored.
+    a text that is that item. Null ids take part, each item without an id for itself; repeated rows count once; an
+    item_id of several rows is the union of its texts. Empty tables give an empty result. Other columns are ignored.
     """
     known = materialize(sketches(items, containment, width, item_col, item_text_col), "benchmark-shingles")
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
@@ -101,10 +104,10 @@ def matches(
     pairs = materialize(found.join(_sent(wanted), "hash").select("key", "item").distinct(), "benchmark-candidates")
     both = F.explode(F.arrays_zip(shingle_strings(F.col("t"), width).alias("shingle"), shingle_hashes(F.col("t"), width).alias("hash"))).alias("z")
     again = rows.join(_sent(pairs.select("key").distinct()), "key").select("key", "id", both).select("key", "id", "z.hash", "z.shingle")
-    held = again.join(_sent(known.select("hash", "shingle", "item", "n")), ["hash", "shingle"]).select("key", "id", "item", "n", "shingle").distinct()
-    counted = held.join(pairs, ["key", "item"], "left_semi").groupBy("key", "id", "item", "n").agg(F.count("*").alias("n_found"))
+    held = again.join(_sent(known.select("hash", "shingle", "item", F.col("id").alias("named"), "n")), ["hash", "shingle"]).select("key", "id", "item", "named", "n", "shingle").distinct()
+    counted = held.join(pairs, ["key", "item"], "left_semi").groupBy("key", "id", "item", "named", "n").agg(F.count("*").alias("n_found"))
     share = F.col("n_found") / F.col("n")
-    named = counted.select("key", "id", F.col("item").alias(item_col), F.col("n").cast("bigint").alias("n_shingles"), "n_found", share.alias("containment"))
+    named = counted.select("key", "id", F.col("named").alias(item_col), F.col("n").cast("bigint").alias("n_shingles"), "n_found", share.alias("containment"))
     return named.where(F.col("containment") >= containment)
 
 

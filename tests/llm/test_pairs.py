@@ -167,3 +167,12 @@ def test_pipeline_near_copies_equal_brute_force(spark):
     docs = spark.createDataFrame([(i, " ".join(t), "x") for i, t in enumerate(texts)], DOCS)
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert kept == set(group)
+
+
+def test_items_without_id_match(spark):
+    one, two = words(30, 21), words(25, 22)
+    docs = spark.createDataFrame([(1, "before " + one), (2, two), (3, words(40, 23))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, one), (None, two), (7, words(20, 24))], "item_id bigint, text string")
+    got = decontaminate.contaminated(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in got) == [(1, None, 26, 26), (2, None, 21, 21)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [3]
