@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialize
+from .storage import fresh_name, materialize
 
 SEED = 42
 FANOUT = 8
 FRONTIER = 1 << 16
+#: Words of the fingerprints by which candidates are told apart before their shingles are compared.
+WIDE = 8
 #: Hashes of the texts whose shingles are compared that are broadcast at most.
 BROADCAST_ROWS = 500_000
 _ONES = np.uint64(0x0101010101010101)
@@ -256,6 +258,12 @@ def tables_for(similarity: float, bits: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log1p(-(same**bits)))
 
 
+def limit_for(similarity: float, bits: int, deviations: float = 4.0) -> int:
+    """Differing bits, of ``bits``, that a pair of that Jaccard similarity exceeds with the chance of so many standard deviations."""
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * apart + deviations * math.sqrt(bits * apart * (1 - apart)))
+
+
 def near_links(codes: DataFrame, limit: int, *, key_bits: int | None = None, tables: int = 0) -> DataFrame:
     """(u, v): links that connect what differs in ``limit`` or fewer bits, of the distinct column ``fingerprint``.
 
@@ -297,9 +305,8 @@ def near_links(codes: DataFrame, limit: int, *, key_bits: int | None = None, tab
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "u binary, v binary").distinct()
 
 
-def cross_pairs(codes: DataFrame, limit: int, *, lanes: int, key_bits: int | None = None, tables: int = 0) -> DataFrame:
-    """(u, v): all pairs of the columns (fingerprint, component) that meet in a bucket of :func:`near_links`, differ in
-    ``limit`` or fewer bits and lie in two components."""
+def _dealt(codes: DataFrame, *, lanes: int, limit: int, key_bits: int | None, tables: int) -> DataFrame:
+    """(key, both): the columns (fingerprint, component, wide) of ``codes``, joined, under every bucket key."""
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,37 +317,94 @@ def cross_pairs(codes: DataFrame, limit: int, *, lanes: int, key_bits: int | Non
             for t in range(keys.shape[1]):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), batch.column(0)], names=["key", "both"])
 
+    rows = codes.select(F.concat("fingerprint", "component", "wide").alias("both")).mapInArrow(deal, "key bigint, both binary")
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
+def _buckets(batches: Iterable[pa.RecordBatch], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, the rest of each row, end of the bucket of each code) in pieces of whole buckets, each bucket in Gray order."""
+    for keys, both in _whole_runs(batches):
+        order = gray_order(np.concatenate([keys.view(np.uint64)[:, None], both[:, :lanes]], axis=1))
+        # The key leads the rank, so buckets stay together; only whether two keys are equal matters.
+        keys, both = keys[order], both[order]
+        ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1
+        yield both[:, :lanes], both[:, lanes:], np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+
+
+def _packed_words(words: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in words.astype(">u8")], pa.binary())
+
+
+def nearest_pairs(codes: DataFrame, limit: int, *, lanes: int, key_bits: int | None, tables: int) -> DataFrame:
+    """(u, v): each code with one that is nearest among its neighbours in the Gray order of its buckets, within ``limit``."""
+
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, both in _whole_runs(batches):
-            words, parts = both[:, :lanes], both[:, lanes:]
-            ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1
-            run = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-            step, left = 1, np.arange(len(keys))
-            while len(left := left[left + step < run[left]]):
-                at = left[(parts[left] != parts[left + step]).any(axis=1)]
+        for words, _, run in _buckets(batches, lanes):
+            least, mate = np.full(len(words), limit + 1), np.full(len(words), -1)
+            left = np.arange(len(words))
+            for step in range(1, FANOUT + 1):
+                left = left[left + step < run[left]]
+                apart = popcount(words[left] ^ words[left + step])
+                for at, other in ((left, left + step), (left + step, left)):
+                    nearer = apart < least[at]
+                    least[at[nearer]], mate[at[nearer]] = apart[nearer], other[nearer]
+            at = np.flatnonzero(mate >= 0)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([_packed_words(words[at]), _packed_words(words[mate[at]]), pa.array(least[at])], names=["u", "v", "apart"])
+
+    dealt = _dealt(codes, lanes=lanes, limit=limit, key_bits=key_bits, tables=tables)
+    met = dealt.mapInArrow(compare, "u binary, v binary, apart bigint").groupBy("u").agg(F.min(F.struct("apart", "v")).alias("n"))
+    return met.select(F.least("u", "n.v").alias("u"), F.greatest("u", "n.v").alias("v")).distinct()
+
+
+def cross_pairs(codes: DataFrame, limit: int, wide_limit: int, low: int, high: int, *, lanes: int, key_bits: int | None, tables: int) -> DataFrame:
+    """(u, v): pairs ``low`` to ``high`` - 1 places apart in a bucket that differ in ``limit`` or fewer bits, in their wide
+    fingerprints in ``wide_limit`` or fewer, and lie in two components.
+
+    A row with null v names a code of a bucket that holds pairs further apart.
+    """
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, rest, run in _buckets(batches, lanes):
+            parts, wide, left = rest[:, 0], np.ascontiguousarray(rest[:, 1:]), np.arange(len(words))
+            for step in range(low, high):
+                left = left[left + step < run[left]]
+                if not len(left):
+                    break
+                at = left[parts[left] != parts[left + step]]
                 at = at[popcount(words[at] ^ words[at + step]) <= limit]
+                at = at[popcount(wide[at] ^ wide[at + step]) <= wide_limit]
                 if len(at):
-                    pack = lambda i: pa.array([x.tobytes() for x in words[i].astype(">u8")], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pack(at), pack(at + step)], names=["u", "v"])
-                step += 1
+                    yield pa.RecordBatch.from_arrays([_packed_words(words[at]), _packed_words(words[at + step])], names=["u", "v"])
+            size = np.bincount(run, minlength=len(run) + 1)[run]
+            far = np.flatnonzero(size > high)
+            if len(far):
+                yield pa.RecordBatch.from_arrays([_packed_words(words[far]), pa.nulls(len(far), pa.binary())], names=["u", "v"])
 
-    dealt = codes.select(F.concat("fingerprint", "component").alias("both")).mapInArrow(deal, "key bigint, both binary")
-    pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u binary, v binary")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = _dealt(codes, lanes=lanes, limit=limit, key_bits=key_bits, tables=tables).mapInArrow(compare, "u binary, v binary")
+    one = F.when(F.col("v").isNull(), F.col("u")).otherwise(F.least("u", "v"))
+    return pairs.select(one.alias("u"), F.when(F.col("v").isNotNull(), F.greatest("u", "v")).alias("v")).distinct()
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, *, width: int, text_col: str = "text") -> DataFrame:
-    """(fingerprint, shingles): the distinct shingle hashes of one text for each of ``nodes`` (fingerprint, text_hash)."""
+    """(fingerprint, shingles, wide) of one text for each of ``nodes`` (fingerprint, text_hash).
+
+    ``shingles`` are distinct numbers of 32 bits; two shingles of a pair of texts share one by chance about once in 4,000
+    pairs of texts of 1,000 words. ``wide`` is a fingerprint of ``WIDE`` words, by which similarity is told more closely.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            sets = [np.unique(shingle_hashes(t.as_py() or b"", width)).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fingerprint", "shingles"])
-
-    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+            sets, wide = [], []
+            for t in batch.column(1).cast(pa.binary()):
+                hashes = np.unique(shingle_hashes(t.as_py() or b"", width))
+                sets.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+                wide.append(fingerprint(hashes, WIDE).astype(">u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32())), pa.array(wide, pa.binary())], names=["fingerprint", "shingles", "wide"])
+
+    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes  # a row is a hash and a fingerprint
     texts = docs.select(_text_hash(text_col).alias("text_hash"), F.col(text_col).alias("t")).join(few, "text_hash")
-    made = texts.select("fingerprint", "t").mapInArrow(run, "fingerprint binary, shingles array<bigint>")
+    made = texts.select("fingerprint", "t").mapInArrow(run, "fingerprint binary, shingles array<int>, wide binary")
     return made.dropDuplicates(["fingerprint"])
 
 
@@ -354,25 +418,37 @@ def similar_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 
 def _verified(docs: DataFrame, distinct: DataFrame, links: DataFrame, limit: int, *, lanes: int, key_bits: int | None, tables: int, width: int, similarity: float, text_col: str) -> DataFrame:
-    """Links of that similarity or more which connect what all such pairs within ``limit`` bits in a bucket connect.
+    """(fingerprint, component) of what pairs of that similarity or more connect, of all pairs within ``limit`` bits in a bucket.
 
-    The forests of ``links`` are verified first. A link that fails may have stood for others, so where it leaves several
-    components every pair between them is verified too; pairs inside a component would add nothing.
+    Every text is verified against its nearest neighbour first. Where that leaves several components of what the index
+    has linked, pairs between them are verified, near ones in Gray order before those 16 times as far apart, until no
+    pair of a bucket is left; pairs inside a component would add nothing and are not made.
     """
-    links = materialize(links, "simhash-candidates")
+    how = {"lanes": lanes, "key_bits": key_bits, "tables": tables}
     loose = connected_components(links, "simhash-loose").select(F.col("node").alias("fingerprint"), F.col("component").alias("loose"))
     nodes = materialize(loose.join(distinct, "fingerprint").select("fingerprint", "loose", "text_hash"), "simhash-nodes")
     sets = materialize(shingle_sets(docs, nodes.select("fingerprint", "text_hash"), width=width, text_col=text_col), "shingle-sets")
-    sure = materialize(similar_links(links, sets, similarity), "simhash-sure")
-    parts = connected_components(sure, "simhash-parts").select(F.col("node").alias("fingerprint"), "component")
-    parts = nodes.join(parts, "fingerprint", "left").select("fingerprint", "loose", F.coalesce("component", "fingerprint").alias("component"))
-    parts = materialize(parts, "simhash-parted")
-    open_ = parts.groupBy("loose").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    again = parts.join(open_.where("n > 2 and low != high").select("loose"), "loose", "left_semi")
-    more = cross_pairs(again, limit, lanes=lanes, key_bits=key_bits, tables=tables)
-    tried = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = materialize(more.join(tried, ["u", "v"], "left_anti"), "simhash-more")
-    return sure.union(similar_links(more, sets, similarity))
+    tried = materialize(nearest_pairs(nodes.withColumns({"component": F.lit(b""), "wide": F.lit(b"")}), limit, **how), "simhash-nearest")
+    fresh, parts, active, low, high = tried, nodes.select("fingerprint", "loose", F.col("fingerprint").alias("component")), None, 1, 4
+    while True:
+        sure = similar_links(fresh, sets, similarity)
+        of = lambda node, name: parts.select(F.col("fingerprint").alias(node), F.col("component").alias(name))
+        sure = materialize(sure.join(of("u", "a"), "u").join(of("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "simhash-sure")
+        if not sure.isEmpty():
+            joined = connected_components(sure, "simhash-parts").select(F.col("node").alias("component"), F.col("component").alias("now"))
+            parts = parts.join(joined, "component", "left").select("fingerprint", "loose", F.coalesce("now", "component").alias("component"))
+            parts = materialize(parts, "simhash-parted")
+        several = parts.groupBy("loose").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("loose")
+        open_ = parts.join(several if active is None else several.join(active, "loose"), "loose", "left_semi").join(sets.select("fingerprint", "wide"), "fingerprint")
+        named = F.unhex(F.lpad(F.hex(F.xxhash64("component")), 16, "0"))
+        met = materialize(cross_pairs(open_.withColumn("component", named), limit, limit_for(similarity, 64 * WIDE), low, high, **how), "simhash-met")
+        fresh = materialize(met.where("v is not null").join(tried, ["u", "v"], "left_anti"), "simhash-more")
+        far = met.where("v is null").select(F.col("u").alias("fingerprint"))
+        if fresh.isEmpty() and far.isEmpty():
+            return parts.select("fingerprint", "component")
+        # Whole groups stay: what connects two codes may lie in other buckets.
+        active = materialize(nodes.join(far, "fingerprint", "left_semi").select("loose").distinct(), "simhash-active")
+        tried, low, high = tried.union(fresh), high, high * 16
 
 
 def _whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -426,8 +502,9 @@ def near_duplicates(
     tables = 0 if key_bits is None else tables_for(similarity, key_bits, recall)
     links = near_links(distinct, limit, key_bits=key_bits, tables=tables)
     if verify:
-        links = _verified(docs, distinct, links, limit, lanes=lanes, key_bits=key_bits, tables=tables, width=width, similarity=similarity, text_col=text_col)
-    groups = connected_components(links, "simhash-links").select(F.col("node").alias("fingerprint"), "component")
+        groups = _verified(docs, distinct, links, limit, lanes=lanes, key_bits=key_bits, tables=tables, width=width, similarity=similarity, text_col=text_col)
+    else:
+        groups = connected_components(links, "simhash-links").select(F.col("node").alias("fingerprint"), "component")
     owner = distinct.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     least = owner.groupBy("component").agg(F.min("first").alias("component_id"))
     names = owner.join(least, "component").select("fingerprint", "component_id")
@@ -443,6 +520,6 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     stay = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     kept = docs.where(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = kept.withColumn("__copy", F.row_number().over(order)).where("__copy = 1").drop("__copy")
+    order, copy = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)), fresh_name(docs, "copy")
+    kept = kept.withColumn(copy, F.row_number().over(order)).where(F.col(copy) == 1).drop(copy)
     return kept.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
