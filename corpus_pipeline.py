@@ -21,9 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the first, of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    By the binomial formula for differing bits a pair of similarity 0.8 is found with chance 0.999; each link is verified.
+    By the binomial formula for differing bits a pair of similarity 0.8 is found with chance 0.9998; each link is verified.
     """
-    return simhash.drop_near_duplicates(docs, limit=68, key_bits=13, recall=0.99999, verify=True)
+    return simhash.drop_near_duplicates(docs, lanes=3, limit=48, key_bits=13, recall=0.9999, verify=True)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
