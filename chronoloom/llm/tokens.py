@@ -9,6 +9,7 @@ beside the files holds the token id of every rank as little-endian u32.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -18,6 +19,7 @@ from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,99 +31,131 @@ MAGIC = b"CLTOKEN1"
 HEADER = struct.Struct("<8s4Q")
 #: Value lengths of each control byte: the table that decoding looks up.
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2)[None, :] & 3).astype(np.uint8) + 1
-#: Space-delimited pieces remembered by a worker before it starts over.
-CACHE = 500_000
+#: Pieces remembered by a worker before it starts over.
+CACHE = 300_000
+#: Characters of texts that are encoded at once, about.
+UNIT = 2 << 20
+#: Bytes of ids a file holds before the next one begins.
+FILE_BYTES = 64 << 20
 #: White space besides the plain space and line feed.
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: ASCII marks that are no letter, digit, apostrophe or white space: a run of them is a token piece of its own.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words that are encoded in one go.
+#: Marks of pieces, characters that no cut text holds: start of a text, start of a later piece, end of a text, a lone stop.
+HEAD, CUT, END, STOP = "\x00", "\x01", "\x02", "\x03"
+_MARKED = re.compile("[\x00-\x03]")
+#: One mark between a letter and a space: a token piece of its own, as letters and marks are never joined.
+_STOP = re.compile("[.,;:!?](?<=[A-Za-z\xdf-\xf6\xf8-\xff].)(?=[ \n])")
+#: Pieces that are encoded in one go.
 TOGETHER = 250
 _ENCODERS: dict = {}
 
 
+def splits_at_spaces(path: str) -> bool:
+    """Whether a tokenizer file is known to encode the pieces between lone spaces each for itself.
+
+    So do byte-level pair encodings that cut words by the usual pattern, put no space in front and do not rewrite texts.
+    """
+    with open(path, encoding="utf-8") as source:
+        made = json.load(source)
+    cut = made.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    bare = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in made.get("added_tokens") or [])
+    return plain and bare and made.get("normalizer") is None and (made.get("model") or {}).get("type") == "BPE"
+
+
 class PieceEncoder:
     """Encodes whole texts piece by piece, each distinct piece once.
 
     Byte-level pre-tokenisation never joins text across a single space or line feed between two other characters, so
-    the pieces between such places encode alone; a piece keeps the space in front of it. Of a word with marks behind it, the
-    word and the marks encode alone, too. Plain words are encoded in long lines and told apart by their tokens' lengths.
+    the pieces between such places encode alone. A piece keeps what stands in front of it: a space (not written), a line feed
+    or the start of the text. Pieces without white space are learned in long lines and told apart by their tokens' lengths.
+    With any other tokenizer a text is one piece.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
-        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.tokenizer, self.cuts = Tokenizer.from_file(path), splits_at_spaces(path)
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values(), default=0) + 1
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.token_bytes = np.zeros(size, np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
+        for token, i in vocabulary.items():
             self.token_bytes[i] = len(token)  # byte-level tokens have a character for each byte
-        self.later: dict[str, bytes] = {}  # of pieces behind a space
-        self.first: dict[str, bytes] = {}  # of pieces at the start of a line
-        self.feed = self._each(["\n"])[0]
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what was known when there was too much of it
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> None:
-        """Learn words of letters that follow a space."""
-        width = np.dtype(self.kind).itemsize
+    def _learn(self, pieces: list[str]) -> None:
+        known, width, apart = self.known, self.kind.itemsize, []
+        words = []
+        for piece in pieces:
+            if piece[:1] in ("\n", HEAD, STOP, ""):
+                apart.append((piece, piece.lstrip(HEAD + STOP)))
+            elif not piece.isalnum() and (" " in piece or "\n" in piece or _OTHER_SPACE.search(piece)):
+                apart.append((piece, " " + piece))
+            else:
+                words.append(piece)
         for at in range(0, len(words), TOGETHER):
             some = words[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1)) + 1
-            packed, ends = ids.tobytes(), (ends * width).tolist()
-            self.later.update(zip(some, map(packed.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Learn pieces that follow a space."""
-        later, words, marks, rest, cut = self.later, set(), set(), [], []
-        for piece in pieces:
-            word = piece.rstrip(MARKS)
-            # Letters of alphabets whose letters every version of the character tables knows.
-            if not word.isalpha() or not word.isascii() and max(word) >= "\u0250":
-                rest.append(piece)
+            line = " " + " ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.kind)
+            sizes = np.fromiter(map(len, some if line.isascii() else map(str.encode, some)), np.int64, len(some)) + 1
+            ends, reached = np.cumsum(sizes), np.cumsum(self.token_bytes[ids])
+            last = np.searchsorted(reached, ends)
+            if not len(ids) or reached[-1] != ends[-1] or (reached[last] != ends).any():
+                apart += [(p, " " + p) for p in some]
                 continue
-            if len(word) < len(piece):
-                cut.append((piece, word, piece[len(word) :]))
-                marks.add(piece[len(word) :])
-            if word not in later:
-                words.add(word)
-        self._words(list(words))
-        for at in range(0, len(rest), 10_000):
-            some = rest[at : at + 10_000]
-            later.update(zip(some, self._each([" " + p for p in some]), strict=True))
-        marks = list(marks.difference(self.first))
-        self.first.update(zip(marks, self._each(marks), strict=True))
-        first = self.first
-        later.update([(piece, later[word] + first[mark]) for piece, word, mark in cut])
-
-    @staticmethod
-    def pieces(text: str) -> list[list[str]]:
-        """Pieces of each part between lone line feeds; all but the first of a part are without their space."""
+            packed, stops = ids.tobytes(), ((last + 1) * width).tolist()
+            known.update(zip(some, map(packed.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+        for at in range(0, len(apart), 10_000):
+            some = apart[at : at + 10_000]
+            known.update(zip([p for p, _ in some], self._each([t for _, t in some]), strict=True))
+
+    def cut(self, text: str) -> str | None:
+        """The text with its pieces marked, a mark of its start in front and of its end behind; None where it cannot be cut."""
+        if not self.cuts or _MARKED.search(text):
+            return None
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or _OTHER_SPACE.search(text):
-            return [_LONE_SPACE.split(text)]
-        return [line.split(" ") for line in text.split("\n")]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as packed integers of ``kind``."""
-        cut = [self.pieces(t) for t in texts]
-        if len(self.later) + len(self.first) > CACHE:
-            self.later.clear()
-            self.first.clear()
-        heads = [[line.pop(0) for line in lines] for lines in cut]
-        fresh: set[str] = set()
-        for lines in cut:
-            for line in lines:
-                fresh.update(filterfalse(self.later.__contains__, line))
+            return f"{HEAD}{_LONE_SPACE.sub(CUT, text)}{CUT}{END}"
+        text = _STOP.sub(CUT + STOP + "\\g<0>", text)
+        return f"{HEAD}{text.replace(' ', CUT).replace(chr(10), CUT + chr(10))}{CUT}{END}"
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with ``end_id`` behind; ids of each text)."""
+        if len(self.known) > CACHE:
+            self.before, self.known = self.known, {}
+        end, marked, whole = np.array([end_id], self.kind).tobytes(), [self.cut(t) for t in texts], []
+        for i, m in enumerate(marked):
+            if m is None:
+                marked[i] = f"{HEAD}{i}{END}"  # no piece of a cut text looks like this
+                whole.append(marked[i])
+                self.known[marked[i]] = self._each([texts[i]])[0] + end
+        pieces = pc.split_pattern(pa.array(marked, pa.large_string()), CUT)
+        coded = pieces.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.known
+        known[END] = end
+        fresh = list(filterfalse(known.__contains__, names))
+        if self.before:
+            old = list(filter(self.before.__contains__, fresh))
+            known.update(zip(old, map(self.before.__getitem__, old), strict=True))
+            fresh = list(filterfalse(self.before.__contains__, fresh))
         self._learn(fresh)
-        begun = list({h for line in heads for h in line}.difference(self.first))
-        self.first.update(zip(begun, self._each(begun), strict=True))
-        first, later, feed = self.first.__getitem__, self.later.__getitem__, self.feed
-        return [feed.join([first(h) + b"".join(map(later, line)) for h, line in zip(hs, lines, strict=True)]) for hs, lines in zip(heads, cut, strict=True)]
+        found = [known[name] for name in names]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        flat, at = np.frombuffer(b"".join(found), self.kind), coded.indices.to_numpy()
+        lengths = sizes[at]
+        stops = np.cumsum(lengths)
+        places = np.repeat((np.cumsum(sizes) - sizes)[at] - stops + lengths, lengths)
+        places += np.arange(len(places))
+        of_text = np.concatenate([[0], stops])[pieces.offsets.to_numpy()]
+        for name in whole:
+            del known[name]
+        return flat[places], np.diff(of_text)
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -130,6 +164,18 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def units(texts: list[str]) -> Iterator[slice]:
+    """Slices of the texts of about ``UNIT`` characters each, of one text at least."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= UNIT:
+            yield slice(first, i + 1)
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of u32 values."""
     values = values.astype("<u4")
@@ -205,7 +251,8 @@ def write_token_files(
 
     A null text is empty: its document holds ``end_id`` alone. A null id is kept as null. Repeated rows are each
     written. An empty table gives no token file. One pass tokenises and counts, a second ranks and packs; each file
-    is written by one task and appears only when whole, so lost tasks are simply run again.
+    is written by one task, holds about ``FILE_BYTES`` of ids or one unit of texts, and appears only when whole, so lost
+    tasks are simply run again. Any tokenizer file will do; those that :func:`splits_at_spaces` knows are fast.
     """
     spark = docs.sparkSession
     keys = order or [F.col(id_col)]
@@ -216,48 +263,53 @@ def write_token_files(
 
     def tokenise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part = encoder(tokenizer_path), TaskContext.get().partitionId()
-        end, seen, total = np.array([end_id], tool.kind).tobytes(), np.zeros(1 << 16, np.int64), [0, 0]
-        schema = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
+        seen, width, number = np.zeros(1 << 16, np.int64), tool.kind.itemsize, 0
+        schema = pa.schema([("id", pa.int64()), ("ids", pa.large_binary())])
 
         def frames() -> Iterator[bytes]:
             nonlocal seen
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    some = batch.slice(at, 500)
-                    coded = [x + end for x in tool.encode(some.column(1).to_pylist())]
-                    ids = np.frombuffer(b"".join(coded), tool.kind)
+                texts = batch.column(1).to_pylist()
+                for some in units(texts):
+                    ids, counts = tool.encode(texts[some], end_id)
                     found = np.bincount(ids)
                     if len(found) > len(seen):
                         seen = np.concatenate([seen, np.zeros(len(found) - len(seen), np.int64)])
                     seen[: len(found)] += found
-                    total[0] += some.num_rows
-                    total[1] += len(ids)
+                    stops = np.concatenate([[0], np.cumsum(counts)]) * width
+                    coded = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(stops.astype(np.int64)), pa.py_buffer(ids)])
                     out = pa.BufferOutputStream()
                     with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                        writer.write_batch(pa.record_batch([some.column(0), pa.array(coded, pa.binary())], schema=schema))
+                        writer.write_batch(pa.record_batch([batch.column(0).slice(some.start, len(counts)), coded], schema=schema))
                     frame = out.getvalue().to_pybytes()
-                    yield struct.pack("<Q", len(frame)) + frame
-
-        first = next(source := frames(), None)
-        if first is None:
-            return
-
-        def chunks() -> Iterator[bytes]:
-            yield first
-            yield from source
-
-        publish(f"{uri}/raw/{part:07d}.ids", chunks())
+                    yield struct.pack("<Q", len(frame)) + frame, len(ids) * width
+
+        def chunks(held: bytes, size: int) -> Iterator[bytes]:
+            """Frames from ``held`` on until a file is full; what comes next is left in ``after``."""
+            nonlocal after
+            while held is not None:
+                yield held
+                held, more = next(source, (None, 0))
+                if size + more > FILE_BYTES:
+                    break
+                size += more
+            after = (held, more) if held is not None else None
+
+        source = frames()
+        after = next(source, None)
+        while after is not None:
+            publish(f"{uri}/raw/{part:07d}-{number:05d}.ids", chunks(*after))
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([0])], names=["part", "token", "n"])
+            number += 1
         used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([-1]), pa.array([total[1]])], names=["part", "token", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), part)), pa.array(used), pa.array(seen[used])], names=["part", "token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), -1)), pa.array(used), pa.array(seen[used])], names=["part", "token", "n"])
 
     counted = materialize(dealt.mapInArrow(tokenise, "part bigint, token bigint, n bigint"), "token-counts")
     # One row per id of the vocabulary at most, whatever the input.
-    ranked = counted.where("token >= 0").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token")
+    ranked = counted.where("part < 0").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token")
     by_rank = np.array([r.token for r in ranked.collect()], np.int64)
     publish(f"{uri}/ranks.ids", [by_rank.astype("<u4").tobytes()])
-    last = counted.agg(F.max("part")).first()[0]
-    if last is None:
+    if not len(by_rank):
         return
     rank_of = np.zeros(int(by_rank.max()) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
@@ -265,25 +317,26 @@ def write_token_files(
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = open_filesystem(uri)
         kind, written = encoder(tokenizer_path).kind, []
-        for part in (p for b in batches for p in b.column(0).to_pylist()):
-            raw, done = f"{base}/raw/{part:07d}.ids", f"{part:07d}.tok"
+        for part, number in (p for b in batches for p in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            raw, done = f"{base}/raw/{part:07d}-{number:05d}.ids", f"{part:07d}-{number:05d}.tok"
             if filesystem.get_file_info(raw).type.name != "File":
-                continue  # an empty partition, or packed by an earlier attempt
+                continue  # packed by an earlier attempt
 
             def packed(raw: str = raw) -> Iterator[bytes]:
                 with filesystem.open_input_stream(raw) as source:
                     while head := source.read(8):
-                        frame = pa.ipc.open_stream(source.read(struct.unpack("<Q", head)[0])).read_all()
-                        texts = frame.column(1).to_pylist()
-                        counts = np.array([len(x) for x in texts]) // np.dtype(kind).itemsize
-                        yield pack_block(frame.column(0).to_pylist(), counts, rank_of[np.frombuffer(b"".join(texts), kind)])
+                        frame = pa.ipc.open_stream(source.read(struct.unpack("<Q", head)[0])).read_next_batch()
+                        _, stops, data = frame.column(1).buffers()
+                        counts = np.diff(np.frombuffer(stops, np.int64, frame.num_rows + 1)) // kind.itemsize
+                        yield pack_block(frame.column(0).to_pylist(), counts, rank_of[np.frombuffer(data, kind, int(counts.sum()))])
 
             publish(f"{uri}/{done}", packed())
             filesystem.delete_file(raw)
             written.append(part)
         yield pa.RecordBatch.from_arrays([pa.array(written, pa.int64())], names=["part"])
 
-    spark.range(0, last + 1, 1, last + 1).mapInArrow(pack, "part bigint").count()
+    files = counted.where("part >= 0").select("part", F.col("token").alias("number"))
+    files.repartition(files.count(), "part", "number").mapInArrow(pack, "part bigint").count()
 
 
 def _scan(spark: SparkSession, uri: str, row, schema: str) -> DataFrame:
@@ -299,7 +352,8 @@ def _scan(spark: SparkSession, uri: str, row, schema: str) -> DataFrame:
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part, place, within = int(path.rpartition("/")[2][:7]), 0, 0
+                name = path.rpartition("/")[2]
+                part, place, within = int(name[:7]) * 100_000 + int(name[8:13]), 0, 0
                 for ids, counts, values in blocks(memoryview(content.as_buffer())):
                     tokens = by_rank[values]
                     made = [row(tokens[a:b]) for a, b in _slices(counts)]

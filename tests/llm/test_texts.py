@@ -111,7 +111,7 @@ def test_suffix_dedup(spark, hot):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-def test_token_files(spark, tmp_path):
+def test_token_files(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(queries.byte_bpe())
@@ -127,6 +127,12 @@ def test_token_files(spark, tmp_path):
         at += len(ids)
     digests = {(r.start, r.ids_crc32) for r in tokens.digest_tokens(spark, uri).collect()}
     assert digests == {(r.start, zlib.crc32(np.array(r.tokens, "<u4").tobytes())) for r in got}
+    monkeypatch.setattr(tokens, "FILE_BYTES", 8)  # a file for each unit of texts
+    monkeypatch.setattr(tokens, "UNIT", 5)
+    many = spark.createDataFrame([(i, f"text {i} " * (i % 4)) for i in range(40)], "doc_id bigint, text string").coalesce(1)
+    tokens.write_token_files(many, f"{uri}1", queries.byte_bpe(), 2)
+    again = tokens.read_tokens(spark, f"{uri}1").orderBy("start").collect()
+    assert [r.doc_id for r in again] == list(range(40)) and again[-1].start == sum(r.n_tokens for r in again[:-1])
     tokens.write_token_files(spark.createDataFrame([], "doc_id bigint, text string"), f"{uri}0", queries.byte_bpe(), 2)
     assert tokens.digest_tokens(spark, f"{uri}0").count() == 0
 
@@ -138,13 +144,28 @@ def test_control_bytes(values):
     assert tokens.decode_values(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), len(values)).tolist() == values
 
 
-def test_pieces_equal_whole_texts():
-    encoder = tokens.encoder(queries.byte_bpe())
+def spaced_words(path):
+    """A small tokenizer that is no byte-level one: texts must not be cut for it."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 1, "Bc": 2, "12": 3}, unk_token="[UNK]"))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    made.save(path)
+    return path
+
+
+def test_pieces_equal_whole_texts(tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 300)
     draw = np.random.default_rng(1)
-    some = ["a", "Bc", "é", "ß", "中", "'s", "don't", "12", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t", ".", "...", "-", " ", "🙂", "İ", "ˈ", "́", "\r\n", "​"]
-    texts = ["".join(draw.choice(some, draw.integers(0, 25))) for _ in range(3000)]
-    for text, made in zip(texts, encoder.encode(texts), strict=True):
-        assert np.frombuffer(made, encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    some = ["a", "Bc", "é", "ß", "中", "'s", "don't", "12", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t", ".", "...", "-", "\xa0", "🙂", "İ", "ˈ", "\u0301", "\r\n", "\u200b", "<|endoftext|>", "\x00", "\x01", "\x02", "\x1f"]
+    texts = ["".join(draw.choice(some, draw.integers(0, 25))) for _ in range(3000)] + ["", "\x00\x02", "\x000\x02", "a b\nc"]
+    for path in (queries.byte_bpe(), spaced_words(f"{tmp_path}/words.json")):
+        encoder = tokens.PieceEncoder(path)
+        assert encoder.cuts == (path == queries.byte_bpe())
+        for at in range(0, len(texts), 700):
+            ids, counts = encoder.encode(texts[at : at + 700], 2)
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            assert [p.tolist() for p in parts] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts[at : at + 700]]
 
 
 def test_toxicity_on_held_out_rows(spark):
