@@ -1,11 +1,10 @@
 """Main text of web pages by wrapper induction over pages of one host.
 
-A few reference pages of each host, no two with the same longest text, are aligned by simple tree matching: the
-largest set of node pairs that keeps parents, order and labels. Aligned text that is equal everywhere belongs to
-the template, text that varies is content. The wrapper of a host is the tree of aligned elements with a mark on the
-lowest element that holds the varying text. A page is aligned with its host's wrapper and gives the text of its
-marked element, less parts that are menus, headers, footers, sidebars, notices, adverts, forms or comments by tag or
-class. A host with one text has no wrapper; its pages give their article or main element, or else the body.
+A few reference pages of each host and layout are aligned by simple tree matching: the largest set of node pairs that keeps
+parents, order and labels. Text that is equal in the aligned nodes is template and is kept in the wrapper; a page is
+aligned with its wrapper, template text goes, and every varying slot and every node that the wrapper does not know is content,
+in page order. Parts that are menus, headers, footers, sidebars, notices, adverts, forms or comments by tag, role or
+class are no nodes at all, and a page that marks its article or main part is cut down to it before it is aligned.
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Generator, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,302 +39,434 @@ CLOSES_P = frozenset(
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Parts that are never main text.
 DROPPED = frozenset("nav footer aside form script style noscript template button select textarea input iframe menu dialog svg canvas object head title".split())
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|sidebar|side|footer|"
-    r"header|masthead|cookies?|consent|notice|popup|modal|comments?|disqus|respond|replies|reply|share|sharing|social|"
-    r"related|recommended|newsletter|subscribe|signup|login|widget|toolbar|skip|hidden)(?:$|[\s_-])",
-    re.I,
+_ANYWHERE = (
+    "ad|ads|advert\\w*|adsense|sponsor\\w*|promo\\w*|menu|nav\\w*|breadcrumbs?|sidebar|cookies?|consent|notice|popup|modal|comments?|disqus|respond|"
+    "replies|reply|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|widget|toolbar|skip|hidden"
 )
+_BAD = re.compile(rf"(?:^|[\s_-])(?:{_ANYWHERE})(?:$|[\s_-])", re.I)
+#: Classes of parts of a page; inside an article they may name its title.
+_BAD_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:banner|side|footer|header|masthead)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+#: Possessive: a tag is read once from front to back, whatever it holds.
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
-_LONGEST = re.compile(r">([^<>]{20,})<")
-_SCRIPTS = re.compile(r"<(script|style)\b.*?</\1\s*>", re.S | re.I)
-TEXT = "#text"
-#: Matching compares this many children of a node at most pairwise at once; longer lists are matched in windows.
-BAND = 64
+#: Structure by which the pages of a host are told apart before they are parsed.
+LAYOUT = ("<article", "<main", "<section", "<aside", "<header", "<table")
+#: References that must hold a node, and agree on its text, before the text counts as template.
+AGREE, LEAST = 0.8, 3
+#: Cells of an alignment table that are held at once; longer lists are halved, with the same result.
+CELLS = 1 << 22
 
 
-class Node:
-    __slots__ = ("tag", "label", "children", "text", "bad")
+class Block:
+    """A block element: its runs of text and child blocks in page order. Inline elements are part of the runs."""
 
-    def __init__(self, tag: str, label: str = "", text: str = "", bad: bool = False):
-        self.tag, self.label, self.text, self.bad = tag, label or tag, text, bad
-        self.children: list[Node] = []
+    __slots__ = ("label", "items", "shape", "text")
 
+    def __init__(self, label: str):
+        self.label, self.shape, self.text = label, -1, 0
+        self.items: list[str | Block] = []
 
-def parse(source: str) -> Node:
-    """DOM tree of a page; never fails on broken markup."""
-    root = Node("#root")
-    stack, at = [root], 0
+    def kids(self) -> list[Block]:
+        return [x for x in self.items if isinstance(x, Block)]
 
-    def add_text(raw: str) -> None:
-        if raw and not raw.isspace():
-            stack[-1].children.append(Node(TEXT, text=entities.unescape(raw)))
-        elif raw and stack[-1].children:
-            stack[-1].children.append(Node(TEXT, text=" "))
+    def runs(self) -> list[str]:
+        return [x for x in self.items if isinstance(x, str)]
 
-    while at < len(source):
-        match = _TOKEN.search(source, at)
-        if not match:
-            add_text(source[at:])
+
+def _tokens(source: str) -> Generator[tuple[str, str, str, str, int], int | None, None]:
+    """(text before, "/" or "", tag, attributes, place behind) of each tag, the last with an empty tag; linear in the source.
+
+    A place that is sent in is where reading goes on.
+    """
+    at, held, last = 0, [], source.rfind(">")
+    while True:
+        start = source.find("<", at)
+        if start < 0 or start > last:
             break
-        add_text(source[at : match.start()])
-        at = match.end()
-        closing, tag, rest = match.group(1), match.group(2), match.group(3)
-        if not tag:
+        held.append(source[at:start])
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = len(source) if end < 0 else end + 3
             continue
-        tag = tag.lower()
-        if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+        if source[start + 1 : start + 2] in ("!", "?"):
+            at = source.find(">", start) + 1
             continue
-        closes = ("p",) if tag in CLOSES_P else SIBLINGS.get(tag, ())
-        for depth in range(len(stack) - 1, 0, -1) if closes else ():
-            if stack[depth].tag in closes:
-                del stack[depth:]
-                break
-            if stack[depth].tag not in INLINE and stack[depth].tag != "p":
-                break
-        marks = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
-        name = " ".join(v for k, v in marks.items() if k != "role")
-        bad = tag in DROPPED or bool(name and _BAD.search(name)) or marks.get("role", "").lower() in _ROLES
-        bad = bad or tag == "header" and not any(n.tag in ("article", "main") for n in stack)
-        node = Node(tag, f"{tag}.{marks.get('class', '')}" if marks.get("class") else tag, bad=bad and tag not in ("body", "html", "article", "main"))
-        stack[-1].children.append(node)
-        if tag in RAW:
-            end = _RAW_END[tag].search(source, at)
-            if end:
-                node.text, at = source[at : end.start()], end.end()
-            else:
-                node.text, at = source[at:], len(source)
-        elif tag not in VOID and not rest.rstrip().endswith("/"):
-            stack.append(node)
-    return root
-
-
-def matched(a: Node, b: Node) -> tuple[int, list]:
-    """Simple tree matching: (size of the largest matching, its pairs of children with their own matchings)."""
-    if a.label != b.label:
-        return 0, []
-    mine = [c for c in a.children if c.tag != TEXT]
-    other = [c for c in b.children if c.tag != TEXT]
-    if not mine or not other:
-        return 1, []
-    n, m = len(mine), len(other)
-    best = np.zeros((n + 1, m + 1), np.int64)
-    pair: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(n):
-        for j in range(m):
-            if mine[i].label == other[j].label and abs(i * m - j * n) <= BAND * max(n, m):
-                pair[i, j] = matched(mine[i], other[j])
-            best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + pair.get((i, j), (0,))[0])
-    i, j, kept = n, m, []
-    while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
+        match = _TAG.match(source, start + 1)
+        if not match and re.match("/?[a-zA-Z]", source[start + 1 : start + 3]):
+            match = _TAG.match(source[start + 1 : source.find(">", start) + 1].replace('"', " ").replace("'", " "))  # a quote that never ends
+            at = source.find(">", start) + 1
+        elif match:
+            at = match.end()
         else:
-            i, j = i - 1, j - 1
-            kept.append((mine[i], other[j], pair[i, j][1]))
-    return 1 + int(best[n, m]), kept[::-1]
-
-
-def text_of(node: Node) -> str:
-    if node.tag == TEXT:
-        return node.text
-    return "" if node.tag in RAW else "".join(text_of(c) for c in node.children)
-
+            held.append("<")
+            at = start + 1
+            continue
+        at = (yield "".join(held), match[1], match[2].lower(), match[3], at) or at
+        held = []
+    yield "".join(held) + source[at:], "", "", "", len(source)
 
-def _squeezed(text: str) -> str:
-    return " ".join(text.split())
 
+def page_blocks(source: str) -> Block:
+    """The blocks of a page without dropped parts; of its article or main parts alone where those hold text.
 
-def blocks(node: Node) -> list[str]:
-    """Texts of the block elements below, in page order, without parts that are not main text."""
-    done: list[str] = []
-    line: list[str] = []
+    Never fails on broken markup, whatever its depth.
+    """
+    root, line = Block("#root"), []
+    # Open elements: tag, block that takes text and children (None in a dropped part), whether it is inside an article.
+    stack: list[tuple[str, Block | None, bool]] = [("#root", root, False)]
+    open_tags: Counter = Counter()
+    parts: list[Block] = []
 
     def flush() -> None:
-        text = _squeezed("".join(line))
-        if text:
-            done.append(text)
+        text = " ".join("".join(line).split())
         line.clear()
-
-    def walk(at: Node) -> None:
-        if at.tag == TEXT:
-            line.append(at.text)
-            return
-        if at.bad or at.tag in RAW:
-            return
-        if at.tag in INLINE:
-            if at.tag == "br":
+        if text and stack[-1][1] is not None:
+            stack[-1][1].items.append(text)
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            if stack[-1][0] not in INLINE:
+                flush()
+            open_tags[stack[-1][0]] -= 1
+            stack.pop()
+
+    tokens = _tokens(source)
+    token = next(tokens)
+    while True:
+        text, closing, tag, rest, after = token
+        if text and stack[-1][1] is not None:
+            line.append(entities.unescape(text))
+        if not tag:
+            break
+        token = None
+        if closing:
+            if open_tags[tag] > 0:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                close(depth)
+        else:
+            closes = ("p",) if tag in CLOSES_P else SIBLINGS.get(tag, ())
+            if any(open_tags[c] > 0 for c in closes):
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth][0] in closes:
+                        close(depth)
+                        break
+                    if stack[depth][0] not in INLINE and stack[depth][0] != "p":
+                        break
+            marks = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
+            _, into, inside = stack[-1]
+            here = inside or tag in ("article", "main")
+            bad = tag in DROPPED or tag == "header" and not inside
+            if not bad and marks and tag not in ("body", "html", "article", "main"):
+                name = " ".join(v for k, v in marks.items() if k != "role")
+                bad = bool(name and (_BAD.search(name) or not inside and _BAD_OUTSIDE.search(name))) or marks.get("role", "").lower() in _ROLES
+            block = None if bad else into
+            if tag == "br" and into is not None:
                 line.append(" ")
-            for c in at.children:
-                walk(c)
-            return
-        flush()
-        for c in at.children:
-            walk(c)
-        flush()
-
-    for c in node.children:
-        walk(c)
+            if tag not in INLINE:
+                flush()
+                if block is not None:
+                    kept = [c for c in marks.get("class", "").split() if not any(x.isdigit() for x in c)]
+                    block = Block(".".join([tag, *kept]))
+                    into.items.append(block)
+                    if here and not inside:
+                        parts.append(block)
+            if tag in RAW:
+                end = _RAW_END[tag].search(source, after)
+                token = tokens.send(end.end() if end else len(source))
+            elif tag not in VOID and not rest.rstrip().endswith("/"):
+                stack.append((tag, block, here))
+                open_tags[tag] += 1
+        token = token or next(tokens)
+    close(1)
     flush()
-    return done
+    if any(True for p in parts for _ in texts(p)):
+        root.items = list(parts)
+    return root
 
 
-def induce(pages: list[str]) -> str | None:
-    """The wrapper of reference pages as JSON, or None where fewer than two can be aligned.
+def texts(block: Block) -> Iterator[str]:
+    """Runs of text in page order."""
+    stack = [iter(block.items)]
+    while stack:
+        for item in stack[-1]:
+            if isinstance(item, str):
+                yield item
+            else:
+                stack.append(iter(item.items))
+                break
+        else:
+            stack.pop()
+
+
+class Shapes:
+    """Numbers for trees of labels, equal for equal trees, and largest matchings of pairs of them, each found once."""
+
+    def __init__(self):
+        self.of: dict[tuple, int] = {}
+        self.label: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+
+    def number(self, root: Block, own: Callable[[Block], list[str]] = Block.runs) -> None:
+        """Set the shape of each node, and a number for the text below it, 0 for none; ``own`` gives the runs of a node."""
+        order, stack = [], [root]
+        while stack:
+            order.append(node := stack.pop())
+            stack += node.kids()
+        for node in reversed(order):
+            key = (node.label, *(k.shape for k in node.kids()))
+            if key not in self.of:
+                self.of[key] = len(self.label)
+                self.label.append(node.label)
+                self.kids.append(key[1:])
+                self.size.append(1 + sum(self.size[k] for k in key[1:]))
+            node.shape = self.of[key]
+            said = (*sorted(own(node)), *(k.text for k in node.kids() if k.text))
+            node.text = hash(said) or 1 if said else 0
+
+    def matching(self, a: int, b: int) -> tuple[int, list[tuple[int, int]]]:
+        """(pairs of nodes in the largest matching of two shapes of one label, the pairs of children in it)."""
+        stack = [(a, b)]
+        while stack:
+            x, y = stack[-1]
+            if (x, y) in self.known:
+                stack.pop()
+                continue
+            mine, other = self.kids[x], self.kids[y]
+            first = 0
+            while first < min(len(mine), len(other)) and mine[first] == other[first]:
+                first += 1
+            last = 0
+            while last < min(len(mine), len(other)) - first and mine[-1 - last] == other[-1 - last]:
+                last += 1
+            # Equal trees at both ends are matched as a whole: nothing can match them better.
+            left, right = mine[first : len(mine) - last], other[first : len(other) - last]
+            pairs = [(p, q) for p in set(left) for q in set(right) if self.label[p] == self.label[q] and p != q]
+            open_ = [pair for pair in pairs if pair not in self.known]
+            if open_:
+                stack += open_
+                continue
+            middle = self._aligned(left, right) if left and right else []
+            kept = [(i, i) for i in range(first)] + [(first + i, first + j) for i, j in middle] + [(len(mine) - i, len(other) - i) for i in range(last, 0, -1)]
+            self.known[x, y] = 1 + sum(self.weight(mine[i], other[j]) for i, j in kept), kept
+            stack.pop()
+        return self.known[a, b]
+
+    def weight(self, a: int, b: int) -> int:
+        return self.size[a] if a == b else self.known[a, b][0] if self.label[a] == self.label[b] else 0
+
+    def _aligned(self, left: Sequence[int], right: Sequence[int]) -> list[tuple[int, int]]:
+        """Increasing pairs of places of the largest total weight."""
+        ours, i = np.unique(np.array(left), return_inverse=True)
+        theirs, j = np.unique(np.array(right), return_inverse=True)
+        weights = np.array([[self.weight(a, b) for b in theirs.tolist()] for a in ours.tolist()], np.int64)
+        return heaviest(weights, np.stack([i, np.zeros_like(i)], 1), np.stack([j, np.zeros_like(j)], 1))
+
+    def children(self, a: Block, b: Block) -> list[tuple[Block, Block]]:
+        """Pairs of children in a largest matching of two nodes; of several, one with the most pairs of equal text."""
+        mine, other = a.kids(), b.kids()
+        if a.shape == b.shape:
+            return list(zip(mine, other, strict=True))
+        self.matching(a.shape, b.shape)
+        alike = lambda p, q: p.shape == q.shape and p.text == q.text
+        first = last = 0
+        while first < min(len(mine), len(other)) and alike(mine[first], other[first]):
+            first += 1
+        while last < min(len(mine), len(other)) - first and alike(mine[-1 - last], other[-1 - last]):
+            last += 1
+        left, right = mine[first : len(mine) - last], other[first : len(other) - last]
+        middle = []
+        if left and right:
+            ours, i = np.unique([k.shape for k in left], return_inverse=True)
+            theirs, j = np.unique([k.shape for k in right], return_inverse=True)
+            for p in ours.tolist():
+                for q in theirs.tolist():
+                    if p != q and self.label[p] == self.label[q]:
+                        self.matching(p, q)
+            weights = np.array([[self.weight(p, q) for q in theirs.tolist()] for p in ours.tolist()], np.int64)
+            middle = heaviest(weights * (min(len(left), len(right)) + 1), np.stack([i, [k.text for k in left]], 1), np.stack([j, [k.text for k in right]], 1))
+        return [*zip(mine[:first], other[:first], strict=True), *[(left[p], right[q]) for p, q in middle], *zip(mine[len(mine) - last :], other[len(other) - last :], strict=True)]
+
+
+def _rows(weights: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
+    """Best total weights of the first rows with each number of first columns, row by row."""
+    row = np.zeros(len(right) + 1, np.int64)
+    yield row
+    for i, text in left:
+        made = np.zeros(len(right) + 1, np.int64)
+        gain = weights[i][right[:, 0]]
+        if text:
+            gain = gain + ((right[:, 1] == text) & (gain > 0))
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gain), out=made[1:])
+        yield (row := made)
 
-    An element is [label, children, 1 if it is the marked one].
-    """
-    trees = [parse(p) for p in pages]
-    if len(trees) < 2:
-        return None
-    base, others = trees[0], trees[1:]
-    aligned: dict[int, list[Node]] = {}
-
-    def note(pairs: list) -> None:
-        for a, b, below in pairs:
-            aligned.setdefault(id(a), []).append(b)
-            note(below)
-
-    for tree in others:
-        size, pairs = matched(base, tree)
-        note(pairs)
-    varying: dict[int, int] = {}
-
-    def weigh(node: Node) -> int:
-        """Characters of text that vary among the pages, below and in a node that is not dropped."""
-        if node.bad or node.tag in RAW:
-            varying[id(node)] = 0
-            return 0
-        total = sum(weigh(c) for c in node.children if c.tag != TEXT)
-        mates = aligned.get(id(node), [])
-        own = _squeezed("".join(c.text for c in node.children if c.tag == TEXT))
-        same = sum(_squeezed("".join(c.text for c in m.children if c.tag == TEXT)) == own for m in mates)
-        if own and (not mates or same * 2 < len(mates)):
-            total += len(own)
-        varying[id(node)] = total
-        return total
-
-    if not weigh(base):
-        return None
-    marked = base
-    while marked.tag not in ("article", "main"):
-        inner = [c for c in marked.children if c.tag != TEXT and c.tag not in INLINE and c.tag not in CLOSES_P - {"article", "main", "div", "section", "table"}]
-        top = max(inner, key=lambda c: varying.get(id(c), 0), default=None)
-        if top is None or varying[id(top)] < 0.8 * varying[id(marked)] or id(top) not in aligned:
-            break
-        marked = top
 
-    def slim(node: Node) -> list:
-        below = [] if node is marked else [slim(c) for c in node.children if c.tag != TEXT and (id(c) in aligned or c is marked)]
-        return [node.label, below, int(node is marked)]
+def heaviest(weights: np.ndarray, left: np.ndarray, right: np.ndarray, up: int = 0, over: int = 0) -> list[tuple[int, int]]:
+    """Increasing pairs of places of the largest total weight, of lists of (row or column of ``weights``, text).
 
-    return json.dumps(slim(base))
+    Equal texts other than 0 add one to the weight of a pair.
+    """
+    if not len(left) or not len(right):
+        return []
+    if len(left) > 1 and len(left) * len(right) > CELLS:
+        half = len(left) // 2
+        *_, top = _rows(weights, left[:half], right)
+        *_, low = _rows(weights, left[half:][::-1], right[::-1])
+        cut = int(np.argmax(top + low[::-1]))
+        return heaviest(weights, left[:half], right[:cut], up, over) + heaviest(weights, left[half:], right[cut:], up + half, over + cut)
+    best = list(_rows(weights, left, right))
+    i, j, out = len(left), len(right), []
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((up + i, over + j))
+    return out[::-1]
 
 
-def _wrapper(made: list) -> Node:
-    node = Node(made[0].partition(".")[0], made[0], text="marked" if made[2] else "")
-    node.children = [_wrapper(c) for c in made[1]]
-    return node
+def matched(shapes: Shapes, a: Block, b: Block) -> Iterator[tuple[Block, Block]]:
+    """The pairs of nodes of a largest matching of two numbered trees, parents before children."""
+    stack = [(a, b)] if a.label == b.label else []
+    while stack:
+        x, y = stack.pop()
+        yield x, y
+        stack += shapes.children(x, y)
 
 
-def extract(source: str, wrapper: Node | None) -> str:
+def induce(pages: list[str]) -> str | None:
+    """The wrapper of reference pages as JSON; None where they are too few to tell template from content, or share no text.
+
+    Nodes of the smallest page that most references hold: labels, places of the parents, and the template text of each.
+    """
+    trees = sorted((page_blocks(p) for p in pages), key=lambda t: sum(1 for _ in texts(t)))
+    if len(trees) < LEAST:
+        return None
+    shapes, base = Shapes(), trees[0]
+    held: dict[int, int] = {}
+    common: dict[int, Counter] = {}
+    shapes.number(base)
+    for tree in trees[1:]:
+        shapes.number(tree)
+        for mine, other in matched(shapes, base, tree):
+            held[id(mine)] = held.get(id(mine), 0) + 1
+            common.setdefault(id(mine), Counter()).update(Counter(mine.runs()) & Counter(other.runs()))
+    need = AGREE * (len(trees) - 1)
+    labels, parents, constant, stack = [], [], [], [(base, -1)]
+    while stack:
+        node, parent = stack.pop()
+        if held.get(id(node), 0) < need:
+            continue
+        labels.append(node.label)
+        parents.append(parent)
+        # Of a run that a node repeats, as many count as are found often enough.
+        constant.append(sorted(run for run, n in Counter(node.runs()).items() for _ in range(min(n, int(common[id(node)][run] // need)))))
+        stack += [(k, len(labels) - 1) for k in reversed(node.kids())]
+    return json.dumps({"labels": labels, "parents": parents, "constant": constant}) if any(constant) else None
+
+
+class Wrapper:
+    """A wrapper that pages can be aligned with; what it learns about shapes serves the next page."""
+
+    def __init__(self, made: str):
+        told = json.loads(made)
+        nodes = [Block(label) for label in told["labels"]]
+        for node, parent in zip(nodes[1:], told["parents"][1:], strict=True):
+            nodes[parent].items.append(node)
+        self.root, self.shapes = nodes[0], Shapes()
+        self.constant = {id(n): Counter(c) for n, c in zip(nodes, told["constant"], strict=True) if c}
+        self.own = lambda node: list(self.constant.get(id(node), Counter()).elements())
+        self.shapes.number(self.root, self.own)
+
+    def strip(self, page: Block) -> None:
+        """Take the template text out of a page."""
+        if len(self.shapes.label) > 20_000:
+            self.shapes = Shapes()
+            self.shapes.number(self.root, self.own)
+        self.shapes.number(page)
+        for mine, other in matched(self.shapes, self.root, page):
+            if id(mine) in self.constant:
+                gone, kept = Counter(self.constant[id(mine)]), []
+                for item in other.items:
+                    if isinstance(item, str) and gone[item] > 0:
+                        gone[item] -= 1
+                    else:
+                        kept.append(item)
+                other.items = kept
+
+
+def extract(source: str, wrapper: Wrapper | None) -> str:
     """Main text of one page."""
-    root, found = parse(source), []
+    page = page_blocks(source)
     if wrapper is not None:
-
-        def seek(pairs: list) -> None:
-            for w, p, below in pairs:
-                if w.text == "marked":
-                    found.append(p)
-                seek(below)
-
-        seek(matched(wrapper, root)[1])
-    if not found:
-        semantic: list[Node] = []
-
-        def find(node: Node) -> None:
-            for c in node.children:
-                if c.tag in ("article", "main") and not c.bad:
-                    semantic.append(c)
-                elif not c.bad:
-                    find(c)
-
-        find(root)
-        found = semantic or [root]
-    return "\n".join(b for node in found for b in blocks(node))
-
-
-def _longest(source: str) -> str:
-    texts = _LONGEST.findall(_SCRIPTS.sub("", source))
-    return max(texts, key=len, default="")
+        wrapper.strip(page)
+    return "\n".join(texts(page))
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, references: int) -> DataFrame:
-    """(host, wrapper JSON) from ``references`` pages of a host at most.
-
-    The longest texts of a host are dealt by hash to so many buckets and the lowest hash of each bucket names a
-    reference, so a host of any size needs only minima, and copies of one page give one reference.
-    """
+def layout_of(html: Column) -> Column:
+    """A number for which elements of ``LAYOUT`` a page has; at most 64 layouts a host."""
+    low = F.lower(F.coalesce(html, F.lit("")))
+    return sum((F.contains(low, F.lit(tag)).cast("int") * (1 << i) for i, tag in enumerate(LAYOUT)), F.lit(0))
 
-    def signature(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        for batch in batches:
-            made = [xxhash.xxh64_intdigest(_longest(t or "").encode("utf-8", "surrogatepass"), 42) >> 1 for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.int64())], names=["page_id", "host", "signature"])
+def wrappers(pages: DataFrame, references: int) -> DataFrame:
+    """(host, layout, wrapper JSON) from ``references`` pages of a host and layout at most.
 
-    signed = pages.select("page_id", "host", "html").mapInArrow(signature, "page_id bigint, host string, signature bigint")
-    bucket = (F.col("signature") % references).alias("bucket")
-    chosen = signed.groupBy("host", bucket).agg(F.min(F.struct("signature", "page_id")).alias("least")).select("host", "least.page_id")
+    The hashes of different pages are dealt to so many buckets and the lowest of each bucket names a reference, so
+    a host of any size needs only minima, and copies of one page give one reference.
+    """
+    signed = pages.select("host", "layout", F.xxhash64("html").alias("signature"), "page_id")
+    bucket = F.pmod("signature", F.lit(references)).alias("bucket")
+    chosen = signed.groupBy("host", "layout", bucket).agg(F.min(F.struct("signature", "page_id")).alias("least")).select("host", "layout", "least.*")
     # Written, its size is known before the join: Spark then leaves the pages in place where it is small.
-    chosen = materialize(chosen, "wrapper-references")
-    picked = pages.select("page_id", "host", "html").join(chosen, ["host", "page_id"]).dropDuplicates(["host", "page_id"])
+    chosen = materialize(chosen.withColumn("page_id", F.coalesce("page_id", F.lit(0))), "wrapper-references")
+    named = pages.select("host", "layout", F.coalesce("page_id", F.lit(0)).alias("page_id"), F.xxhash64("html").alias("signature"), "html")
+    picked = named.join(chosen, ["host", "layout", "page_id", "signature"]).dropDuplicates(["host", "layout", "signature"])
 
     def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        made = induce(frame.sort_values("page_id")["html"].fillna("").tolist())
-        return pd.DataFrame({"host": [key[0]], "wrapper": [made]})
+        made = induce(frame.sort_values("signature")["html"].fillna("").tolist())
+        return pd.DataFrame({"host": [key[0]], "layout": [key[1]], "wrapper": [made]})
 
-    return picked.groupBy("host").applyInPandas(build, "host string, wrapper string").where("wrapper is not null")
+    return picked.groupBy("host", "layout").applyInPandas(build, "host string, layout int, wrapper string").where("wrapper is not null")
 
 
 def extract_text(pages: DataFrame, *, references: int = 8) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of each page's whole html.
 
-    :param references: pages of a host that its wrapper is induced from, at most. Every page is extracted.
+    :param references: pages of a host and layout that its wrapper is induced from, at most. Every page is extracted.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by a line
-    feed. Null and empty html give the empty text. A null url belongs to the host "". Repeated rows each keep their
-    row; other columns are ignored.
+    feed. Null and empty html give the empty text. A null url belongs to the host "". Hosts with fewer than three
+    different pages of a layout have no wrapper: all text that no tag, role or class drops is content. Repeated rows each keep
+    their row; other columns are ignored.
     """
-    source = pages.select(F.col("page_id").cast("bigint"), "url", "html", host_of(F.col("url")).alias("host"))
+    source = pages.select(F.col("page_id").cast("bigint"), "url", "html", host_of(F.col("url")).alias("host"), layout_of(F.col("html")).alias("layout"))
     # Broadcast by Spark below its size limit; beyond it the pages shuffle by host and hot hosts are split.
     found = materialize(wrappers(source, references), "wrappers")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Node] = {}
+        known: dict[str, Wrapper] = {}
         for batch in batches:
             out = []
-            for source, made in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for html, made in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if made is not None and made not in known:
-                    if len(known) > 1000:
+                    if len(known) > 200:
                         known.clear()
-                    known[made] = _wrapper(json.loads(made))
-                out.append(extract(source or "", known.get(made)))
+                    known[made] = Wrapper(made)
+                out.append(extract(html or "", known.get(made)))
             cols = [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
-    joined = source.join(found, "host", "left").select("page_id", "url", "html", "wrapper")
+    joined = source.join(found, ["host", "layout"], "left").select("page_id", "url", "html", "wrapper")
     return joined.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
