@@ -142,6 +142,30 @@ def test_neighbours(spark, kind):
     assert neighbours.nearest(df.limit(0), df).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["noise", "clusters"])
+def test_search_prunes_and_finds(kind):
+    """100,000 vectors: at least 0.9 of the nearest are found and less than a tenth of the vectors is verified."""
+    draw = np.random.default_rng(1)
+    x = draw.standard_normal((100_000, 64))
+    if kind == "clusters":
+        x = draw.standard_normal((2000, 64)).repeat(50, 0) + 0.3 * x
+    ids, asked, verified, found = np.arange(len(x)), np.arange(0, len(x), 2000), [], []
+    for at in range(0, len(x), neighbours.BLOCK_ROWS):
+        block = slice(at, at + neighbours.BLOCK_ROWS)
+        q, v, score = neighbours.search_block(x[block], ids[block], x[asked], asked, 5, verified)
+        found.append((q, ids[block][v], score))
+    q, v, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    unit, hits = x / np.linalg.norm(x, axis=1)[:, None], 0
+    for i, query in enumerate(asked):
+        mine = np.flatnonzero(q == i)
+        top = v[mine[np.lexsort((v[mine], -score[mine]))[:5]]]
+        near = unit @ unit[query]
+        near[query] = -9
+        hits += len(set(top.tolist()) & set(np.argsort(-near)[:5].tolist()))
+    assert hits >= 0.9 * 5 * len(asked)
+    assert sum(verified) < 0.1 * len(asked) * len(x)
+
+
 def test_pipeline_near_copies_equal_brute_force(spark):
     import corpus_pipeline
 
