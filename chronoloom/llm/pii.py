@@ -1,19 +1,22 @@
 """Surrogates for personal data: keyed, type-consistent replacements that keep entities apart and together.
 
 Every entity is mapped inside its own kind and format by a keyed permutation: digits become digits, letters become
-letters of the same script, case and (in names) the same kind of sound, given names stay in their gender and script. A
-permutation never maps two entities to one, so distinct entities stay distinct, and the same entity has the same
-surrogate in all documents and notations, without a table of entities that grows with the corpus. The permutation
-is a Feistel network F turned into F^-1(F(x) + s): it has no fixed point. A check over the whole corpus counts entities
-and surrogates and, should two meet across formats, draws the next key.
+letters of the same script, case and (in names) the same kind of sound, given names stay in their gender and script. The
+permutation is chosen by kind and format and a surrogate keeps its format, so no two entities of a kind can meet, and the same
+entity has the same surrogate in all documents, batches and notations, without a table of entities that grows with the
+corpus. The permutation is a Feistel network F turned into F^-1(F(x) + s): it has no fixed point. Names found in a text are
+replaced wherever else they stand in it. The entities of the whole corpus are gathered with their surrogates and checked.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,39 +29,57 @@ ROUNDS = 8
 #: Surrogates remembered by a worker before it starts over.
 CACHE = 200_000
 
-#: Given names by gender and script.
+#: Given names that are known without a title or cue, by gender and script; a choice, to be extended.
 GIVEN = {
-    ("f", "latin"): "Anna Maria Sophie Emma Laura Julia Clara Elena Alice Marie Sarah Emily Lucia Carmen Isabel Nina Eva Helen Mary Linda Susan Karen Nancy Lisa Camille Claire Chloe Ines Paula Petra".split(),
-    ("m", "latin"): "John Paul Peter Thomas Michael David James Robert Daniel Martin Lukas Felix Hans Karl Jose Carlos Miguel Antonio Luis Pierre Jean Louis Henri Marc Andrew Mark Steven Kevin Brian George".split(),
+    ("f", "latin"): "Anna Maria Sophie Emma Laura Julia Clara Elena Alice Marie Sarah Emily Lucia Carmen Isabel Nina Eva Helen Mary Linda Susan Karen Nancy Lisa Camille Claire Chloe Ines Paula Petra Fatima Aisha Leila Amina Priya Yuki".split(),
+    ("m", "latin"): "John Paul Peter Thomas Michael David James Robert Daniel Martin Lukas Felix Hans Karl Jose Carlos Miguel Antonio Luis Pierre Jean Louis Henri Marc Andrew Mark Steven Kevin Brian George Mohammed Ahmed Omar Ali Raj Kenji".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Юлия Екатерина".split(),
     ("m", "cyrillic"): "Иван Пётр Сергей Алексей Дмитрий Андрей Михаил Николай Владимир Павел".split(),
     ("f", "greek"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Ιωάννα".split(),
     ("m", "greek"): "Γιώργος Δημήτρης Νίκος Κώστας Γιάννης Παύλος".split(),
 }
-#: Titles by gender; None fits both.
+#: Titles by gender; None fits both.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": None, "Prof": None, "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f"}
-#: Alphabets, vowels first.
+#: Words in front of a name, and words that are no name behind them.
+CUES = ("My name is", "my name is", "Name:", "name:", "Signed", "Signed by", "Contact:", "Attn:", "Dear")
+NO_NAMES = frozenset("Sir Madam All Team Customer Colleagues Friends Editor Reader Readers Client".split())
+#: Alphabets by sound. Letters of other scripts are mapped inside their block of 256 characters and their case.
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоуыэюя", "greek": "αεηιουω"}
-CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзклмнпрстфхцчшщ", "greek": "βγδζθκλμνξπρστφχψ"}
+CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзйклмнпрстфхцчшщ", "greek": "βγδζθκλμνξπρστφχψ"}
+MARKED = ("àáâãäåèéêëìíîïòóôõöøùúûüýÿ", "çñšžčćłńśźżďťřğş", "ёіїє", "ъь", "άέήίόύώ")
 HEX = "0123456789abcdef"
 DIGITS = "0123456789"
 LOCAL = "abcdefghijklmnopqrstuvwxyz"
 
-_NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_NAME = r"(?:[\u4e00-\u9fff]{2,4}|[^\W\d_\u4e00-\u9fff]+(?:[-'’][^\W\d_]+)*)"
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 _GIVEN_OF = {name: key for key, names in GIVEN.items() for name in names}
 _FIRST = "|".join(sorted(map(re.escape, _GIVEN_OF), key=len, reverse=True))
-PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
-    r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?![0-9A-Za-z]))"
+_CUE = "|".join(sorted(map(re.escape, CUES), key=len, reverse=True))
+#: What must stand in a text before names are looked for.
+_TRIGGERS = [f"{w}{after}" for w in (*TITLES, *_GIVEN_OF) for after in ((" ", ". ") if w in TITLES else (" ",))]
+_DIGIT = re.compile(r"\d")
+_EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
+#: A stretch of a text that may hold numbers; the patterns of numbers are tried only there.
+_NUMERIC = re.compile(r"[\d+(][\d().+ -]{5,}\d")
+_NUMBERS = re.compile(
+    r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
+    r"|(?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<account>(?<![\w.])(?:\d[ -]?){12,18}\d(?![\w]|\.\d))"
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|[.-]\d))"
-    rf"|(?P<name>\b(?:(?:{_TITLE})\.?[ ](?:(?:{_FIRST})[ ])?(?P<surname>{_NAME})|(?:{_FIRST})[ ](?P<surname2>{_NAME})))"
 )
-#: Cheap test: a text without any of these has no entity.
-_HINT = re.compile(rf"@|\d|\b(?:{_TITLE}|{_FIRST})\b")
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
+_HEX = re.compile(r"[0-9a-fA-F]{32,}")
+_IPV6 = re.compile(r"[0-9a-fA-F:][0-9a-fA-F:.]*:[0-9a-fA-F:.]*[0-9a-fA-F:]")
+#: Forms of issued keys: what stands in front is kept.
+_KEYS = re.compile(r"(?P<kept>AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza)[0-9A-Za-z_-]{16,}")
+_VALUE = re.compile(r"[:=][ \t]*[\"']?(?P<value>[^\s\"',;]{6,})")
+_NAMED_SECRET = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|secret)[ _-]?key)[\"']?\s*$", re.I)
+_CUED = re.compile(rf"(?:{_CUE})[ ](?:(?:{_TITLE})\.?[ ])?(?P<called>{_NAME}(?:[ ]{_NAME})?)")
+_NAMES = re.compile(
+    rf"(?:{_TITLE})\.?[ ](?:(?P<first>{_FIRST})[ ])?(?P<surname>{_NAME})"
+    rf"|(?P<first2>{_FIRST})[ ](?P<surname2>{_NAME})"
+)
 
 
 def _round(key: bytes, tweak: str, number: int, value: int) -> int:
@@ -134,11 +155,33 @@ def _recase(model: str, text: str) -> str:
     return "".join(t.upper() if m.isupper() else t for m, t in zip(model, text, strict=True))
 
 
+@cache
+def _block_of(plane: int, category: str) -> str:
+    """The letters of one case of a block of 256 characters that are in no alphabet and keep their identity in capitals."""
+    listed = "".join((*VOWELS.values(), *CONSONANTS.values(), *MARKED))
+    found = (c for c in map(chr, range(plane << 8, (plane << 8) + 256)) if unicodedata.category(c) == category and c not in listed)
+    return "".join(c for c in found if len(c.lower()) == len(c.upper()) == 1 and c in (c.upper().lower(), c.lower().upper()))
+
+
+@cache
+def letter_class(ch: str) -> str | None:
+    """The alphabet in which a lower-case letter is replaced, None for what is no letter."""
+    if not ch.isalpha():
+        return None
+    for alphabet in (*VOWELS.values(), *CONSONANTS.values(), *MARKED):
+        if ch in alphabet:
+            return alphabet
+    found = _block_of(ord(ch) >> 8, unicodedata.category(ch))
+    return found if ch in found else None
+
+
+def _lowered(text: str) -> str:
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def surrogate_name_word(word: str, key: bytes) -> str:
     """Surname in the same script, length and case; vowels for vowels, so that it can be said."""
-    script, low = script_of(word), "".join(c if len(c.lower()) != 1 else c.lower() for c in word)
-    classes = lambda ch: next((a for a in (VOWELS[script], CONSONANTS[script]) if ch in a), None)
-    return _recase(word, permute_text(low, classes, key, f"surname/{script}"))
+    return _recase(word, permute_text(_lowered(word), letter_class, key, "surname"))
 
 
 def surrogate_given(name: str, key: bytes) -> str:
@@ -171,19 +214,42 @@ def surrogate_ip(text: str, key: bytes) -> str:
     return ".".join(map(str, permute_symbols([int(p) for p in text.split(".")], [256] * 4, key, "ip")))
 
 
+def surrogate_ipv6(text: str, key: bytes) -> str:
+    """Groups of zeros stay, the others become other groups; short addresses stay short."""
+    groups = [int(g, 16) for g in ipaddress.IPv6Address(text).exploded.split(":")]
+    some = [i for i, g in enumerate(groups) if g]
+    made = permute_symbols([groups[i] - 1 for i in some], [65535] * len(some), key, f"ipv6/{some}")
+    for i, g in zip(some, made, strict=True):
+        groups[i] = g + 1
+    address = ipaddress.IPv6Address(":".join(f"{g:x}" for g in groups))
+    out = str(address) if "::" in text else address.exploded if len(text) == 39 else ":".join(f"{g:x}" for g in groups)
+    return out.upper() if text.upper() == text else out
+
+
 def surrogate_email(text: str, key: bytes) -> str:
     """Local part and host are mapped apart, the ending stays, so that addresses of one host share a host."""
-    classes = lambda ch: LOCAL if ch in LOCAL else DIGITS if ch in DIGITS else None
+    plain = lambda ch: LOCAL if ch in LOCAL else DIGITS if ch in DIGITS else letter_class(ch)
     local, _, host = text.rpartition("@")
     name, dot, ending = host.rpartition(".")
-    low = lambda s: "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
-    out = [_recase(part, permute_text(low(part), classes, key, tweak)) for part, tweak in ((local, "local"), (name, "host"))]
+    out = [_recase(part, permute_text(_lowered(part), plain, key, tweak)) for part, tweak in ((local, "local"), (name, "host"))]
     return f"{out[0]}@{out[1]}{dot}{ending}"
 
 
+def surrogate_ssn(text: str, key: bytes) -> str:
+    return _fill(text, permute_text(re.sub(r"\D", "", text), _digits_only, key, "ssn"))
+
+
+def surrogate_secret_value(text: str, key: bytes) -> str:
+    """Digits, small and capital letters change among themselves; what tells the issuer, and other characters, stay."""
+    kept = m["kept"] if (m := _KEYS.fullmatch(text)) else ""
+    upper = LOCAL.upper()
+    classes = lambda ch: LOCAL if ch in LOCAL else upper if ch in upper else DIGITS if ch in DIGITS else letter_class(ch)
+    return kept + permute_text(text[len(kept) :], classes, key, f"key/{kept}")
+
+
 def surrogate_phone(text: str, key: bytes) -> str:
     """The country code and the grouping stay; the other digits are mapped alike in every notation."""
-    head = re.match(r"\+\d{1,3}(?=[ .(-])|", text).group()
+    head = _head(text)
     digits = re.sub(r"\D", "", text[len(head) :])
     return head + _fill(text[len(head) :], permute_text(digits, _digits_only, key, "phone"))
 
@@ -216,11 +282,29 @@ class Entity:
     surrogate: str
 
 
-MAKERS = {"email": surrogate_email, "ip": surrogate_ip, "iban": surrogate_iban, "secret": surrogate_secret, "account": surrogate_account, "phone": surrogate_phone}
-_IDENTITY = {
-    "email": str.lower, "ip": lambda t: ".".join(str(int(p)) for p in t.split(".")), "iban": lambda t: t.replace(" ", ""), "secret": str.lower,
-    "account": lambda t: re.sub(r"\D", "", t), "phone": lambda t: re.match(r"\+\d{1,3}(?=[ .(-])|", t).group() + "/" + re.sub(r"\D", "", t[len(re.match(r"\+\d{1,3}(?=[ .(-])|", t).group()) :]),
+MAKERS = {
+    "email": surrogate_email, "ip": surrogate_ip, "ipv6": surrogate_ipv6, "iban": surrogate_iban, "secret": surrogate_secret, "key": surrogate_secret_value,
+    "account": surrogate_account, "phone": surrogate_phone, "ssn": surrogate_ssn, "given": surrogate_given, "surname": surrogate_name_word,
 }
+
+
+def _head(phone: str) -> str:
+    return re.match(r"\+\d{1,3}(?=[ .(-])|", phone).group()
+
+
+def identity(kind: str, text: str) -> str:
+    """What is equal for all notations of an entity and different for different ones."""
+    if kind in ("account", "ssn"):
+        return re.sub(r"\D", "", text)
+    if kind == "phone":
+        return f"{_head(text)}/{re.sub(r'\D', '', text[len(_head(text)) :])}"
+    if kind == "ip":
+        return ".".join(str(int(p)) for p in text.split("."))
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(text).exploded
+    return text.replace(" ", "") if kind == "iban" else text if kind in ("key", "given") else _lowered(text)
+
+
 _SAID: dict[tuple[bytes, str, str], str] = {}
 
 
@@ -229,28 +313,96 @@ def _said(kind: str, text: str, key: bytes) -> str:
     if at not in _SAID:
         if len(_SAID) > CACHE:
             _SAID.clear()
-        make = {"given": surrogate_given, "surname": surrogate_name_word, **MAKERS}[kind]
-        _SAID[at] = make(text, key)
+        _SAID[at] = MAKERS[kind](text, key)
     return _SAID[at]
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        if "." in text or not any(c in DIGITS for c in text):
+            return False
+        return sum(int(g, 16) > 0 for g in ipaddress.IPv6Address(text).exploded.split(":")) > 1
+    except ValueError:
+        return False
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
+    word = lambda at: 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_")
+    for part in _NUMERIC.finditer(text):
+        for m in _NUMBERS.finditer(text, part.start(), min(len(text), part.end() + 3)):
+            yield m.start(), m.end(), m.lastgroup
+    for m in _IBAN.finditer(text):
+        if not word(m.start() - 1):
+            yield m.start(), m.end(), "iban"
+    for m in _HEX.finditer(text):
+        letters = sum(c.isalpha() for c in m.group())
+        if 0 < letters < len(m.group()) and not word(m.start() - 1) and not word(m.end()):
+            yield m.start(), m.end(), "secret"
+    if "::" in text or text.count(":") >= 7:
+        for m in _IPV6.finditer(text):
+            if not word(m.start() - 1) and not word(m.end()) and _is_ipv6(m.group()):
+                yield m.start(), m.end(), "ipv6"
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in _KEYS.finditer(text):
+        if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")):
+            yield m.start(), m.end(), "key"
+    for m in _VALUE.finditer(text):
+        if _NAMED_SECRET.search(text, max(0, m.start() - 24), m.start()):
+            yield *m.span("value"), "key"
+
+
+def _called(text: str) -> Iterator[tuple[int, int, str]]:
+    starts_word = lambda m: not (m.start() and text[m.start() - 1].isalnum())
+    for m in filter(starts_word, _CUED.finditer(text) if any(c in text for c in CUES) else ()):
+        words = list(re.finditer(_NAME, m["called"]))
+        if words[0].group() not in NO_NAMES and not words[0].group()[0].islower():
+            words = [w for w in words if not w.group()[0].islower()]
+            for w in words:
+                known = w.group() in _GIVEN_OF and len(words) > 1 and w is words[0]
+                yield m.start("called") + w.start(), m.start("called") + w.end(), "given" if known else "surname"
+    for m in filter(starts_word, _NAMES.finditer(text) if any(w in text for w in _TRIGGERS) else ()):
+        first, last = ("first", "surname") if m["surname"] else ("first2", "surname2")
+        if not m[last][0].islower():
+            if m[first]:
+                yield *m.span(first), "given"
+            yield *m.span(last), "given" if m[last] in _GIVEN_OF and not m[first] else "surname"
+
+
+def _again(text: str, names: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    """Every place where a name of the text stands as a word of its own."""
+    listed = "|".join(sorted(map(re.escape, names), key=len, reverse=True))
+    for m in re.finditer(listed, text):
+        before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+        caseless = m.group()[0] == m.group()[0].upper() == m.group()[0].lower()
+        if caseless or not (before.isalnum() or after.isalnum()):
+            yield m.start(), m.end(), names[m.group()]
+
+
 def entities(text: str, key: bytes) -> Iterator[Entity]:
-    """The entities of a text in order, none overlapping."""
-    if not _HINT.search(text):
-        return
-    for m in PATTERN.finditer(text):
-        kind = m.lastgroup if m.lastgroup in MAKERS else "name"
-        if kind != "name":
-            yield Entity(m.start(), m.end(), kind, _IDENTITY[kind](m.group()), _said(kind, m.group(), key))
-            continue
-        surname = m["surname"] or m["surname2"]
-        at = m.start("surname") if m["surname"] else m.start("surname2")
-        if not surname[0].isupper():
-            continue
-        for g in re.finditer(_NAME, text[m.start() : at]):
-            if g.group() in _GIVEN_OF:
-                yield Entity(m.start() + g.start(), m.start() + g.end(), "given", g.group(), _said("given", g.group(), key))
-        yield Entity(at, m.end(), "surname", surname.lower(), _said("surname", surname, key))
+    """The entities of a text in order, none overlapping: of two, the one that starts first, then the longer."""
+    found: list[tuple[int, int, str]] = []
+    if "@" in text:
+        found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
+    if _DIGIT.search(text):
+        found += _numbers(text)
+    elif "::" in text or text.count(":") >= 7:
+        found += _numbers(text)
+    found += _secrets(text)
+    called = list(_called(text))
+    if called:
+        names: dict[str, str] = {}
+        for a, b, kind in called:
+            if b - a > 1:
+                names.setdefault(text[a:b], kind)
+        found += called
+        found += _again(text, names) if names else []
+    end = 0
+    for a, b, kind in sorted(found, key=lambda e: (e[0], -e[1])):
+        if a >= end:
+            yield Entity(a, b, kind, identity(kind, text[a:b]), _said(kind, text[a:b], key))
+            end = b
 
 
 def replace(text: str, key: bytes) -> tuple[str, list[Entity]]:
@@ -261,66 +413,51 @@ def replace(text: str, key: bytes) -> tuple[str, list[Entity]]:
     return "".join([*out, text[at:]]), found
 
 
-def find_entities(docs: DataFrame, key: bytes, *, text_col: str = "text") -> DataFrame:
-    """(kind, identity, surrogate, n): the distinct entities of all texts; ``surrogate`` in the notation of the identity."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(e.kind, e.identity, _IDENTITY.get(e.kind, str.lower)(e.surrogate)) for t in batch.column(0).to_pylist() if t for e in entities(t, key)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 3, names=["kind", "identity", "surrogate"])
-
-    found = docs.select(text_col).mapInArrow(run, "kind string, identity string, surrogate string")
-    return found.groupBy("kind", "identity", "surrogate").agg(F.count("*").alias("n"))
-
-
 def collisions(found: DataFrame) -> DataFrame:
-    """(kind, surrogate, identities): surrogates that stand for several entities; (kind, identity) with several are listed too."""
+    """(kind, surrogate, identities): surrogates of (kind, identity, surrogate) that stand for several entities; (kind, identity) with several are listed too."""
     met = found.groupBy("kind", "surrogate").agg(F.count_distinct("identity").alias("identities")).where("identities > 1")
     split = found.groupBy("kind", "identity").agg(F.count_distinct("surrogate").alias("identities")).where("identities > 1")
     return met.unionByName(split.select("kind", F.col("identity").alias("surrogate"), "identities"))
 
 
-def checked_key(docs: DataFrame, key: bytes, *, text_col: str = "text", tries: int = 8) -> bytes:
-    """``key``, or the first key derived from it under which no two entities of ``docs`` share a surrogate.
-
-    Entities of all texts are compared where their surrogates meet; only a count reaches the driver. Two passes read the
-    texts, so nothing but entities is shuffled.
-    """
-    for number in range(tries):
-        drawn = key if not number else hashlib.blake2b(str(number).encode(), key=key, digest_size=32).digest()
-        found = materialize(find_entities(docs, drawn, text_col=text_col), "pii-entities")
-        if collisions(found).isEmpty():
-            return drawn
-    raise ValueError(f"{tries} keys in a row let surrogates collide")
-
-
 def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text", check: bool = True) -> DataFrame:
-    """``docs`` with surrogates in ``text`` and ``n_replaced`` and ``kinds`` (entities by kind) added.
+    """``docs`` with surrogates in ``text`` and ``n_replaced``, ``kinds`` (entities by kind) and ``entities`` added.
 
-    :param key: secret of at most 64 bytes; whoever holds it can turn surrogates back.
-    :param check: see :func:`checked_key`.
+    :param key: secret of at most 64 bytes; whoever holds it can turn surrogates back. One key serves all batches of a corpus.
+    :param check: write the result in the shared folder and compare all entities with their surrogates; a ValueError tells
+        that two entities share a surrogate, or one has two, before anything is returned.
 
+    ``entities`` lists (kind, identity, surrogate), both in one notation, and must be dropped before the texts are given away.
     Null texts stay null with no entities, empty texts and texts without entities are unchanged. Repeated rows are
     each replaced, alike. Columns of ``docs`` named like the added ones are replaced.
     """
-    docs = docs.drop("n_replaced", "kinds")
-    used = checked_key(docs, key, text_col=text_col) if check else key
-    at, names = docs.columns.index(text_col), [*docs.columns, "n_replaced", "kinds"]
+    docs = docs.drop("n_replaced", "kinds", "entities")
+    at, names = docs.columns.index(text_col), [*docs.columns, "n_replaced", "kinds", "entities"]
     kinds_type = pa.map_(pa.string(), pa.int64())
+    entity_type = pa.list_(pa.struct([("kind", pa.string()), ("identity", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts, kinds = [], [], []
+            texts, counts, kinds, listed = [], [], [], []
             for text in batch.column(at).to_pylist():
-                made, found = replace(text, used) if text else (text, [])
+                made, found = replace(text, key) if text else (text, [])
                 by: dict[str, int] = {}
                 for e in found:
                     by[e.kind] = by.get(e.kind, 0) + 1
                 texts.append(made)
                 counts.append(len(found))
                 kinds.append(sorted(by.items()))
+                listed.append([{"kind": e.kind, "identity": e.identity, "surrogate": identity(e.kind, e.surrogate)} for e in found])
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(kinds, kinds_type)], names=names)
-
-    added = [T.StructField("n_replaced", T.LongType()), T.StructField("kinds", T.MapType(T.StringType(), T.LongType()))]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(kinds, kinds_type), pa.array(listed, entity_type)], names=names)
+
+    one = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "identity", "surrogate")])
+    added = [T.StructField("n_replaced", T.LongType()), T.StructField("kinds", T.MapType(T.StringType(), T.LongType())), T.StructField("entities", T.ArrayType(one))]
+    made = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    if not check:
+        return made
+    made = materialize(made, "pii-texts")
+    met = collisions(made.where("n_replaced > 0").select(F.explode("entities").alias("e")).select("e.*").distinct()).count()
+    if met:
+        raise ValueError(f"{met} surrogates or entities are not told apart")
+    return made
