@@ -15,11 +15,12 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize, publish
+from .storage import materialize, open_filesystem, publish
 
 FILE_BYTES = 8 << 20
 #: Fixed values of the format.
@@ -58,20 +59,20 @@ def _plain(value: str) -> str:
 
 
 def capture_records(row: int, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> Iterator[bytes]:
-    """Request, response or revisit, and metadata of one page; ``row`` tells repeated rows apart."""
-    main = record_id(page_id, row)
+    """Request, response or revisit, and metadata of one page; ``row`` tells rows of one id and payload apart."""
+    main = record_id(page_id, digest, row)
     shared = [("WARC-Target-URI", _uri(url)), ("WARC-Date", DATE)]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     ask = b"GET / HTTP/1.1\r\nAccept: text/html\r\n\r\n"
-    yield pack_record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", page_id, row)), ("WARC-Concurrent-To", main), *shared, ("Content-Type", "application/http; msgtype=request")], ask)
+    yield pack_record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", page_id, digest, row)), ("WARC-Concurrent-To", main), *shared, ("Content-Type", "application/http; msgtype=request")], ask)
     kind, block, more = "response", http + payload, []
     if refers_to is not None:
-        kind, block, more = "revisit", http, [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, 0))]
+        kind, block, more = "revisit", http, [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest, 0))]
     yield pack_record([("WARC-Type", kind), ("WARC-Record-ID", main), *more, *shared, ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")], block)
     fields = f"pageId: {'' if page_id is None else page_id}\r\nhasUrl: {int(url is not None)}\r\n"
     if refers_to is not None:
         fields += f"refersToPage: {refers_to}\r\n"
-    yield pack_record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", page_id, row)), ("WARC-Concurrent-To", main), *shared, ("Content-Type", "application/warc-fields")], fields.encode())
+    yield pack_record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", page_id, digest, row)), ("WARC-Concurrent-To", main), *shared, ("Content-Type", "application/warc-fields")], fields.encode())
 
 
 def write_archives(
@@ -92,7 +93,8 @@ def write_archives(
 
     A null payload is empty. Rows that repeat the page id of a response are responses. A null page id gives a response
     that nothing revisits. An empty table gives no file. Payloads are shuffled once, by row; equal ones meet only
-    as digests, so a payload of any number of copies is no burden. A file appears only when whole.
+    as digests, so a payload of any number of copies is no burden. Every attempt of a task writes files of its own, in
+    whatever order its rows come; the table ``files`` under ``uri``, which Spark commits once for each task, names those that count.
     """
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
@@ -101,29 +103,38 @@ def write_archives(
     small = rows.where(f"size >= {min_bytes} and page_id is not null").select("page_id", "sha").distinct()
     revisits = small.join(firsts, "sha").where("page_id != first").groupBy(F.col("page_id").alias("k"))
     revisits = revisits.agg(F.map_from_entries(F.collect_list(F.struct("sha", "first"))).alias("firsts"))
-    # Rows of one page id meet in a task, so that repeated ones can be told apart.
-    planned = rows.withColumn("k", F.coalesce("page_id", F.xxhash64("body"))).repartition("k").join(revisits, "k", "left")
-    planned = planned.select("page_id", "url", "body", F.when(F.col("page_id").isNotNull(), F.expr("try_element_at(firsts, sha)")).alias("first"))
+    # Rows of one page id meet in a task, so that repeated ones can be told apart; the sort makes every attempt write the same.
+    planned = rows.withColumn("k", F.coalesce("page_id", F.xxhash64("url", "sha"))).repartition("k").join(revisits, "k", "left")
+    first = F.when(F.col("page_id").isNotNull(), F.expr("try_element_at(firsts, sha)"))
+    planned = planned.select("k", "page_id", "url", "body", "sha", first.alias("first")).sortWithinPartitions("k", "page_id", "sha", "url").drop("k")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held, size, seen = TaskContext.get().partitionId(), 0, [], 0, {}
+        task = TaskContext.get()
+        place, number, held, size, seen = f"{task.partitionId():06d}-{task.taskAttemptId()}", 0, [], 0, {}
+        names = []
+
+        def close() -> None:
+            nonlocal number, held, size
+            names.append(f"{place}-{number:06d}.warc.gz")
+            publish(f"{uri}/{names[-1]}", held)
+            held, size, number = [], 0, number + 1
+
         for batch in batches:
-            for page_id, url, body, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = seen[page_id] = seen.get(page_id, -1) + 1
+            for page_id, url, body, sha, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                digest = base64.b32encode(bytes.fromhex(sha)).decode()
+                row = seen[page_id, digest] = seen.get((page_id, digest), -1) + 1
                 if page_id is None:
-                    row += part << 32
-                for record in capture_records(row, page_id, url, body, base32_sha1(body), first):
+                    row += task.partitionId() << 32
+                for record in capture_records(row, page_id, url, body, digest, first):
                     held.append(record)
                     size += len(record)
                 if size >= file_bytes:
-                    publish(f"{uri}/{part:06d}-{number:06d}.warc.gz", held)
-                    held, size, number = [], 0, number + 1
+                    close()
         if held:
-            publish(f"{uri}/{part:06d}-{number:06d}.warc.gz", held)
-            number += 1
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())], names=["files"])
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["file"])
 
-    planned.mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+    planned.mapInArrow(write, "file string").write.parquet(f"{uri}/files")
 
 
 def _headers(lines: bytes) -> dict[str, str]:
@@ -175,32 +186,39 @@ def record_row(headers: dict[str, str], block: bytes, keep_payload: bool) -> tup
 
 
 def read_records(spark: SparkSession, uri: str, *, keep_payload: bool = True) -> DataFrame:
-    """One row of ``RECORD_FIELDS`` for each record of the archives (``*.warc`` or ``*.warc.gz``) under ``uri``.
+    """One row of ``RECORD_FIELDS`` for each record of the archives under ``uri``.
 
     :param keep_payload: false leaves ``payload`` null; lengths, digests and checks are still those of the payload.
 
-    ``payload_ok`` tells of a response whether its payload has the stated digest and length. A file is read by one task.
+    The archives are those that the table ``files`` there names, or all of ``*.warc`` and ``*.warc.gz`` where there is none.
+    ``payload_ok`` tells of a response whether its payload has the stated digest and length. A file is read by one task, as a stream.
     """
     types = [f.split()[1] for f in RECORD_FIELDS.split(", ")]
     names = [f.split()[0] for f in RECORD_FIELDS.split(", ")]
     arrow = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = pa.BufferReader(content.as_buffer())
+        filesystem, base = open_filesystem(uri)
+        for name in (n for b in batches for n in b.column(0).to_pylist()):
+            with filesystem.open_input_stream(f"{base}/{name}", compression=None) as raw:
                 stream = gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else io.BufferedReader(raw)
-                held: list[tuple] = []
+                held, size = [], 0
                 for headers, block in records(stream):
                     held.append(record_row(headers, block, keep_payload))
-                    if len(held) == 1000:
+                    size += len(block)
+                    if len(held) == 1000 or keep_payload and size >= FILE_BYTES:
                         yield _batch(held, names, types, arrow)
-                        held = []
+                        held, size = [], 0
                 if held:
                     yield _batch(held, names, types, arrow)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(uri).select("path", "content")
-    return files.mapInArrow(run, RECORD_FIELDS)
+    filesystem, base = open_filesystem(uri)
+    if filesystem.get_file_info(f"{base}/files").type.name == "Directory":
+        listed = spark.read.schema("file string").parquet(f"{uri}/files")
+    else:
+        found = filesystem.get_file_info(fs.FileSelector(base, allow_not_found=True))
+        listed = spark.createDataFrame([(f.base_name,) for f in found if ".warc" in f.base_name], "file string")
+    return listed.repartition(max(1, listed.count()), "file").mapInArrow(run, RECORD_FIELDS)
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[str], arrow: dict) -> pa.RecordBatch:
