@@ -39,9 +39,12 @@ def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_columnwise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` without the bytes that strings of 400 bytes cover which also start elsewhere."""
+    """All ``documents`` without the bytes that strings of 400 bytes cover which also start elsewhere.
+
+    ``text`` is what is left, with a mark where a cut falls inside a character.
+    """
     made = suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400)
-    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def byte_bpe() -> str:

@@ -30,6 +30,8 @@ GRAM = 64
 SYMBOL = 16
 #: Bytes a collection, about.
 COLLECTION = 1 << 20
+#: Rows of a batch of segments.
+ROWS = 20_000
 #: Different segments under one key beyond which its windows are compared by hash, spread over all tasks.
 HOT_SEGMENTS = 2000
 _B = 0x9E3779B97F4A7C15
@@ -213,16 +215,20 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["text", "key", "segment", "start", "n", "twice"]
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=names)
+        rows: list[tuple] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = []
-                for value in batch.column(0).slice(at, 200):
-                    data = value.as_buffer().to_pybytes()
-                    if len(data) >= length:
-                        name = _text_id(data)[:16]
-                        rows += [(name, *x) for x in segments(data, length, gram)]
-                columns = zip(*rows, strict=True) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            for value in batch.column(0):
+                data = value.as_buffer().to_pybytes()
+                if len(data) >= length:
+                    name = _text_id(data)[:16]
+                    for found in segments(data, length, gram):
+                        rows.append((name, *found))
+                        if len(rows) == ROWS:
+                            yield pack(rows)
+                            rows = []
+        if rows:
+            yield pack(rows)
 
     return docs.select("body").mapInArrow(run, "text binary, key bigint, segment bigint, start bigint, n int, twice boolean")
 
