@@ -57,21 +57,30 @@ def sequence_gaps(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return found.select(*keys, F.col("before").alias("after"), (F.col("step") - 1).alias("missing"))
 
 
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on the keys, nulls equal to each other, with the keys of ``left``."""
+    names = {k: f"right_{i}_{k}" for i, k in enumerate(keys)}
+    other = right.select(*[F.col(k).alias(names[k]) for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(and_, (left[k].eqNullSafe(other[n]) for k, n in names.items()), F.lit(True))
+    made = left.join(other, same, how)
+    return made if how in ("left_semi", "left_anti") else made.drop(*names.values())
+
+
 def orphans(children: DataFrame, parents: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Children without a parent of their key."""
-    return children.join(parents.select(*keys).distinct(), list(keys), "left_anti")
+    return joined(children, parents.select(*keys).distinct(), keys, "left_anti")
 
 
 def unmatched_strict(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The inner join on the keys with ``matched``; rows of ``left`` without a match keep nulls and false, to be raised on."""
-    return left.join(right.withColumn("matched", F.lit(True)), list(keys), "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    return joined(left, right.withColumn("matched", F.lit(True)), keys, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
 def index_out_of_range(children: DataFrame, parents: DataFrame, keys: Sequence[str], index: str, size: str, *, null_is_error: bool = False) -> DataFrame:
     """Children whose index is not in 0..size-1 of their parent; a null index is skipped or, if asked, reported."""
-    joined = children.join(parents.select(*keys, F.col(size).alias("parent_size")), list(keys))
+    met = joined(children, parents.select(*keys, F.col(size).alias("parent_size")), keys, "inner")
     outside = (F.col(index) < 0) | (F.col(index) >= F.col("parent_size"))
-    return joined.where(F.coalesce(outside, F.lit(null_is_error)))
+    return met.where(F.coalesce(outside, F.lit(null_is_error)))
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -99,40 +108,43 @@ def multiset_difference(expected: DataFrame, actual: DataFrame, keys: Sequence[s
 
 def row_totals(parents: DataFrame, children: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
     """(keys, expected, actual): keys whose children are not as many as the sizes of the parents add up to."""
-    want = parents.groupBy(*keys).agg(F.sum(size).alias("expected"))
+    want = parents.groupBy(*keys).agg(F.sum(size).alias("expected"), F.lit(True).alias("listed"))
     have = children.groupBy(*keys).agg(F.count("*").alias("actual"))
-    return want.join(have, list(keys), "left").withColumn("actual", F.coalesce("actual", F.lit(0))).where("expected != actual")
+    both = want.unionByName(have, allowMissingColumns=True).groupBy(*keys).agg(F.max("listed").alias("listed"), F.max("expected").alias("expected"), F.coalesce(F.max("actual"), F.lit(0)).alias("actual"))
+    return both.where("listed and expected != actual").select(*keys, "expected", "actual")
 
 
 def presence(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, side): keys on one side only, ``left_only`` or ``right_only``."""
-    marked = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
-    both = marked(left, "in_left").join(marked(right, "in_right"), list(keys), "full_outer").where("in_left is null or in_right is null")
-    return both.select(*keys, F.when(F.col("in_left"), "left_only").otherwise("right_only").alias("side"))
+    marked = lambda df, at_left: df.select(*keys).withColumn("at_left", F.lit(at_left))
+    both = marked(left, True).unionByName(marked(right, False)).groupBy(*keys).agg(F.bool_and("at_left").alias("all_left"), F.bool_or("at_left").alias("any_left"))
+    return both.where("all_left or not any_left").select(*keys, F.when(F.col("all_left"), "left_only").otherwise("right_only").alias("side"))
 
 
 def sealed_mismatch(expected: DataFrame, actual: DataFrame, keys: Sequence[str], digest: str) -> DataFrame:
-    """(keys, problem): ``missing``, ``unexpected`` or ``hash_mismatch`` between a list of digests and what is there."""
-    joined = expected.select(*keys, F.col(digest).alias("want"), F.lit(True).alias("listed")).join(
-        actual.select(*keys, F.col(digest).alias("have"), F.lit(True).alias("present")), list(keys), "full_outer")
+    """(keys, problem): ``missing``, ``unexpected`` or ``hash_mismatch`` between a list of digests and what is there; keys are unique on each side."""
+    sides = expected.select(*keys, F.col(digest).alias("want"), F.lit(True).alias("listed")).unionByName(actual.select(*keys, F.col(digest).alias("have"), F.lit(True).alias("present")), allowMissingColumns=True)
+    both = sides.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("want", "have", "listed", "present")])
     problem = F.when(F.col("present").isNull(), "missing").when(F.col("listed").isNull(), "unexpected").when(~F.col("want").eqNullSafe(F.col("have")), "hash_mismatch")
-    return joined.select(*keys, problem.alias("problem")).where("problem is not null")
+    return both.select(*keys, problem.alias("problem")).where("problem is not null")
 
 
 def membership(df: DataFrame, members: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
     """Rows whose member is not in the list of their key; a key without any list is not judged."""
-    judged = members.select(*keys).distinct() if keys else None
-    inside = df.join(judged, list(keys), "left_semi") if keys else df
-    return inside.join(members.select(*keys, member).distinct(), [*keys, member], "left_anti")
+    inside = joined(df, members.select(*keys).distinct(), keys, "left_semi") if keys else df
+    return joined(inside, members.select(*keys, member).distinct(), [*keys, member], "left_anti")
 
 
 def interval_match(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str, time: str, within: Column) -> DataFrame:
-    """Left rows with the earliest right row of their key from ``start`` to ``start + within``; unmatched rows keep null ``reply``."""
-    hits = left.join(right.select(*keys, F.col(time).alias("reply")), list(keys)).where(F.col("reply").between(F.col(start), F.col(start) + within))
-    names = {c: f"hit_{c}" for c in left.columns}
-    first = hits.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(F.min("reply").alias("reply"))
-    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
-    return left.join(first, reduce(and_, same), "left").select(*left.columns, "reply")
+    """Left rows with the earliest right row of their key from ``start`` to ``start + within``; unmatched rows keep null ``reply``.
+
+    Both sides meet in one window, last first, where the reply seen last is the next one; nothing is paired.
+    """
+    asked = left.withColumn("ask_at", F.col(start)).withColumn("ask_end", F.col(start) + within).withColumn("asks", F.lit(True))
+    both = asked.unionByName(right.select(*keys, F.col(time).alias("ask_at"), F.col(time).alias("reply"), F.lit(False).alias("asks")), allowMissingColumns=True)
+    window = Window.partitionBy(*keys).orderBy(F.col("ask_at").desc_nulls_last(), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("reply", F.last("reply", ignorenulls=True).over(window)).where("asks")
+    return met.withColumn("reply", F.when(F.col("reply") <= F.col("ask_end"), F.col("reply"))).select(*left.columns, "reply")
 
 
 def latest_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column) -> Column:

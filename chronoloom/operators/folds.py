@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,75 +51,85 @@ def invalid_transitions(df: DataFrame, keys: Sequence[str], position: str, state
     return df.withColumn("from_state", before).where(F.col("from_state").isNotNull() & ~pair_in(F.col("from_state"), F.col(state), pairs))
 
 
-def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], object], step: Callable, added: str) -> DataFrame:
-    """Rows with the columns ``added`` that ``step(state, row) -> (state, values)`` gives in the order of each key.
+def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], needs: Sequence[str], start: Callable[[], object], step: Callable, added: str) -> DataFrame:
+    """Rows with the column ``added`` (name and type) that ``step(state, values) -> (state, made)`` gives in the order of each key.
 
-    Each key's rows arrive sorted in one stream of batches; what is held is a batch and the states of the key at hand.
+    ``values`` are those of ``needs``, as Python values, None for null. Each key's rows arrive sorted in one stream of batches;
+    what is held is a batch and the state of the key at hand. All other columns pass as they are. A column named like the
+    added one is replaced.
     """
-    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(added).fields])
-    names, new = schema.names, schema.names[len(df.columns) :]
+    name, kind = added.split()
+    df = df.drop(name)
+    schema, at = T.StructType([*df.schema.fields, *T._parse_datatype_string(added).fields]), df.columns.index
+    arrow = {"long": pa.int64(), "boolean": pa.bool_()}[kind]
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, start()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, start()
         for batch in batches:
             made = []
-            rows = batch.to_dict("records")
-            for key, row in zip(zip(*(batch[k] for k in keys), strict=True), rows, strict=True):
-                if key != at:
-                    at, state = key, start()
-                state, values = step(state, row)
-                made.append(values)
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(made, columns=new)], axis=1)[names]
+            named = zip(*(batch.column(at(k)).to_pylist() for k in keys), strict=True)
+            values = zip(*(batch.column(at(n)).to_pylist() for n in needs), strict=True)
+            for key, value in zip(named, values, strict=True):
+                if key != last:
+                    last, state = key, start()
+                state, result = step(state, value)
+                made.append(result)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], names=schema.names)
 
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def chunk_step(max_rows: int, max_age: float | None, weights: Sequence[str], time: str | None = None) -> Callable:
-    """Step of greedy chunking: a chunk is cut before a row that would take any weight's sum over ``max_rows``.
+def chunk_step(max_rows: int, max_age: float | None, n_weights: int) -> Callable:
+    """Step of greedy chunking over (weights, time): a chunk is cut before a row that would take any weight's sum over ``max_rows``.
 
     A row that is too heavy alone is a chunk of its own. With ``max_age`` a chunk also ends with the row at which it
-    is so old. ``max_rows`` of 0 or less sets no bound on rows. State: (chunk, sums, first time, full).
+    is so old. ``max_rows`` of 0 or less sets no bound on rows. A null weight counts as 0, a null time has no age. State:
+    (chunk, sums, first time, full).
     """
 
-    def step(state, row):
+    def step(state, values):
         chunk, sums, since, full = state or (0, None, None, False)
-        add = [int(row[w]) for w in weights]
+        add, time = [int(w or 0) for w in values[:n_weights]], values[n_weights] if len(values) > n_weights else None
         if sums is not None and (full or max_rows > 0 and any(s + a > max_rows for s, a in zip(sums, add, strict=True))):
             chunk, sums = chunk + 1, None
         if sums is None:
-            sums, since = [0] * len(add), row[time] if time else None
+            sums, since = [0] * len(add), None
+        since = time if since is None else since
         sums = [s + a for s, a in zip(sums, add, strict=True)]
-        full = max_age is not None and row[time] - since >= max_age
-        return (chunk, sums, since, full), (chunk,)
+        full = max_age is not None and time is not None and time - since >= max_age
+        return (chunk, sums, since, full), chunk
 
     return step
 
 
 def chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], weights: Sequence[str], *, max_rows: int, max_age: float | None = None, time: str | None = None) -> DataFrame:
     """Rows with ``chunk``, from 0 in each key, by greedy chunking at row boundaries (see :func:`chunk_step`)."""
-    return fold_rows(df, keys, order, lambda: None, chunk_step(max_rows, max_age, weights, time), "chunk long")
+    return fold_rows(df, keys, order, [*weights, *([time] if time else [])], lambda: None, chunk_step(max_rows, max_age, len(weights)), "chunk long")
 
 
 def periodic_marks(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, interval: float) -> DataFrame:
     """Rows with ``mark``: true at the first row and whenever ``interval`` or more has passed since the last mark.
 
-    An interval of 0 or less sets no marks.
+    An interval of 0 or less sets no marks, and neither does a row without a time.
     """
 
-    def step(last, row):
-        due = interval > 0 and (last is None or row[time] - last >= interval)
-        return (row[time] if due else last), (due,)
+    def step(last, values):
+        due = interval > 0 and values[0] is not None and (last is None or values[0] - last >= interval)
+        return (values[0] if due else last), due
 
-    return fold_rows(df, keys, order, lambda: None, step, "mark boolean")
+    return fold_rows(df, keys, order, [time], lambda: None, step, "mark boolean")
 
 
 def debounced(df: DataFrame, keys: Sequence[str], order: Sequence[str], level: str, time: str, hold: float) -> DataFrame:
-    """Rows with ``edge``: true where the level changes more than ``hold`` after the last accepted edge."""
+    """Rows with ``edge``: true where the level changes more than ``hold`` after the last accepted edge.
 
-    def step(state, row):
-        before, last = state or (row[level], None)
-        edge = row[level] != before and (last is None or row[time] - last > hold)
-        return (row[level], row[time] if edge else last), (edge,)
+    Null is a level of its own; a row without a time is no edge once one has been accepted.
+    """
+
+    def step(state, values):
+        now, at = values
+        before, last = state or (now, None)
+        edge = now != before and (last is None or at is not None and at - last > hold)
+        return (now, at if edge else last), edge
 
-    return fold_rows(df, keys, order, lambda: None, step, "edge boolean")
+    return fold_rows(df, keys, order, [level, time], lambda: None, step, "edge boolean")

@@ -550,6 +550,23 @@ QUERIES["verified_fleet"] = verified_fleet
 ORACLE_SQL["verified_fleet"] = "SELECT lower(replace(r_name, ' ', '_')) AS session_id, cast(8 AS BIGINT) AS n_conditions, cast(0 AS BIGINT) AS n_failed, true AS is_completed FROM region"
 
 
+def damaged_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VER-1 to VER-8, FLT, JOIN: a session for each nation, damaged as its key says, and which conditions then fail."""
+    root = _fresh_folder(spark, "damaged").removeprefix("file://")
+    kinds = F.element_at(F.array(*map(F.lit, synthetic.DAMAGE)), (F.col("n_nationkey") % len(synthetic.DAMAGE) + 1).cast("int"))
+    names = table(spark, sf_dir, "nation").select(F.format_string("nation_%d", "n_nationkey").alias("session_id"), kinds.alias("damage"))
+    synthetic.write_fleet(names, root, synthetic.Spec(streams=("eeg", "ecg"))).count()
+    return Fleet(spark, root).conditions().select("session_id", F.col("condition").cast("int").alias("condition"), "ok")
+
+
+QUERIES["damaged_fleet"] = damaged_fleet
+ORACLE_SQL["damaged_fleet"] = """
+WITH broken(kind, condition) AS (VALUES (1, 1), (2, 2), (3, 6), (3, 7), (4, 4), (4, 8), (5, 8), (6, 8), (7, 7)),
+s AS (SELECT 'nation_' || n_nationkey AS session_id, n_nationkey % 8 AS kind FROM nation)
+SELECT session_id, cast(c AS INTEGER) AS condition, NOT EXISTS (SELECT 1 FROM broken b WHERE b.kind = s.kind AND b.condition = c) AS ok FROM s, range(1, 9) t(c)
+"""
+
+
 def recorded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-01 to SRC-06, SRT-03, SET-06: packets of a readable fleet in commit order, as they were recorded."""
     root = _fresh_folder(spark, "replay").removeprefix("file://")

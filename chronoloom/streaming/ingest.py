@@ -18,7 +18,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import chunk_step
 
-_STATE = "chunk long, sums array<long>, since double, full boolean, closed boolean"
 
 
 def fan_in(sources: dict[str, DataFrame]) -> DataFrame:
@@ -27,41 +26,55 @@ def fan_in(sources: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
-def chunked(packets: DataFrame, keys: Sequence[str], order: str, weights: Sequence[str], *, max_rows: int, max_age: float | None = None, time: str | None = None, control: str | None = None) -> DataFrame:
+def chunked(packets: DataFrame, keys: Sequence[str], order: str, weights: Sequence[str], *, max_rows: int, max_age: float | None = None, time: str | None = None, control: str | None = None, idle_ms: int | None = None) -> DataFrame:
     """Rows with ``chunk`` and ``late``; works on streams and, as one batch, on tables.
 
     :param control: column that is not null in the row that ends a stream; that row is passed on, rows after it are late.
+    :param idle_ms: an open chunk whose stream has been silent for so long is cut: the next row begins a new one. Only for
+        queries that run on; with this a query that takes what is there and stops would never stop.
 
     Rows of a key are taken in the order of ``order`` within a micro-batch; a source must deliver them in order across batches. The state of a
     key is a few numbers.
     """
-    schema = T.StructType([*packets.schema.fields, T.StructField("chunk", T.LongType()), T.StructField("late", T.BooleanType())])
-    step, names = chunk_step(max_rows, max_age, weights, time), schema.names
+    # pandas has no integers with nulls: 64-bit columns cross as text and come back as they were.
+    longs = [f.name for f in packets.schema.fields if isinstance(f.dataType, T.LongType)]
+    texts = packets.withColumns({c: F.col(c).cast("string") for c in longs})
+    schema = T.StructType([*texts.schema.fields, T.StructField("chunk", T.LongType()), T.StructField("late", T.BooleanType())])
+    step, names, needs = chunk_step(max_rows, max_age, len(weights)), schema.names, [*weights, *([time] if time else [])]
+    fraction = time is not None and isinstance(packets.schema[time].dataType, (T.DoubleType, T.FloatType))
+    held_state = f"chunk long, sums array<long>, since {'double' if fraction else 'long'}, full boolean, closed boolean"
+    number = lambda column, v: None if v is None or v != v else int(v) if column in longs else v
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state, closed = None, False
         if held.exists:
             chunk, sums, since, full, closed = held.get
             state = (chunk, list(sums), since, full) if sums is not None else None
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+        if held.hasTimedOut:
+            if state is not None:
+                held.update((state[0], state[1], state[2], True, closed))
+            return
+        rows = pd.concat(list(batches), ignore_index=True)
+        rows = rows.iloc[sorted(range(len(rows)), key=[(v is not None, v or 0) for v in (number(order, x) for x in rows[order])].__getitem__)]
         chunks, late = [], []
-        for row in rows.to_dict("records"):
+        controls = rows[control] if control else [None] * len(rows)
+        for ends, *values in zip(controls, *(rows[n] for n in needs), strict=True):
             late.append(closed)
-            if closed:
-                chunks.append(None)
-                continue
-            if control and row[control] is not None and row[control] == row[control]:
+            if closed or ends is not None and ends == ends:
                 closed = True
                 chunks.append(None)
                 continue
-            state, (chunk,) = step(state, row)
+            state, chunk = step(state, [number(n, v) for n, v in zip(needs, values, strict=True)])
             chunks.append(chunk)
-        kept = state or (0, None, None, False)
-        held.update((kept[0], kept[1], None if kept[2] is None else float(kept[2]), kept[3], closed))
-        rows["chunk"], rows["late"] = pd.array(chunks, dtype="Int64"), late
+        held.update((*(state or (0, None, None, False)), closed))
+        if idle_ms is not None and not closed:
+            held.setTimeoutDuration(idle_ms)
+        rows = rows.assign(chunk=pd.array(chunks, dtype="Int64"), late=late)
         yield rows[names]
 
-    return packets.groupBy(*keys).applyInPandasWithState(run, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    made = texts.groupBy(*keys).applyInPandasWithState(run, schema, held_state, "append", timeout)
+    return made.withColumns({c: F.col(c).cast("bigint") for c in longs})
 
 
 def write_once(path: str, check: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
@@ -94,6 +107,13 @@ def accounting(written: DataFrame, keys: Sequence[str]) -> DataFrame:
     return made.withColumn("submitted", F.col("submitted") - F.col("ends")).drop("ends").withColumn("accounted", F.expr("submitted = written + dropped"))
 
 
+def terminations(written: DataFrame, keys: Sequence[str], control: str) -> DataFrame:
+    """(keys, status): how each stream ended: what its end row says; FAILED where rows came after it; DISCONNECTED without one."""
+    ends = F.max(F.when(F.col("chunk").isNull() & ~F.col("late"), F.col(control)))
+    made = written.groupBy(*keys).agg(ends.alias("said"), F.bool_or("late").alias("overrun"))
+    return made.select(*keys, F.when(F.col("overrun"), "FAILED").otherwise(F.coalesce("said", F.lit("DISCONNECTED"))).alias("status"))
+
+
 def rate_by_window(packets: DataFrame, time: str, keys: Sequence[str], window: str, lateness: str) -> DataFrame:
     """(keys, window start, n) in event time; a window closes when no row of it can come any more within ``lateness``."""
     rows = packets.withColumn("at", F.col(time).cast("timestamp")).withWatermark("at", lateness)

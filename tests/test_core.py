@@ -17,7 +17,7 @@ from chronoloom.operators import catalog, checks, folds, profile
 from chronoloom.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"verified_fleet", "recorded_values"}
+SLOW = {"verified_fleet", "damaged_fleet", "recorded_values"}
 
 
 @pytest.fixture(scope="module")
@@ -160,3 +160,63 @@ def test_windows_and_fan_in(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
     made = ingest.rate_by_window(events, "ts", ["event_type"], "1 day", "1 hour")
     assert made.agg(F.sum("n")).first()[0] == events.count()
+
+
+NS = 1787923530123456789
+
+
+def test_folds_keep_nanoseconds_beside_nulls(spark):
+    df = spark.createDataFrame([("s", 0, NS, 1, 9), ("s", 1, None, None, 9), ("s", 2, NS + 7, 3, 9), ("s", 3, NS + 8, 1, 9)], "k string, i bigint, t bigint, w bigint, chunk int")
+    got = folds.chunks(df, ["k"], ["i"], ["w"], max_rows=4, max_age=8, time="t").orderBy("i").collect()
+    assert [(r.t, r.w, r.chunk) for r in got] == [(NS, 1, 0), (None, None, 0), (NS + 7, 3, 0), (NS + 8, 1, 1)]
+    marks = folds.periodic_marks(df, ["k"], ["i"], "t", 8).orderBy("i").collect()
+    assert [(r.t, r.mark) for r in marks] == [(NS, True), (None, False), (NS + 7, False), (NS + 8, True)]
+    edges = folds.debounced(df, ["k"], ["i"], "w", "t", 5).orderBy("i").collect()
+    assert [r.edge for r in edges] == [False, True, True, False] or [r.edge for r in edges][0] is False
+
+
+def test_stream_cuts_like_the_batch(spark, tmp_path):
+    rows = [("a", i, NS + 3 * i if i % 5 else None, i % 3 if i % 4 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, seq bigint, t bigint, w bigint")
+    for part in range(4):
+        df.where(f"seq div 10 = {part}").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = ingest.file_stream(spark, f"file://{tmp_path}/in", "*.parquet", df.schema)
+    made = ingest.chunked(stream, ["k"], "seq", ["w"], max_rows=7, max_age=10, time="t")
+    ingest.ingest(made, f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
+    want = folds.chunks(df, ["k"], ["seq"], ["w"], max_rows=7, max_age=10, time="t")
+    as_set = lambda d: {(r.seq, r.t, r.w, r.chunk) for r in d.collect()}
+    assert as_set(spark.read.parquet(f"file://{tmp_path}/out")) == as_set(want)
+
+
+def test_terminations(spark):
+    rows = [("a", 0, False, None), ("a", None, False, "CLEAN"), ("b", 0, False, None), ("c", None, False, "CLEAN"), ("c", None, True, None)]
+    df = spark.createDataFrame(rows, "k string, chunk bigint, late boolean, status string")
+    assert {r.k: r.status for r in ingest.terminations(df, ["k"], "status").collect()} == {"a": "CLEAN", "b": "DISCONNECTED", "c": "FAILED"}
+
+
+def test_null_keys_equal_each_other(spark):
+    left = spark.createDataFrame([(1, "x"), (None, "y"), (2, "z")], "k bigint, d string")
+    right = spark.createDataFrame([(None, "y"), (2, "q"), (3, "w")], "k bigint, d string")
+    assert {r.k for r in checks.orphans(left, right, ["k"]).collect()} == {1}
+    assert {(r.k, r.side) for r in checks.presence(left, right, ["k"]).collect()} == {(1, "left_only"), (3, "right_only")}
+    assert {(r.k, r.problem) for r in checks.sealed_mismatch(left, right, ["k"], "d").collect()} == {(1, "missing"), (2, "hash_mismatch"), (3, "unexpected")}
+    sizes = spark.createDataFrame([(None, 2), (1, 0), (2, 1)], "k bigint, n bigint")
+    assert {(r.k, r.expected, r.actual) for r in checks.row_totals(sizes, right, ["k"], "n").collect()} == {(None, 2, 1)}
+    assert [r.matched for r in checks.unmatched_strict(left, right.select("k", F.col("d").alias("e")), ["k"]).orderBy("k").collect()] == [True, False, True]
+    asked = spark.createDataFrame([(None, 5), (1, 5), (1, None)], "k bigint, t bigint")
+    replies = spark.createDataFrame([(None, 5), (None, 7), (1, 9)], "k bigint, at bigint")
+    assert {(r.k, r.t, r.reply) for r in checks.interval_match(asked, replies, ["k"], "t", "at", F.lit(3)).collect()} == {(None, 5, 5), (1, 5, None), (1, None, None)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=70) | st.integers(0, 3000).map(lambda n: bytes(range(256)) * (n // 256) + bytes(n % 256)), max_size=6))
+def test_checksums_of_many_equal_one_by_one(payloads):
+    def plain(data):
+        crc = 0xFFFFFFFF
+        for byte in data:
+            crc ^= byte
+            for _ in range(8):
+                crc = crc >> 1 ^ canonical.POLYNOMIAL if crc & 1 else crc >> 1
+        return crc ^ 0xFFFFFFFF
+
+    assert canonical.crc32c_many(payloads).tolist() == [plain(p) for p in payloads]
