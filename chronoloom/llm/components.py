@@ -33,17 +33,22 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
     :param links: two columns ``u`` and ``v`` of one orderable type. Loops and repeats are harmless,
         rows with a null end are ignored. An empty table gives an empty result.
 
-    The component is the smallest node. Each round shuffles the links twice; the number of rounds grows with
-    the logarithm of the longest chain. Rounds are written to the shared folder, so no lineage piles up, and
-    only a count and a checksum reach the driver.
+    The component is the smallest node. Every node first takes the smallest of its neighbours and itself as its label, which
+    collapses a dense group to its few labels; only links between labels go into the rounds. Each round shuffles those
+    twice; the number of rounds grows with the logarithm of the longest chain. Rounds are written to the shared folder, so no
+    lineage piles up, and only a count and a checksum reach the driver.
     """
-    edges = links.where("u is not null and v is not null and u != v").distinct()
+    links = materialize(links.where("u is not null and v is not null and u != v").distinct(), name)
+    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), name)
+    of = lambda end, named: labels.select(F.col("node").alias(end), F.col("label").alias(named))
+    edges = links.join(of("u", "a"), "u").join(of("v", "b"), "v").where("a != b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     edges, seen = materialize(edges, name), None
-    while True:
+    while not edges.isEmpty():
         edges = materialize(_small_star(_large_star(edges)), name)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
         seen = tuple(state)
-    roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    found = edges.select(F.col("u").alias("label"), F.col("v").alias("component"))
+    return labels.join(found, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
