@@ -1,10 +1,11 @@
 """Benchmark decontamination by size-partitioned MinHash containment, in DataFrame functions only.
 
-Test items are partitioned by their number of distinct shingles. A hash orders all shingles at random, and the sketch
-of an item is its lowest hashes. A document that holds the share ``containment`` of an item misses so few of the
-item's shingles that it cannot miss a whole sketch of the length of the item's partition, so looking the sketches up in the
-documents' shingles finds every match; unlike in a scheme of bands, its length does not depend on the document's.
-Candidates are verified by comparing the shingles themselves.
+A hash orders all shingles at random. Test items are partitioned by their number of distinct shingles; the signature of an
+item is its lowest hashes, as many as its partition asks for, and the signature of a document its hashes up to the highest
+of any item's signature. A document that holds the share ``containment`` of an item misses so few of the item's
+shingles that it must hold a number of the item's signature that follows from its size and partition; what holds fewer
+is no candidate. Unlike in bands of a Jaccard threshold this does not depend on the document's length: a match of 20
+shingles in a text of 5,000 has a Jaccard similarity of 0.003 and would be lost. Candidates are verified by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import fresh_name, materialize
 
 WIDTH = 5
 CONTAINMENT = 0.8
-#: Rows of sketches, of item shingles or of candidates that are broadcast at most.
-BROADCAST_ROWS = 500_000
+#: Bytes of sketches, of item shingles or of candidates that are broadcast at most, about.
+BROADCAST_BYTES = 32 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -51,12 +52,12 @@ def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
 
 
 def sketches(items: DataFrame, containment: float, width: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, id, n, shingle, hash, in_sketch): the shingles of each item, and which of them are its sketch.
+    """(item, id, n, need, shingle, hash, in_sketch): the shingles of each item, which of them are its sketch, and how many of it a match holds.
 
     ``item`` is never null: a row without an id is an item of its own, told apart by its text.
 
     The sketch length is set by the partition, the next power of two of the item's size n: of n shingles a match
-    misses (1 - containment) * n at most, so one more than that share of the partition's bound always meets it.
+    misses (1 - containment) * n at most, so of one more than that share of the partition's bound it holds all but those.
     """
     text = F.col(text_col)
     both = F.arrays_zip(shingle_strings(text, width).alias("shingle"), shingle_hashes(text, width).alias("hash"))
@@ -66,8 +67,9 @@ def sketches(items: DataFrame, containment: float, width: int, item_col: str = "
     gathered = rows.groupBy("item").agg(F.min("id").alias("id"), F.array_sort(F.collect_list(F.struct("hash", "shingle"))).alias("all"))
     gathered = gathered.withColumn("n", F.size("all")).withColumn("bound", F.pow(F.lit(2.0), F.ceil(F.log2("n"))))
     length = (F.floor(F.lit(1 - containment + 1e-9) * F.col("bound")) + 1).cast("int")
-    return gathered.select("item", "id", "n", length.alias("length"), F.posexplode("all").alias("place", "z")).select(
-        "item", "id", "n", "z.shingle", "z.hash", (F.col("place") < F.col("length")).alias("in_sketch"))
+    need = F.least(length, F.col("n")) - F.floor(F.lit(1 - containment + 1e-9) * F.col("n"))
+    parts = gathered.select("item", "id", "n", length.alias("length"), F.greatest(need, F.lit(1)).cast("int").alias("need"), F.posexplode("all").alias("place", "z"))
+    return parts.select("item", "id", "n", "need", "z.shingle", "z.hash", (F.col("place") < F.col("length")).alias("in_sketch"))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -76,8 +78,10 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def _sent(df: DataFrame) -> DataFrame:
-    """Broadcast where the rows, a few words each, are known to be few; else Spark shuffles both sides of the join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast where the bytes of the rows are known to be few; else Spark shuffles both sides of the join."""
+    text = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "string"), F.lit(32))
+    size = df.agg(F.coalesce(F.sum(text.cast("bigint")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def matches(
@@ -99,9 +103,13 @@ def matches(
     """
     known = materialize(sketches(items, containment, width, item_col, item_text_col), "benchmark-shingles")
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    found = rows.select("key", F.explode(shingle_hashes(F.col("t"), width)).alias("hash"))
-    wanted = known.where("in_sketch").select("hash", "item")
-    pairs = materialize(found.join(_sent(wanted), "hash").select("key", "item").distinct(), "benchmark-candidates")
+    wanted = known.where("in_sketch").select("hash", "item", "need")
+    # One number, whatever the input: no document needs hashes beyond the highest of a sketch.
+    highest = wanted.agg(F.max("hash")).first()[0]
+    below = F.filter(shingle_hashes(F.col("t"), width), lambda h: h <= F.lit(highest).cast("bigint"))
+    found = rows.select("key", F.explode(F.array_distinct(below)).alias("hash"))
+    hits = found.join(_sent(wanted), "hash").groupBy("key", "item", "need").agg(F.count_distinct("hash").alias("hits"))
+    pairs = materialize(hits.where("hits >= need").select("key", "item"), "benchmark-candidates")
     both = F.explode(F.arrays_zip(shingle_strings(F.col("t"), width).alias("shingle"), shingle_hashes(F.col("t"), width).alias("hash"))).alias("z")
     again = rows.join(_sent(pairs.select("key").distinct()), "key").select("key", "id", both).select("key", "id", "z.hash", "z.shingle")
     held = again.join(_sent(known.select("hash", "shingle", "item", F.col("id").alias("named"), "n")), ["hash", "shingle"]).select("key", "id", "item", "named", "n", "shingle").distinct()
@@ -119,8 +127,9 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", i
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that match no item, with their columns."""
-    found = matches(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", row_key(id_col, text_col)).join(found, "__key", "left_anti").select(docs.columns)
+    key = fresh_name(docs, "key")
+    found = matches(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, row_key(id_col, text_col)).join(found, key, "left_anti").select(docs.columns)
 
 
 ORACLE_SQL = f"""
