@@ -59,7 +59,8 @@ def _found(text: str, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.
 def learning_rows(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(y, text) of ``max_rows`` labelled rows at most, those whose ids hash lowest: every label has the same chance.
 
-    Rows whose crc32(id) mod 3 is 1 are held out. An id with several labels has the largest.
+    Rows whose crc32(id) mod 3 is 1 are held out. An id with several labels has the largest; of several rows of an
+    id one counts, the one whose text hashes lowest.
     """
     held = F.crc32(F.col(id_col).cast("string")) % 3 == 1
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held)
@@ -67,7 +68,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     # ``max_rows`` bounds the broadcast side.
     joined = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), id_col)
-    return joined.select("y", "t")
+    return joined.groupBy(id_col).agg(F.max("y").alias("y"), F.min_by("t", F.xxhash64("t")).alias("t")).select("y", "t")
 
 
 def fit(
@@ -75,7 +76,7 @@ def fit(
     labels: DataFrame,
     *,
     max_rows: int = 8000,
-    max_features: int = 4096,
+    max_features: int | None = 1024,
     smoothing: float = 1.0,
     strength: float = 1.0,
     id_col: str = "doc_id",
@@ -85,13 +86,13 @@ def fit(
     """Fit on a bounded sample of the labelled rows that are not held out.
 
     :param max_rows: labelled rows used at most; all of them where there are fewer.
-    :param max_features: grams kept, those whose shares in the two classes differ most for their spread.
+    :param max_features: grams kept, those whose shares in the two classes differ most for their spread; None keeps all.
     :param smoothing: added to each count of the log-count ratio.
     :param strength: weight of the quadratic penalty.
 
     With no labels, or labels of one kind, the model has no grams and its intercept is the smoothed share of toxic
-    rows. Whole texts are used; null texts count as empty. What reaches the driver is bounded by ``max_rows`` times
-    ``max_features``, as slots present in the sample.
+    rows. Whole texts are used; null texts count as empty. What reaches the driver is bounded by ``max_rows`` texts times
+    the grams kept, as slots present in the sample.
     """
     rows = materialize(learning_rows(docs, labels, max_rows, id_col, text_col, label_col), "toxicity-sample")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -114,7 +115,7 @@ def fit(
     share = (F.col("p") + F.col("q") + 1.0) / (toxic + clean + 2.0)
     spread = F.sqrt(share * (1 - share) * (1.0 / toxic + 1.0 / clean))
     apart = F.abs(F.col("p") / F.lit(toxic) - F.col("q") / F.lit(clean)) / spread
-    top = counts.orderBy(apart.desc(), "slot").limit(max_features).collect()
+    top = (counts if max_features is None else counts.orderBy(apart.desc(), "slot").limit(max_features)).collect()
     slots = np.array(sorted(r.slot for r in top), np.int64)
     by_slot = {r.slot: r for r in top}
     p = np.array([by_slot[s].p for s in slots.tolist()]) + smoothing
@@ -126,12 +127,12 @@ def fit(
         wanted[slots] = True
         for batch in batches:
             made = [_found(t, wanted) for t in batch.column(1).to_pylist()]
-            at = pa.array([np.searchsorted(slots, x).astype("<u2").tobytes() for x, _ in made], pa.binary())
+            at = pa.array([np.searchsorted(slots, x).astype("<u4").tobytes() for x, _ in made], pa.binary())
             size = pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), at, size], names=["y", "found", "size"])
 
     sample = rows.mapInArrow(hits, "y int, found binary, size binary").toArrow()
-    found = [np.frombuffer(x, "<u2").astype(np.int64) for x in sample.column("found").to_pylist()]
+    found = [np.frombuffer(x, "<u4").astype(np.int64) for x in sample.column("found").to_pylist()]
     sizes = [np.frombuffer(x, "<f4").astype(float) for x in sample.column("size").to_pylist()]
     y = np.array(sample.column("y").to_pylist(), float)
     weights, bias = _logistic(found, sizes, y, ratio, prior, strength)
