@@ -108,11 +108,11 @@ def schedule(
     Every document of a weighted source gets one slot: mix_block counts the blocks of its source from 0, release
     and deadline are its block's window, mix_slot the slot it runs in, mix_place its place in the block. Sorted by
     slot and place the rows are the mixture. Null sources form a source of their own; rows with one id keep the
-    order of their hash. Repeated rows each take a place. Columns of ``docs`` named like the added ones are
-    replaced. An empty table gives an empty result.
+    order of their hash. Repeated rows each take a place. Columns of ``docs`` named like the added ones, or like one that
+    is used on the way (they begin with ``mix_``), are replaced. An empty table gives an empty result.
     """
-    added = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place", "mix_source", "mix_number"]
-    docs = docs.drop(*added)
+    shown = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place"]
+    docs = docs.drop(*shown, *[f"mix_{n}" for n in ("source", "number", "hash", "ranges", "range", "before", "share", "period", "turn", "at")])
     # One row a source: written, so that the documents are counted once and Spark knows how small the table is.
     sizes = materialize(source_sizes(docs, source_col=source_col), "mix-sources")
     if weights is None:
@@ -121,15 +121,16 @@ def schedule(
         weights = weights.groupBy(_source("source").alias("mix_source")).agg(F.floor(F.sum("weight") * 1000).cast("bigint").alias("weight"))
     # A period's slots: bounded by the period and the number of sources, not by the documents.
     table = materialize(period_table(period_shares(weights, period)), "mix-period")
-    shares = table.select("mix_source", "share").distinct()
+    table = table.select("mix_source", *[F.col(c).alias(f"mix_{c}") for c in ("share", "period", "turn", "at")])
+    shares = table.select("mix_source", "mix_share").distinct()
     rows = _numbered(docs, sizes, id_col, source_col).join(shares, "mix_source")
     rows = rows.withColumn("mix_block", F.expr(f"mix_number div {block_docs}")).withColumn("mix_place", (F.col("mix_number") % block_docs).cast("int"))
-    rows = rows.withColumn("turn", (F.col("mix_block") % F.col("share")).cast("int")).drop("share").join(table, ["mix_source", "turn"])
-    slot = F.expr("(mix_block div share) * period + at")
-    release = F.expr("(mix_block * period) div share")
-    deadline = F.expr("((mix_block + 1) * period + share - 1) div share")
+    rows = rows.withColumn("mix_turn", (F.col("mix_block") % F.col("mix_share")).cast("int")).drop("mix_share").join(table, ["mix_source", "mix_turn"])
+    slot = F.expr("(mix_block div mix_share) * mix_period + mix_at")
+    release = F.expr("(mix_block * mix_period) div mix_share")
+    deadline = F.expr("((mix_block + 1) * mix_period + mix_share - 1) div mix_share")
     rows = rows.withColumn("mix_release", release).withColumn("mix_deadline", deadline).withColumn("mix_slot", slot)
-    return rows.select(*docs.columns, "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
+    return rows.select(*docs.columns, *shown)
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc_id", **options) -> DataFrame:

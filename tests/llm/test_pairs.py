@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from chronoloom.llm import decontaminate, mixing, neighbours, simhash
+from chronoloom.llm.components import connected_components
 
 
 def words(n, seed):
@@ -110,6 +111,31 @@ def test_mixing_windows_and_deviation(spark):
     assert order.columns == ["doc_id", "source"] + ["mix_slot"][:0] or order.count() == len(rows)
 
 
+@pytest.mark.parametrize("kind", ["chain", "random", "dense", "empty"])
+def test_components_equal_brute_force(spark, kind):
+    draw = np.random.default_rng(2)
+    links = {"chain": [(i, i + 1) for i in range(40)], "random": draw.integers(0, 60, (45, 2)).tolist(), "dense": [(i, j) for i in range(9) for j in range(9)] + [(20, 21), (21, 20), (30, 30)], "empty": []}[kind]
+    group = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in group:
+        for a, b in links:
+            if a != b:
+                group[a] = group[b] = min(group[a], group[b])
+    got = connected_components(spark.createDataFrame([*links, (None, 3)], "u bigint, v bigint")).collect()
+    assert {r.node: r.component for r in got} == group and len(got) == len(group)
+
+
+def test_clashing_names(spark):
+    """Columns named like those that operators make on the way come back as they were."""
+    names = "share period turn at n weight key id hash item copy copy_ loose component fingerprint text_hash __key __copy score y t".split()
+    rows = [(i, words(40, i % 7), f"s{i % 2}", *[f"{c}{i}" for c in names]) for i in range(30)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    items = spark.createDataFrame([(1, words(30, 99))], "item_id bigint, text string")
+    want = {r[0]: tuple(r) for r in rows}
+    for made, n in ((mixing.mix(docs), 30), (simhash.drop_near_duplicates(docs), 7), (decontaminate.drop_contaminated(docs, items), 30)):
+        got = made.collect()
+        assert made.columns == docs.columns and len(got) == n and all(tuple(r) == want[r.doc_id] for r in got)
+
+
 def test_mixing_order_is_total(spark):
     docs = spark.createDataFrame([(i, f"s{i % 3}") for i in range(200)], "doc_id bigint, source string")
     first = [r.doc_id for r in mixing.mix(docs).collect()]
