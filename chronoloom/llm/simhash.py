@@ -23,8 +23,8 @@ from .storage import fresh_name, materialize
 SEED = 42
 FANOUT = 8
 FRONTIER = 1 << 16
-#: Words of the fingerprints by which candidates are told apart before their shingles are compared.
-WIDE = 8
+#: Bits of a parity sketch, by which candidates are told apart before their shingles are compared.
+PARITY = 512
 #: Hashes of the texts whose shingles are compared that are broadcast at most.
 BROADCAST_ROWS = 500_000
 _ONES = np.uint64(0x0101010101010101)
@@ -258,10 +258,43 @@ def tables_for(similarity: float, bits: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log1p(-(same**bits)))
 
 
-def limit_for(similarity: float, bits: int, deviations: float = 4.0) -> int:
-    """Differing bits, of ``bits``, that a pair of that Jaccard similarity exceeds with the chance of so many standard deviations."""
-    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * apart + deviations * math.sqrt(bits * apart * (1 - apart)))
+def _halvings(sizes: np.ndarray) -> np.ndarray:
+    """How often a set of that size is halved until less than ``PARITY`` of it are expected."""
+    return np.maximum(np.frexp(np.asarray(sizes, np.float64))[1] - (PARITY.bit_length() - 1), 0)
+
+
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The size of a set of hashes, and two sketches of it: the parities of how many hashes fall on each of ``PARITY`` bits.
+
+    The first is of the hashes left by so many halvings as the size asks for, the second of those left by one more, so
+    that sets of up to twice the size have a sketch of the same halvings.
+    """
+    level, words = int(_halvings(len(hashes))), [np.array([len(hashes)], np.uint64)]
+    for halved in (level, level + 1):
+        left = hashes[hashes <= np.uint64((1 << (64 - halved)) - 1)] & np.uint64(PARITY - 1)
+        odd = np.bincount(left.astype(np.int64), minlength=PARITY) & 1
+        words.append(np.packbits(odd.astype(np.uint8)).view(np.uint64))
+    return np.concatenate(words)
+
+
+def maybe_similar(a: np.ndarray, b: np.ndarray, similarity: float, deviations: float = 4.0) -> np.ndarray:
+    """Whether the sets behind rows of parity sketches can have that Jaccard similarity.
+
+    Sizes give how many elements may be in one set alone. No more bits than that can differ, and no more than so many
+    standard deviations above the mean: certain for sets that are not halved, short of a chance of 1 in 30,000 for others.
+    """
+    sizes = np.stack([a[:, 0], b[:, 0]]).astype(np.float64)
+    alone = sizes.sum(axis=0) * (1 - similarity) / (1 + similarity)
+    levels = _halvings(sizes)
+    level, half = levels.max(axis=0), PARITY // 64
+    sketch = lambda x, own: np.where((own == level)[:, None], x[:, 1 : 1 + half], x[:, 1 + half :])
+    odd = popcount(sketch(a, levels[0]) ^ sketch(b, levels[1]))
+    share = 0.5**level
+    mean_count = alone * share
+    even = np.exp(-2 * mean_count / PARITY)
+    mean, variance = PARITY / 2 * (1 - even), PARITY / 4 * (1 - even**2) - share * mean_count * even**2
+    most = np.minimum(alone, mean + deviations * np.sqrt(np.maximum(variance, 0)))
+    return (sizes.min(axis=0) >= similarity * sizes.max(axis=0) - 1e-9) & (odd <= most + 1e-9)
 
 
 def near_links(codes: DataFrame, limit: int, *, key_bits: int | None = None, tables: int = 0) -> DataFrame:
@@ -306,7 +339,7 @@ def near_links(codes: DataFrame, limit: int, *, key_bits: int | None = None, tab
 
 
 def _dealt(codes: DataFrame, *, lanes: int, limit: int, key_bits: int | None, tables: int) -> DataFrame:
-    """(key, both): the columns (fingerprint, component, wide) of ``codes``, joined, under every bucket key."""
+    """(key, both): the columns (fingerprint, component, sketch) of ``codes``, joined, under every bucket key."""
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,7 +350,7 @@ def _dealt(codes: DataFrame, *, lanes: int, limit: int, key_bits: int | None, ta
             for t in range(keys.shape[1]):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), batch.column(0)], names=["key", "both"])
 
-    rows = codes.select(F.concat("fingerprint", "component", "wide").alias("both")).mapInArrow(deal, "key bigint, both binary")
+    rows = codes.select(F.concat("fingerprint", "component", "sketch").alias("both")).mapInArrow(deal, "key bigint, both binary")
     return rows.repartition("key").sortWithinPartitions("key")
 
 
@@ -357,23 +390,23 @@ def nearest_pairs(codes: DataFrame, limit: int, *, lanes: int, key_bits: int | N
     return met.select(F.least("u", "n.v").alias("u"), F.greatest("u", "n.v").alias("v")).distinct()
 
 
-def cross_pairs(codes: DataFrame, limit: int, wide_limit: int, low: int, high: int, *, lanes: int, key_bits: int | None, tables: int) -> DataFrame:
-    """(u, v): pairs ``low`` to ``high`` - 1 places apart in a bucket that differ in ``limit`` or fewer bits, in their wide
-    fingerprints in ``wide_limit`` or fewer, and lie in two components.
+def cross_pairs(codes: DataFrame, limit: int, similarity: float, low: int, high: int, *, lanes: int, key_bits: int | None, tables: int) -> DataFrame:
+    """(u, v): pairs ``low`` to ``high`` - 1 places apart in a bucket that differ in ``limit`` or fewer bits, whose parity
+    sketches allow that similarity, and which lie in two components.
 
     A row with null v names a code of a bucket that holds pairs further apart.
     """
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, rest, run in _buckets(batches, lanes):
-            parts, wide, left = rest[:, 0], np.ascontiguousarray(rest[:, 1:]), np.arange(len(words))
+            parts, sketch, left = rest[:, 0], np.ascontiguousarray(rest[:, 1:]), np.arange(len(words))
             for step in range(low, high):
                 left = left[left + step < run[left]]
                 if not len(left):
                     break
                 at = left[parts[left] != parts[left + step]]
                 at = at[popcount(words[at] ^ words[at + step]) <= limit]
-                at = at[popcount(wide[at] ^ wide[at + step]) <= wide_limit]
+                at = at[maybe_similar(sketch[at], sketch[at + step], similarity)]
                 if len(at):
                     yield pa.RecordBatch.from_arrays([_packed_words(words[at]), _packed_words(words[at + step])], names=["u", "v"])
             size = np.bincount(run, minlength=len(run) + 1)[run]
@@ -387,24 +420,24 @@ def cross_pairs(codes: DataFrame, limit: int, wide_limit: int, low: int, high: i
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, *, width: int, text_col: str = "text") -> DataFrame:
-    """(fingerprint, shingles, wide) of one text for each of ``nodes`` (fingerprint, text_hash).
+    """(fingerprint, shingles, sketch) of one text for each of ``nodes`` (fingerprint, text_hash).
 
     ``shingles`` are distinct numbers of 32 bits; two shingles of a pair of texts share one by chance about once in 4,000
-    pairs of texts of 1,000 words. ``wide`` is a fingerprint of ``WIDE`` words, by which similarity is told more closely.
+    pairs of texts of 1,000 words. ``sketch`` is their :func:`parity_sketch`.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, wide = [], []
+            sets, sketches = [], []
             for t in batch.column(1).cast(pa.binary()):
                 hashes = np.unique(shingle_hashes(t.as_py() or b"", width))
                 sets.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-                wide.append(fingerprint(hashes, WIDE).astype(">u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32())), pa.array(wide, pa.binary())], names=["fingerprint", "shingles", "wide"])
+                sketches.append(parity_sketch(hashes).astype(">u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32())), pa.array(sketches, pa.binary())], names=["fingerprint", "shingles", "sketch"])
 
     few = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes  # a row is a hash and a fingerprint
     texts = docs.select(_text_hash(text_col).alias("text_hash"), F.col(text_col).alias("t")).join(few, "text_hash")
-    made = texts.select("fingerprint", "t").mapInArrow(run, "fingerprint binary, shingles array<int>, wide binary")
+    made = texts.select("fingerprint", "t").mapInArrow(run, "fingerprint binary, shingles array<int>, sketch binary")
     return made.dropDuplicates(["fingerprint"])
 
 
@@ -428,7 +461,7 @@ def _verified(docs: DataFrame, distinct: DataFrame, links: DataFrame, limit: int
     loose = connected_components(links, "simhash-loose").select(F.col("node").alias("fingerprint"), F.col("component").alias("loose"))
     nodes = materialize(loose.join(distinct, "fingerprint").select("fingerprint", "loose", "text_hash"), "simhash-nodes")
     sets = materialize(shingle_sets(docs, nodes.select("fingerprint", "text_hash"), width=width, text_col=text_col), "shingle-sets")
-    tried = materialize(nearest_pairs(nodes.withColumns({"component": F.lit(b""), "wide": F.lit(b"")}), limit, **how), "simhash-nearest")
+    tried = materialize(nearest_pairs(nodes.withColumns({"component": F.lit(b""), "sketch": F.lit(b"")}), limit, **how), "simhash-nearest")
     fresh, parts, active, low, high = tried, nodes.select("fingerprint", "loose", F.col("fingerprint").alias("component")), None, 1, 4
     while True:
         sure = similar_links(fresh, sets, similarity)
@@ -439,9 +472,9 @@ def _verified(docs: DataFrame, distinct: DataFrame, links: DataFrame, limit: int
             parts = parts.join(joined, "component", "left").select("fingerprint", "loose", F.coalesce("now", "component").alias("component"))
             parts = materialize(parts, "simhash-parted")
         several = parts.groupBy("loose").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("loose")
-        open_ = parts.join(several if active is None else several.join(active, "loose"), "loose", "left_semi").join(sets.select("fingerprint", "wide"), "fingerprint")
+        open_ = parts.join(several if active is None else several.join(active, "loose"), "loose", "left_semi").join(sets.select("fingerprint", "sketch"), "fingerprint")
         named = F.unhex(F.lpad(F.hex(F.xxhash64("component")), 16, "0"))
-        met = materialize(cross_pairs(open_.withColumn("component", named), limit, limit_for(similarity, 64 * WIDE), low, high, **how), "simhash-met")
+        met = materialize(cross_pairs(open_.withColumn("component", named), limit, similarity, low, high, **how), "simhash-met")
         fresh = materialize(met.where("v is not null").join(tried, ["u", "v"], "left_anti"), "simhash-more")
         far = met.where("v is null").select(F.col("u").alias("fingerprint"))
         if fresh.isEmpty() and far.isEmpty():

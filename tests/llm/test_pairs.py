@@ -226,3 +226,20 @@ def test_items_without_id_match(spark):
     got = decontaminate.contaminated(docs, items).collect()
     assert sorted((r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in got) == [(1, None, 26, 26), (2, None, 21, 21)]
     assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [3]
+
+
+@pytest.mark.parametrize("size", [1, 5, 144, 511, 512, 5000])
+def test_parity_sketches_refute_no_similar_sets(size):
+    draw, pairs = np.random.default_rng(size), {}
+    for jaccard in (0.8, 0.65):
+        shared = int(np.ceil(2 * size * jaccard / (1 + jaccard) - 1e-9))
+        for _ in range(100):
+            all_ = draw.integers(0, 1 << 64, 2 * size - shared, dtype=np.uint64)
+            both = np.unique(all_[:size]), np.unique(np.concatenate([all_[:shared], all_[size:]]))
+            pairs.setdefault(jaccard, []).append([simhash.parity_sketch(x) for x in both])
+    like, unlike = (simhash.maybe_similar(*np.stack(p, axis=1), 0.8) for p in (pairs[0.8], pairs[0.65]))
+    assert like.all()
+    assert size < 144 or unlike.mean() < 0.2
+    # One of them larger by a quarter: the level of the larger one counts.
+    small, large = all_[: size * 4 // 5 or 1], all_[:size]
+    assert simhash.maybe_similar(simhash.parity_sketch(small)[None], simhash.parity_sketch(large)[None], 0.8)[0] == (len(small) >= 0.8 * len(large) - 1e-9)
