@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, mixing, neighbours, pii, simhash, suffixes, tokens, toxicity, warc
+from . import decontaminate, html_text, mixing, neighbours, pii, resampling, simhash, suffixes, tokens, toxicity, warc
 from .storage import scratch
 
 #: Key of the surrogates that the registered query draws; a real run keeps its own secret.
@@ -13,6 +13,7 @@ PII_KEY = b"example key of the registered query"
 ORACLE_SQL: dict[str, str] = {
     "op6_size_partitioned_minhash": decontaminate.ORACLE_SQL,
     "op9_pfair_mixing": mixing.ORACLE_SQL,
+    "op13_importance_resampling": resampling.ORACLE_SQL,
 }
 
 
@@ -87,6 +88,11 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all ``documents`` towards ``benchmark`` and the draw of five of a hundred."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_simhash_gray_index": op2_simhash_gray_index,
@@ -98,4 +104,5 @@ QUERIES = {
     "op8_collision_counting": op8_collision_counting,
     "op9_pfair_mixing": op9_pfair_mixing,
     "op10_wrapper_induction": op10_wrapper_induction,
+    "op13_importance_resampling": op13_importance_resampling,
 }
