@@ -19,7 +19,7 @@ from .storage import fresh_name, materialize
 #: Fixed values of the feature hash and the draw.
 BUCKETS = 10_000
 LONGEST = 3
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Accuracy of the quantile that bounds from below the scores which are sorted: an error of one rank in so many.
 ACCURACY = 1000
@@ -30,7 +30,8 @@ def words(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     # Lower case is the same for a text of ASCII alone, and much cheaper than a map of characters.
     plain = F.octet_length(text) == F.char_length(text)
-    return F.regexp_extract_all(F.when(plain, F.lower(text)).otherwise(F.translate(text, CAPITALS, SMALL)), F.lit(WORD), F.lit(0))
+    # Splitting between words takes an eighth of the time of extracting them: a match copies the text.
+    return F.array_remove(F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, CAPITALS, SMALL)), BETWEEN), "")
 
 
 def feature_buckets(found: Column, buckets: int = BUCKETS) -> Column:
