@@ -11,6 +11,8 @@ without a row for each feature.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,21 +36,31 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, CAPITALS, SMALL)), BETWEEN), "")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def feature_buckets(found: Column, buckets: int = BUCKETS) -> Column:
     """Buckets of all runs of 1 to 3 words: the CRC-32 of the run's bytes, modulo the number of buckets; repeats count."""
+    hashed = lambda runs: F.transform(runs, lambda run: (F.crc32(run) % buckets).cast("int"))
+
+    def extended(runs: Column, w: Column, length: int) -> Column:
+        """Runs of one word more than ``runs``, which have ``length`` words."""
+        left = F.greatest(F.size(w) - length, F.lit(0))
+        return F.zip_with(F.slice(runs, F.lit(1), left), F.slice(w, F.lit(length + 1), left), lambda run, word: F.concat(run, F.lit(" "), word))
 
-    def runs(w: Column, length: int) -> Column:
-        starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (length - 1), F.lit(0)))
-        joined = lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, length)]) if length > 1 else x
-        return F.transform(starts, lambda x, i: (F.crc32(joined(x, i)) % buckets).cast("int"))
+    def from_length(w: Column, runs: Column, length: int) -> Column:
+        if length == LONGEST:
+            return hashed(runs)
+        return F.concat(hashed(runs), _let(extended(runs, w, length), lambda longer: from_length(w, longer, length + 1)))
 
-    # Bound to a lambda, so that a text is cut into words once and not once for each length of run.
-    return F.transform(F.array(found), lambda w: F.concat(*[runs(w, length) for length in range(1, LONGEST + 1)]))[0]
+    return _let(found, lambda w: from_length(w, w, 1))
 
 
 def bucketed(docs: DataFrame, *, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """``docs`` without its text, with ``n_words`` and the array ``buckets``."""
-    both = F.transform(F.array(words(F.col(text_col))), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), feature_buckets(w, buckets).alias("buckets")))[0]
+    both = _let(words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), feature_buckets(w, buckets).alias("buckets")))
     kept = [c for c in docs.columns if c.lower() not in (text_col.lower(), "n_words", "buckets")]
     made = fresh_name(docs, "made")
     return docs.select(*kept, both.alias(made)).select(*kept, f"{made}.n_words", f"{made}.buckets")
