@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, mixing, neighbours, pii, resampling, simhash, suffixes, tokens, toxicity, warc
+from . import decontaminate, html_text, languages, mixing, neighbours, pii, resampling, simhash, suffixes, tokens, toxicity, tries, warc
 from .storage import scratch
 
 #: Key of the surrogates that the registered query draws; a real run keeps its own secret.
@@ -13,6 +13,7 @@ PII_KEY = b"example key of the registered query"
 ORACLE_SQL: dict[str, str] = {
     "op6_size_partitioned_minhash": decontaminate.ORACLE_SQL,
     "op9_pfair_mixing": mixing.ORACLE_SQL,
+    "op11_conversation_trie": tries.ORACLE_SQL,
     "op13_importance_resampling": resampling.ORACLE_SQL,
 }
 
@@ -88,6 +89,16 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all ``conversations``, rebuilt to share their groups' openings."""
+    return tries.prefix_trie(*tries.rebuilt(tries.ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
+def op12_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all ``documents``, learned from those that are not held out, with spans of each language."""
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of all ``documents`` towards ``benchmark`` and the draw of five of a hundred."""
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -104,5 +115,7 @@ QUERIES = {
     "op8_collision_counting": op8_collision_counting,
     "op9_pfair_mixing": op9_pfair_mixing,
     "op10_wrapper_induction": op10_wrapper_induction,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_language_spans": op12_language_spans,
     "op13_importance_resampling": op13_importance_resampling,
 }
