@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def utf8_text(data: Column) -> Column:
+    """Bytes as text, null where they are not UTF-8."""
+    text = data.cast("string")
+    return F.when(F.is_valid_utf8(text), text)
+
+
 def int64(text: Column) -> Column:
     """Value of a canonical decimal string, else null: one spelling each, no sign but a minus, in range."""
     return F.when(text.rlike(r"\A(?:0|-?[1-9][0-9]*)\z"), text.try_cast("bigint"))
