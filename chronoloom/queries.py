@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import canonical, scalars
 from .operators import catalog, chains, checks, folds, profile, verdict
 from .plans.verify import Fleet
-from .sources import synthetic
+from .sources import logs, recordings, synthetic
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -508,9 +508,14 @@ def canonical_records(events):
     return rows.withColumn("record_sha256", F.sha2(F.col("canonical").cast("binary"), 256))
 
 
-@query()
+@query("""
+WITH poly AS MATERIALIZED (SELECT list(r ORDER BY b) AS t FROM (
+  SELECT b, list_reduce([b::UINTEGER] || [x::UINTEGER FOR x IN range(8)], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 2197175160::UINTEGER) ELSE a >> 1 END) AS r FROM range(256) v(b))),
+e AS (SELECT event_id, props, [('0x' || h)::UINTEGER FOR h IN regexp_extract_all(hex(encode(props)), '..')] AS bytes FROM events)
+SELECT event_id, event_id AS packet_seq, props AS payload, xor(list_reduce([4294967295::UINTEGER] || bytes, lambda a, v: xor(a >> 8, poly.t[(xor(a, v) & 255) + 1])), 4294967295::UINTEGER)::BIGINT AS crc32c, NULL::VARCHAR AS error FROM e, poly
+""")
 def payload_frames(events):
-    """SCA-07, SCA-08, SRC-07, SNK-02: frames of payload bytes, cut again; CRC-32C is not in SQL."""
+    """SCA-07, SCA-08, SRC-07, SNK-02: frames of payload bytes with their CRC-32C, cut again."""
     framed = events.select("event_id", canonical.frame(F.col("event_id"), F.col("props").cast("binary")).alias("data"))
     return framed.select("event_id", F.explode(canonical.parse_frames(F.col("data"))).alias("f")).select("event_id", "f.packet_seq", F.col("f.payload").cast("string").alias("payload"), "f.crc32c", "f.error")
 
@@ -524,6 +529,29 @@ def _fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"chronoloom-{name}-")
 
 
+def log_line_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-09 to SRC-16, SCA-03, SCA-09, SCA-10: a log for each user with planted bad lines, read by ranges of bytes, and what is wrong with each line."""
+    out = _fresh_folder(spark, "logs")
+    tails = F.create_map(*[x for i, t in enumerate(["}", "}", " }", "", "]", "}}"]) for x in (F.lit(i), F.lit(t).cast("binary"))])
+    kind = (F.col("event_id") % 6).cast("int")
+    start = F.when(kind == 1, F.lit(b"\xff\xfe")).otherwise(F.lit(b""))
+    line = F.concat(start, F.concat(F.lit('{"event":"'), F.col("event_id").cast("string"), F.lit('","name":"'), F.col("event_type"), F.lit('"')).cast("binary"), tails[kind]).cast("string")
+    lines = table(spark, sf_dir, "events").select("user_id", "event_id", line.alias("value"))
+    lines.repartition("user_id").sortWithinPartitions("user_id", "event_id").select("user_id", "value").write.partitionBy("user_id").text(out)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(out).select(F.col("user_id").cast("bigint").alias("user_id"), F.col("path").alias("uri"), F.col("length").alias("size"))
+    read = logs.log_lines(files, ["user_id"], range_bytes=4096)
+    return read.select("user_id", "line_no", "offset", F.octet_length("line").cast("bigint").alias("n_bytes"), "torn", canonical.record_error(F.col("line")).alias("error"))
+
+
+QUERIES["log_line_errors"] = log_line_errors
+ORACLE_SQL["log_line_errors"] = """
+WITH e AS (SELECT user_id, event_id, event_id % 6 AS kind, strlen('{"event":"' || event_id || '","name":"' || event_type || '"') + list_value(1, 3, 2, 0, 1, 2)[1 + event_id % 6] AS n_bytes FROM events)
+SELECT user_id, row_number() OVER w - 1 AS line_no, cast(sum(n_bytes + 1) OVER w - n_bytes - 1 AS BIGINT) AS "offset", n_bytes, false AS torn,
+  list_value(NULL, 'not_utf8', 'not_canonical', 'not_parseable', 'not_parseable', 'not_parseable')[1 + kind] AS error
+FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
+"""
+
+
 def streamed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-01 to STR-08, WIN-08: the events taken in as a stream, chunked with state, written once and read back."""
     schema = table(spark, sf_dir, "events").schema
@@ -538,43 +566,57 @@ QUERIES["streamed_chunks"] = streamed_chunks
 ORACLE_SQL["streamed_chunks"] = ORACLE_SQL["chunking_by_rows"]
 
 
+def _event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as packets: a session for each user, the event's number, time, value and properties."""
+    arrival = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("utc_ns")
+    kinds = F.element_at(F.array(*map(F.lit, synthetic.DAMAGE)), (F.col("user_id") % len(synthetic.DAMAGE) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("user_id", F.format_string("user_%d", "user_id").alias("session_id"), F.lit("events").alias("stream_id"), F.col("event_id").alias("packet_seq"), (F.col("event_id") * 1000).alias("monotonic_ns"), arrival, "value", F.col("props").cast("binary").alias("payload"), kinds.alias("damage"))
+    return rows.withColumns({"outcome": F.lit("COMPLETED"), "close_status": F.lit("CLEAN")})
+
+
 def verified_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC, SNK, FLT, JOIN and VER on packages: a synthetic fleet, one session for each region, written, read and judged."""
-    root = _fresh_folder(spark, "fleet").removeprefix("file://")
-    names = table(spark, sf_dir, "region").select(F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))).alias("session_id"))
-    synthetic.write_fleet(names, root, synthetic.Spec(streams=("eeg", "ecg"))).count()
+    """SRC, SNK, FLT, JOIN and VER on packages: the events of each user recorded as a session, written, read and judged."""
+    root = _fresh_folder(spark, "fleet")
+    recordings.write_packages(_event_packets(spark, sf_dir), root, chunk_packets=4096)
     return Fleet(spark, root).verdicts()
 
 
 QUERIES["verified_fleet"] = verified_fleet
-ORACLE_SQL["verified_fleet"] = "SELECT lower(replace(r_name, ' ', '_')) AS session_id, cast(8 AS BIGINT) AS n_conditions, cast(0 AS BIGINT) AS n_failed, true AS is_completed FROM region"
+ORACLE_SQL["verified_fleet"] = "SELECT DISTINCT 'user_' || user_id AS session_id, cast(8 AS BIGINT) AS n_conditions, cast(0 AS BIGINT) AS n_failed, true AS is_completed FROM events"
 
 
 def damaged_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VER-1 to VER-8, FLT, JOIN: a session for each nation, damaged as its key says, and which conditions then fail."""
-    root = _fresh_folder(spark, "damaged").removeprefix("file://")
-    kinds = F.element_at(F.array(*map(F.lit, synthetic.DAMAGE)), (F.col("n_nationkey") % len(synthetic.DAMAGE) + 1).cast("int"))
-    names = table(spark, sf_dir, "nation").select(F.format_string("nation_%d", "n_nationkey").alias("session_id"), kinds.alias("damage"))
-    synthetic.write_fleet(names, root, synthetic.Spec(streams=("eeg", "ecg"))).count()
+    """VER-1 to VER-8, FLT, JOIN: a session for each user, damaged as the user's number says, and which conditions then fail."""
+    root = _fresh_folder(spark, "damaged")
+    rows = _event_packets(spark, sf_dir).withColumns({"outcome": F.expr("if(damage = 'aborted', 'ABORTED', 'COMPLETED')"), "close_status": F.expr("if(damage = 'unclean', 'FAILED', 'CLEAN')")})
+    recordings.write_packages(rows, root, chunk_packets=4096).count()
+    synthetic.damage_fleet(rows.select("session_id", "stream_id", "damage").distinct(), root).count()
     return Fleet(spark, root).conditions().select("session_id", F.col("condition").cast("int").alias("condition"), "ok")
 
 
 QUERIES["damaged_fleet"] = damaged_fleet
-ORACLE_SQL["damaged_fleet"] = """
-WITH broken(kind, condition) AS (VALUES (1, 1), (2, 2), (3, 6), (3, 7), (4, 4), (4, 8), (5, 8), (6, 8), (7, 7)),
-s AS (SELECT 'nation_' || n_nationkey AS session_id, n_nationkey % 8 AS kind FROM nation)
+ORACLE_SQL["damaged_fleet"] = f"""
+WITH broken(kind, condition) AS (VALUES {", ".join(f"({i}, {c})" for i, kind in enumerate(synthetic.DAMAGE) for c in synthetic.DAMAGE[kind])}),
+s AS (SELECT DISTINCT 'user_' || user_id AS session_id, user_id % {len(synthetic.DAMAGE)} AS kind FROM events)
 SELECT session_id, cast(c AS INTEGER) AS condition, NOT EXISTS (SELECT 1 FROM broken b WHERE b.kind = s.kind AND b.condition = c) AS ok FROM s, range(1, 9) t(c)
 """
 
 
 def recorded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-01 to SRC-06, SRT-03, SET-06: packets of a readable fleet in commit order, as they were recorded."""
-    root = _fresh_folder(spark, "replay").removeprefix("file://")
-    synthetic.write_fleet(spark.createDataFrame([("s1",), ("s2",)], "session_id string"), root, synthetic.Spec(streams=("eeg",))).count()
-    return Fleet(spark, root).packets.select("session_id", "stream_id", "chunk_id", "row_index", "packet_seq", "host_arrival_utc_ns")
+    """SRC-01 to SRC-07, SRT-03, SET-06, SNK-01 to SNK-03: what was recorded of the events, read back from artifacts of all four kinds."""
+    root = _fresh_folder(spark, "replay")
+    recordings.write_packages(_event_packets(spark, sf_dir), root, chunk_packets=4096)
+    fleet, key = Fleet(spark, root), ["session_id", "stream_id", "chunk_id", "packet_seq"]
+    samples = fleet.samples_dense.select(*key, F.col("values")[0].alias("value"))
+    counters = fleet.observations.where("value_type = 'uint64'").select(*key, F.col("value_u64").cast("bigint").alias("counter"))
+    payloads = fleet.payload_frames.select(*key, F.col("payload").cast("string").alias("payload"))
+    made = fleet.packets.select(*key, "row_index", "host_arrival_utc_ns").join(samples, key).join(counters, key).join(payloads, key)
+    return made.select(*key, "row_index", "host_arrival_utc_ns", "value", "counter", "payload")
 
 
 QUERIES["recorded_values"] = recorded_values
 ORACLE_SQL["recorded_values"] = """
-SELECT s AS session_id, 'eeg' AS stream_id, i // 3 AS chunk_id, i % 3 AS row_index, i AS packet_seq, 1787923530123456789 + (i + 1) * 4000000 AS host_arrival_utc_ns FROM range(0, 6) t(i), (VALUES ('s1'), ('s2')) v(s)
+SELECT 'user_' || user_id AS session_id, 'events' AS stream_id, chunk AS chunk_id, event_id AS packet_seq, row_number() OVER (PARTITION BY user_id, chunk ORDER BY event_id) - 1 AS row_index,
+  epoch_ns(ts) AS host_arrival_utc_ns, value::FLOAT AS value, event_id AS counter, props AS payload
+FROM (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY event_id // 4096) - 1 AS chunk FROM events)
 """
