@@ -168,3 +168,26 @@ def observation_errors(df: DataFrame, domains: dict[str, Sequence[str]], value_c
     filled = sum((F.col(c).isNotNull().cast("int") for c in value_columns.values()), F.lit(0))
     named = reduce(lambda acc, kv: acc.when(F.col("value_type") == kv[0], F.col(kv[1]).isNotNull()), value_columns.items(), F.when(F.lit(False), False))
     return error.when((filled != 1) | ~F.coalesce(named, F.lit(False)), "value")
+
+
+def implication_errors(rules: Sequence[tuple[Column, Sequence[str]]]) -> Column:
+    """Fields that must not be null but are, as an array in the order of the rules; empty where all rules hold.
+
+    A rule is a condition and the fields it asks for, as names or paths; a condition that is null asks for nothing.
+    """
+    asked = [F.when(F.coalesce(when, F.lit(False)) & F.col(field).isNull(), F.lit(field.rpartition(".")[2])) for when, fields in rules for field in fields]
+    return F.array_compact(F.array(*asked))
+
+
+def linked_pairs(files: DataFrame, keys: Sequence[str], *, path: str = "path", suffix: str = ".tmp") -> DataFrame:
+    """(keys, path, published): regular files with a marker suffix that are the same file as the one without it.
+
+    :param files: (keys, ``path``, ``kind``, ``device``, ``inode``).
+
+    Both names of a link have one device and inode, so pairs meet in a group of that key and no file is opened. A marked
+    file with contents of its own, or without a published name, is an incomplete write and not listed.
+    """
+    named = files.where("kind = 'file'").withColumn("marked", F.col(path).endswith(suffix) & (F.length(path) > len(suffix)))
+    published = named.where(~F.col("marked") | F.col(path).endswith(suffix * 2)).select(*keys, "device", "inode", F.col(path).alias("published"))
+    wanted = named.where("marked").withColumn("published", F.expr(f"substring({path}, 1, length({path}) - {len(suffix)})"))
+    return wanted.join(published, [*keys, "device", "inode", "published"]).select(*keys, path, "published")

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import canonical, scalars
-from .operators import catalog, chains, checks, folds, profile, verdict
-from .plans.verify import Fleet
+from .operators import catalog, chains, checks, folds, payloads, profile, refs, verdict
+from .plans.verify import ORIGIN_FIELDS, Fleet
 from .sources import logs, recordings, synthetic
 from .streaming import ingest
 
@@ -445,13 +445,13 @@ def condition_rollup(events):
 
 
 @query("""
-WITH o AS (SELECT o_custkey, count(*) AS submitted, cast(count(*) FILTER (o_orderstatus <> 'P') AS BIGINT) AS written, cast(count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 2 = 0) AS BIGINT) AS dropped FROM orders GROUP BY 1)
+WITH o AS (SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'P' OR o_orderkey % 2 = 0) AS submitted, count(*) FILTER (o_orderstatus <> 'P') AS written, count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 2 = 0) AS dropped, count(DISTINCT CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 4 END) AS n_chunks FROM orders GROUP BY 1)
 SELECT *, submitted = written + dropped AS accounted FROM o
 """)
 def accounting_identity(orders):
-    """AGG-11, AGG-12, STR-08: measured totals of each stream and whether they add up."""
-    made = orders.groupBy("o_custkey").agg(F.count("*").alias("submitted"), F.count_if(F.expr("o_orderstatus != 'P'")).alias("written"), F.count_if(F.expr("o_orderstatus = 'P' and o_orderkey % 2 = 0")).alias("dropped"))
-    return made.withColumn("accounted", F.expr("submitted = written + dropped"))
+    """AGG-11, AGG-12, STR-08: measured totals of each stream and whether they add up; a row that is neither written nor late ends a stream."""
+    rows = orders.select("o_custkey", F.expr("if(o_orderstatus != 'P', o_orderkey % 4, null)").alias("chunk"), F.expr("o_orderstatus = 'P' and o_orderkey % 2 = 0").alias("late"))
+    return ingest.accounting(rows, ["o_custkey"])
 
 
 @query("""
@@ -488,9 +488,81 @@ def referenced_schema_ids(events):
 
 @query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS findings, cast(count(DISTINCT event_type) AS BIGINT) AS n FROM events WHERE value > 60 GROUP BY user_id")
 def distinct_findings(events):
-    """AGG-13, AGG-18, AGG-19: the set of findings of each session, sorted."""
-    made = events.where("value > 60").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("f"))
-    return made.select("user_id", F.array_join("f", ",").alias("findings"), F.size("f").cast("bigint").alias("n"))
+    """AGG-13, AGG-18: the set of findings of each session, sorted."""
+    return verdict.finding_sets(events.where("value > 60"), "user_id", "event_type")
+
+
+@query("""
+SELECT user_id, count(*) FILTER (event_type = 'error') AS n_errors, count(*) FILTER (value > 60) AS n_high, count(*) FILTER (event_type = 'view' AND value < 5) AS n_low_views FROM events GROUP BY user_id
+""")
+def finding_tallies(events):
+    """AGG-19: how many findings of each kind a session has."""
+    return verdict.tallies(events, "user_id", {"n_errors": F.expr("event_type = 'error'"), "n_high": F.expr("value > 60"), "n_low_views": F.expr("event_type = 'view' and value < 5")})
+
+
+@query("""
+WITH f AS (SELECT user_id, cast(1 + event_id % 8 AS INTEGER) AS condition, upper(event_type) AS finding FROM events WHERE value > 60),
+k AS (SELECT user_id, condition, finding, count(*) AS n FROM f GROUP BY ALL),
+l AS (SELECT user_id, list({'condition': condition, 'finding': finding, 'n': n} ORDER BY condition, finding) AS found FROM k GROUP BY user_id),
+u AS (SELECT DISTINCT user_id FROM events)
+SELECT user_id, found IS NULL AS is_completed, '{"user_id":' || user_id || ',"completed":' || (found IS NULL)::VARCHAR || ',"failed_conditions":' || CASE WHEN found IS NULL THEN '[]' ELSE to_json(list_sort(list_distinct([x.condition FOR x IN found])))::VARCHAR END
+  || ',"findings":' || CASE WHEN found IS NULL THEN '[]' ELSE to_json(found)::VARCHAR END || '}' AS report FROM u LEFT JOIN l USING (user_id)
+""")
+def session_reports(events):
+    """SNK-24: a JSON report of the findings of each session."""
+    found = events.where("value > 60").select("user_id", (1 + F.col("event_id") % 8).cast("int").alias("condition"), F.upper("event_type").alias("finding"))
+    return verdict.reports(events, found, "user_id", range(1, 9))
+
+
+@query("""
+WITH p AS (SELECT event_id, event_type AS schema_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN replace(replace(props, ': ', ': "'), '}', '"}') WHEN 2 THEN replace(props, '}', ', "z": null}') WHEN 3 THEN '{}' WHEN 4 THEN '[1]' END AS payload FROM events),
+r(schema_id, key, type, required, closed) AS (VALUES ('click', 'k', 'integer', true, true), ('view', 'k', 'number', true, true), ('view', 'z', 'null', false, true), ('purchase', 'k', 'string', false, false), ('signup', NULL, NULL, false, true)),
+s AS (SELECT schema_id, bool_or(closed) AS closed FROM r GROUP BY schema_id),
+o AS (SELECT p.*, s.closed, json_type(payload) = 'OBJECT' AS is_object FROM p JOIN s USING (schema_id)),
+m AS (SELECT event_id, schema_id, closed, unnest(json_keys(payload)) AS key, payload FROM o WHERE is_object),
+t AS (SELECT *, CASE json_type(json_extract(payload, '$.' || key)) WHEN 'UBIGINT' THEN 'integer' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' END AS have FROM m)
+SELECT event_id, schema_id, 'unknown_schema' AS finding, NULL::VARCHAR AS key FROM p ANTI JOIN s USING (schema_id)
+UNION ALL SELECT event_id, schema_id, 'not_an_object', NULL FROM o WHERE NOT coalesce(is_object, false)
+UNION ALL SELECT event_id, o.schema_id, 'missing_key', r.key FROM o JOIN r ON r.schema_id = o.schema_id AND r.required WHERE is_object AND NOT list_contains(json_keys(payload), r.key)
+UNION ALL SELECT event_id, schema_id, 'undeclared_key', t.key FROM t ANTI JOIN r USING (schema_id, key) WHERE closed
+UNION ALL SELECT event_id, t.schema_id, 'wrong_type', t.key FROM t JOIN r USING (schema_id, key) WHERE type <> have AND NOT (type = 'number' AND have = 'integer')
+""")
+def event_payload_findings(events):
+    """FLT-14, EXT-04, SNK-11: payloads of events against a registry of schemas by event type."""
+    rules = [("click", "k", "integer", True, True), ("view", "k", "number", True, True), ("view", "z", "null", False, True), ("purchase", "k", "string", False, False), ("signup", None, None, False, True)]
+    registry = events.sparkSession.createDataFrame(rules, "schema_id string, key string, type string, required boolean, closed boolean")
+    payload = F.expr("""case event_id % 6 when 0 then props when 1 then replace(replace(props, ': ', ': "'), '}', '"}') when 2 then replace(props, '}', ', "z": null}') when 3 then '{}' when 4 then '[1]' end""")
+    rows = events.select("event_id", F.col("event_type").alias("schema_id"), payload.alias("payload"))
+    return payloads.payload_findings(rows, registry, ["schema_id"], "payload").drop("payload")
+
+
+@query("""
+WITH c AS (SELECT user_id, event_id // 512 AS chunk_id, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY ALL),
+p AS (SELECT user_id, event_id // 512 AS chunk_id, event_id AS packet_seq, row_number() OVER (PARTITION BY user_id, event_id // 512 ORDER BY event_id) - 1 AS row_index, 1 + event_id % 3 AS n FROM events),
+r AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN -1 ELSE user_id END AS user_id, event_id - CASE event_id % 3 WHEN 1 THEN 1 ELSE 0 END + CASE WHEN event_id % 41 = 0 THEN 1000000 ELSE 0 END AS packet_seq, cast(event_id % 4 AS INTEGER) AS sample FROM events),
+x AS (SELECT r.*, p.chunk_id AS at_chunk, p.row_index AS at_row, n, EXISTS (SELECT 1 FROM c WHERE c.user_id = r.user_id) AS known, EXISTS (SELECT 1 FROM c WHERE c.user_id = r.user_id AND r.packet_seq BETWEEN lo AND hi) AS inside FROM r LEFT JOIN p USING (user_id, packet_seq)),
+y AS (SELECT *, CASE WHEN NOT known THEN 'no_stream' WHEN NOT inside THEN 'no_chunk' WHEN at_chunk IS NULL THEN 'no_packet' WHEN sample < 0 OR sample >= n THEN 'no_sample' END AS problem FROM x)
+SELECT event_id, user_id, packet_seq, sample, CASE WHEN problem IS NULL THEN at_chunk END AS chunk_id, CASE WHEN problem IS NULL THEN at_row END AS row_index, problem FROM y
+""")
+def raw_references(events):
+    """JOIN-18: pointers of events to raw rows, and those that dangle."""
+    packets = events.select("user_id", F.expr("event_id div 512").alias("chunk_id"), F.col("event_id").alias("packet_seq"), (1 + F.col("event_id") % 3).alias("n_samples"))
+    packets = packets.withColumn("row_index", (F.row_number().over(Window.partitionBy("user_id", "chunk_id").orderBy("packet_seq")) - 1).cast("bigint"))
+    ranges = packets.groupBy("user_id", "chunk_id").agg(F.min("packet_seq").alias("first_seq"), F.max("packet_seq").alias("last_seq"))
+    asked = events.select("event_id", F.expr("if(event_id % 50 = 0, -1L, user_id)").alias("user_id"), F.expr("event_id - if(event_id % 3 = 1, 1, 0) + if(event_id % 41 = 0, 1000000, 0)").alias("packet_seq"), (F.col("event_id") % 4).cast("int").alias("sample"))
+    return refs.resolve(asked, ranges, packets, ["event_id"], ["user_id"], sample="sample")
+
+
+@query("""
+WITH o AS (SELECT c_custkey, list_value('recording', 'replay', 'synthetic')[1 + c_custkey % 3] AS kind, c_custkey % 5 = 0 AS no_session, c_custkey % 7 = 0 AS no_sha, c_custkey % 11 = 0 AS no_tool, c_custkey % 4 = 0 AS no_seed FROM customer),
+m AS (SELECT c_custkey, kind, concat_ws(',', CASE WHEN kind = 'replay' AND no_session THEN 'source_session_id' END, CASE WHEN kind = 'replay' AND no_sha THEN 'source_manifest_sha256' END, CASE WHEN kind = 'replay' AND no_tool THEN 'replay_tool_version' END, CASE WHEN kind = 'synthetic' AND no_seed THEN 'generator_seed' END) AS missing FROM o)
+SELECT * FROM m WHERE missing <> ''
+""")
+def origin_provenance(customer):
+    """FLT-17: origins that do not say what their kind must say."""
+    rows = customer.select("c_custkey", F.expr("element_at(array('recording', 'replay', 'synthetic'), cast(1 + c_custkey % 3 as int))").alias("kind"), F.expr("if(c_custkey % 5 = 0, null, c_name)").alias("source_session_id"), F.expr("if(c_custkey % 7 = 0, null, sha2(c_name, 256))").alias("source_manifest_sha256"), F.expr("if(c_custkey % 11 = 0, null, '1')").alias("replay_tool_version"), F.expr("if(c_custkey % 4 = 0, null, c_custkey)").alias("generator_seed"))
+    missing = checks.implication_errors([(F.col("kind") == kind, fields) for kind, fields in ORIGIN_FIELDS.items()])
+    return rows.select("c_custkey", "kind", F.array_join(missing, ",").alias("missing")).where("missing != ''")
 
 
 @query("SELECT p_partkey, format('{:06d}', p_partkey) AS chunk, 'payloads/' || format('{:06d}', p_partkey) || '.bin' AS payload_path, 'packets/' || format('{:06d}', p_partkey) || '.arrow' AS packets_path, regexp_replace(p_name, '[^a-zA-Z0-9_-]', '_', 'g') AS stem, replace(lower(p_brand), '_', '') AS label FROM part")
@@ -620,3 +692,29 @@ SELECT 'user_' || user_id AS session_id, 'events' AS stream_id, chunk AS chunk_i
   epoch_ns(ts) AS host_arrival_utc_ns, value::FLOAT AS value, event_id AS counter, props AS payload
 FROM (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY event_id // 4096) - 1 AS chunk FROM events)
 """
+
+
+def publish_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-26, JOIN-19: a file for each part, some with a link or a copy under a marked name beside it, and the links that are residue."""
+    root = _fresh_folder(spark, "residue").removeprefix("file://")
+
+    def place(batches):
+        import os
+
+        for batch in batches:
+            for key in batch["p_partkey"].tolist():
+                path = f"{root}/sessions/s{key % 10}/raw/{key}.json"
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                for name in {0: [path], 1: [path, f"{path}.tmp"], 2: [f"{path}.tmp"]}.get(key % 4, [path]):
+                    with open(name, "w") as out:
+                        out.write("{}")
+                if key % 4 == 3 and not os.path.exists(f"{path}.tmp"):
+                    os.link(path, f"{path}.tmp")
+            yield batch
+
+    table(spark, sf_dir, "part").select("p_partkey").mapInPandas(place, "p_partkey bigint").count()
+    return Fleet(spark, root).residue()
+
+
+QUERIES["publish_residue"] = publish_residue
+ORACLE_SQL["publish_residue"] = "SELECT 's' || p_partkey % 10 AS session_id, 'raw/' || p_partkey || '.json.tmp' AS path, 'raw/' || p_partkey || '.json' AS published FROM part WHERE p_partkey % 4 = 3"
