@@ -11,15 +11,15 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import chunk_step
 
 
-
 def fan_in(sources: dict[str, DataFrame]) -> DataFrame:
     """One stream of all sources, with ``stream_id``. Names are unique by construction; columns missing in one are null."""
     named = [df.withColumn("stream_id", F.lit(name)) for name, df in sorted(sources.items())]
@@ -77,6 +77,59 @@ def chunked(packets: DataFrame, keys: Sequence[str], order: str, weights: Sequen
     return made.withColumns({c: F.col(c).cast("bigint") for c in longs})
 
 
+class _IdleChunks(StatefulProcessor):
+    """Chunks of one stream: the open chunk's sums as typed state, and a timer that cuts it when the stream is silent."""
+
+    def __init__(self, step: Callable, keys: Sequence[str], order: str, needs: Sequence[str], control: str | None, idle_ms: int, names: Sequence[str]):
+        self.step, self.keys, self.order, self.needs, self.control, self.idle_ms, self.names = step, keys, order, needs, control, idle_ms, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "chunk long, sums array<long>, since double, full boolean, closed boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        state, closed = None, False
+        if self.open.exists():
+            chunk, sums, since, full, closed = self.open.get()
+            state = (chunk, list(sums), since, full) if sums is not None else None if chunk == 0 and not full else (chunk, None, None, full)
+        for row in sorted(rows, key=lambda r: (r[self.order] is not None, r[self.order] or 0)):
+            late, chunk = closed, None
+            if closed or self.control and row[self.control] is not None:
+                closed = True
+            else:
+                state, chunk = self.step(state, [row[n] for n in self.needs])
+            yield Row(**(row.asDict() | {"chunk": chunk, "late": late, "idle_cut": False}))
+        chunk, sums, since, full = state or (0, None, None, False)
+        self.open.update((chunk, sums, None if since is None else float(since), full, closed))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not closed and sums is not None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
+        chunk, sums, since, full, closed = self.open.get()
+        if sums is not None and not full and not closed:
+            self.open.update((chunk, list(sums), since, True, closed))
+            yield Row(**(dict.fromkeys(self.names) | dict(zip(self.keys, key, strict=True)) | {"chunk": chunk, "late": False, "idle_cut": True}))
+
+    def close(self) -> None:
+        pass
+
+
+def idle_chunked(packets: DataFrame, keys: Sequence[str], order: str, weights: Sequence[str], *, max_rows: int, idle_ms: int, max_age: float | None = None, time: str | None = None, control: str | None = None) -> DataFrame:
+    """:func:`chunked` for a query that runs on, with typed state and a timer for each stream, and ``idle_cut``.
+
+    A chunk that is open when its stream has been silent for ``idle_ms`` is cut at that time: one row with the stream's keys, the
+    number of the chunk and ``idle_cut`` tells it at once, and the stream's next row begins a new chunk. Other columns of that row
+    are null; it is no packet. A full chunk, and one of a stream that has ended, is not cut again. Integers cross as integers.
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    schema = T.StructType([*packets.schema.fields, T.StructField("chunk", T.LongType()), T.StructField("late", T.BooleanType()), T.StructField("idle_cut", T.BooleanType())])
+    needs = [*weights, *([time] if time else [])]
+    processor = _IdleChunks(chunk_step(max_rows, max_age, len(weights)), list(keys), order, needs, control, idle_ms, packets.columns)
+    return packets.groupBy(*keys).transformWithState(processor, schema, "append", "ProcessingTime")
+
+
 def write_once(path: str, check: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` sink: each micro-batch is a partition of its number, so a batch that runs again replaces itself.
 
