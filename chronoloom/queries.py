@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import canonical, scalars
 from .operators import catalog, chains, checks, folds, payloads, profile, refs, verdict
 from .plans.verify import ORIGIN_FIELDS, Fleet
-from .sources import logs, recordings, synthetic
+from .sources import frames, logs, push, recordings, synthetic
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -646,6 +646,67 @@ def _event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"outcome": F.lit("COMPLETED"), "close_status": F.lit("CLEAN")})
 
 
+def frame_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-08: a payload log for each user in which some numbers are framed twice, its index, and every number looked up in it."""
+    out = _fresh_folder(spark, "frames").removeprefix("file://")
+
+    def write_log(table):
+        import pyarrow as pa
+
+        table = table.sort_by("event_id")
+        user, pairs = table["user_id"][0].as_py(), []
+        for number, text in zip(table["event_id"].to_pylist(), table["props"].to_pylist(), strict=True):
+            pairs += [(number, text.encode()), (number, b"again")] if number % 10 == 0 else [(number, text.encode())]
+        recordings.put(out, f"{user}.bin", recordings.frame_log([n for n, _ in pairs], [p for _, p in pairs]))
+        return pa.table({"user_id": [user], "uri": [f"file://{out}/{user}.bin"]})
+
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "props")
+    events.groupBy("user_id").applyInArrow(write_log, "user_id bigint, uri string").write.parquet(f"file://{out}/.files")
+    frames.write_frame_index(spark.read.parquet(f"file://{out}/.files"), ["user_id"], f"file://{out}/.index")
+    wanted = events.select("user_id", F.explode(F.array(F.col("event_id"), F.col("event_id") + 10_000_000)).alias("packet_seq"))
+    made = frames.lookup_frames(spark, f"file://{out}/.index", wanted, ["user_id"])
+    return made.select("user_id", "packet_seq", "at", "n_bytes", "n_frames", F.col("payload").cast("string").alias("payload"))
+
+
+QUERIES["frame_lookup"] = frame_lookup
+ORACLE_SQL["frame_lookup"] = """
+WITH e AS (SELECT user_id, event_id, props, strlen(props) AS n, CASE WHEN event_id % 10 = 0 THEN 25 ELSE 0 END AS more FROM events)
+SELECT user_id, event_id AS packet_seq, cast(sum(n + 20 + more) OVER (PARTITION BY user_id ORDER BY event_id) - n - 20 - more AS BIGINT) AS at, n AS n_bytes, CASE WHEN more > 0 THEN 2 ELSE 1 END::BIGINT AS n_frames, props AS payload FROM e
+UNION ALL SELECT user_id, event_id + 10000000, NULL, NULL, NULL, NULL FROM e
+"""
+
+
+def pushed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-31, STR-01 to STR-05: a producer for each type of event pushes files, and one query takes them in several batches, in chunks of 100."""
+    out = _fresh_folder(spark, "pushed")
+    spool = f"{out}/spool".removeprefix("file://")
+
+    def push_file(key, table):
+        import pyarrow as pa
+
+        producer = push.Producer(spool, key[0].as_py())
+        producer.next = key[1].as_py()
+        producer.push(table.sort_by("event_id").select(["event_id"]))
+        return pa.table({"n": [table.num_rows]})
+
+    events = table(spark, sf_dir, "events").select("event_type", F.expr("event_id div 2048").alias("file"), "event_id")
+    # Numbers of files follow each other, whatever the numbers of events.
+    events = events.withColumn("file", F.dense_rank().over(Window.partitionBy("event_type").orderBy("file")) - 1)
+    events.groupBy("event_type", "file").applyInArrow(push_file, "n bigint").agg(F.sum("n")).collect()
+    stream = push.pushed_stream(spark, spool, "producer string, event_id bigint", progress=f"{out}/progress").withColumn("one", F.lit(1).cast("bigint"))
+    made = ingest.chunked(stream, ["producer"], "event_id", ["one"], max_rows=100)
+    query = made.writeStream.foreachBatch(ingest.write_once(f"{out}/rows")).option("checkpointLocation", f"{out}/offsets").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(f"{out}/rows").select("producer", "event_id", "chunk", "late")
+
+
+QUERIES["pushed_chunks"] = pushed_chunks
+ORACLE_SQL["pushed_chunks"] = "SELECT event_type AS producer, event_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 100 AS chunk, false AS late FROM events"
+
+
 def verified_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC, SNK, FLT, JOIN and VER on packages: the events of each user recorded as a session, written, read and judged."""
     root = _fresh_folder(spark, "fleet")
