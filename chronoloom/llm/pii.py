@@ -60,8 +60,9 @@ _CUE = "|".join(sorted(map(re.escape, CUES), key=len, reverse=True))
 _TRIGGERS = [f"{w}{after}" for w in (*TITLES, *_GIVEN_OF) for after in ((" ", ". ") if w in TITLES else (" ",))]
 _DIGIT = re.compile(r"\d")
 _EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
-#: A stretch of a text that may hold numbers; the patterns of numbers are tried only there.
-_NUMERIC = re.compile(r"[\d+(][\d().+ -]{5,}\d")
+#: Stretches of a text that may hold numbers, or an address of colons; trimmed and judged by :func:`_stretches`, as a pattern that
+#: asks for a last digit would go through a long stretch again from each of its characters.
+_NUMERIC = re.compile(r"[\d().+ -]{7,}")
 _NUMBERS = re.compile(
     r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]))"
@@ -70,7 +71,7 @@ _NUMBERS = re.compile(
 )
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
 _HEX = re.compile(r"[0-9a-fA-F]{32,}")
-_IPV6 = re.compile(r"[0-9a-fA-F:][0-9a-fA-F:.]*:[0-9a-fA-F:.]*[0-9a-fA-F:]")
+_COLONS = re.compile(r"[0-9a-fA-F:.]{3,}")
 #: Forms of issued keys: what stands in front is kept.
 _KEYS = re.compile(r"(?P<kept>AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza)[0-9A-Za-z_-]{16,}")
 _VALUE = re.compile(r"[:=][ \t]*[\"']?(?P<value>[^\s\"',;]{6,})")
@@ -82,9 +83,13 @@ _NAMES = re.compile(
 )
 
 
+#: Symbols permuted together: half of them stay well below the 512 bits of a round, whatever their alphabet.
+BLOCK_SYMBOLS = 32
+
+
 def _round(key: bytes, tweak: str, number: int, value: int) -> int:
-    data = f"{tweak}\0{number}\0{value}".encode()
-    return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=32).digest(), "big")
+    data = f"{tweak}\0{number}\0".encode() + value.to_bytes(value.bit_length() // 8 + 1, "big")
+    return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=64).digest(), "big")
 
 
 def permute(value: int, left: int, right: int, key: bytes, tweak: str) -> int:
@@ -108,7 +113,20 @@ def permute(value: int, left: int, right: int, key: bytes, tweak: str) -> int:
 
 
 def permute_symbols(symbols: list[int], radices: list[int], key: bytes, tweak: str) -> list[int]:
-    """Image of a mixed-radix number under :func:`permute`."""
+    """Image of a mixed-radix number under :func:`permute`, block by block.
+
+    A block of ``BLOCK_SYMBOLS`` has a permutation of its own, picked by the symbols before it: of two numbers the first block in which
+    they differ is mapped differently, so they cannot meet, and the work grows with the length.
+    """
+    short, before, out = hashlib.blake2b(tweak.encode("utf-8", "surrogatepass"), key=key, digest_size=16).hexdigest(), hashlib.blake2b(key=key), []
+    for at in range(0, len(symbols), BLOCK_SYMBOLS):
+        block = symbols[at : at + BLOCK_SYMBOLS]
+        out += _permute_block(block, radices[at : at + BLOCK_SYMBOLS], key, f"{short}/{at}/{before.hexdigest() if at else ''}")
+        before.update(",".join(map(str, [*block, ""])).encode())
+    return out
+
+
+def _permute_block(symbols: list[int], radices: list[int], key: bytes, tweak: str) -> list[int]:
     half, value, left, right = len(radices) // 2, 0, 1, 1
     for place, (symbol, radix) in enumerate(zip(symbols, radices, strict=True)):
         value = value * radix + symbol
@@ -326,11 +344,24 @@ def _is_ipv6(text: str) -> bool:
         return False
 
 
+def _stretches(pattern: re.Pattern, text: str, first: Callable[[str], bool], last: Callable[[str], bool]) -> Iterator[tuple[int, int]]:
+    """Places of the runs that ``pattern`` matches, from the first character that may begin one to the last that may end one; one pass over the text."""
+    for m in pattern.finditer(text):
+        start, end = m.span()
+        while start < end and not first(text[start]):
+            start += 1
+        while end > start and not last(text[end - 1]):
+            end -= 1
+        if start < end:
+            yield start, end
+
+
 def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
     word = lambda at: 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_")
-    for part in _NUMERIC.finditer(text):
-        for m in _NUMBERS.finditer(text, part.start(), min(len(text), part.end() + 3)):
-            yield m.start(), m.end(), m.lastgroup
+    for start, end in _stretches(_NUMERIC, text, lambda ch: ch.isdecimal() or ch in "+(", str.isdecimal):
+        if end - start >= 7:
+            for m in _NUMBERS.finditer(text, start, min(len(text), end + 3)):
+                yield m.start(), m.end(), m.lastgroup
     for m in _IBAN.finditer(text):
         if not word(m.start() - 1):
             yield m.start(), m.end(), "iban"
@@ -339,9 +370,10 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
         if 0 < letters < len(m.group()) and not word(m.start() - 1) and not word(m.end()):
             yield m.start(), m.end(), "secret"
     if "::" in text or text.count(":") >= 7:
-        for m in _IPV6.finditer(text):
-            if not word(m.start() - 1) and not word(m.end()) and _is_ipv6(m.group()):
-                yield m.start(), m.end(), "ipv6"
+        for start, end in _stretches(_COLONS, text, lambda ch: ch != ".", lambda ch: ch != "."):
+            # The longest address has 45 characters.
+            if end - start <= 45 and not word(start - 1) and not word(end) and _is_ipv6(text[start:end]):
+                yield start, end, "ipv6"
 
 
 def _secrets(text: str) -> Iterator[tuple[int, int, str]]:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -17,6 +18,34 @@ from chronoloom.llm import html_text, pii, queries, suffixes, tokens, toxicity,
 KEY = b"test key"
 
 
+@pytest.mark.parametrize("text, found", [
+    ("token=" + "A1b2C3d4" * 12_500, 1), ("data:image/png;base64,token = " + "aGVsbG8x" * 12_500, 1), ("dump " + "0a1f" * 25_000, 1), ("1" + "(" * 200_000, 0), ("1 " + "+" * 200_000 + " 555-0953", 0),
+    ("::" + "ab12" * 50_000, 1), (":" * 200_000, 0), ("Mrs Anna " + "Ab-" * 30_000 + "Cd", 1), ("x" * 50_000 + "@" + "y." * 50_000 + "org", 1), ("4111 " * 40_000, None),
+])
+def test_long_tokens_take_time_in_proportion(text, found):
+    began = time.perf_counter()
+    made = pii.replace(text, KEY)
+    assert time.perf_counter() - began < 5 and abs(len(made[0]) - len(text)) < 10
+    if found is not None:
+        assert (made[0] != text) == bool(found)
+
+
+def test_long_symbols_are_a_permutation_block_by_block():
+    size = 3 * pii.BLOCK_SYMBOLS + 1
+    base = [i % 10 for i in range(size)]
+    images = set()
+    for place in range(size):
+        for d in range(10):
+            symbols = [*base[:place], d, *base[place + 1 :]]
+            image = pii.permute_symbols(symbols, [10] * size, KEY, "t")
+            images.add(tuple(image))
+            assert image != symbols and all(0 <= x < 10 for x in image)
+    assert len(images) == 9 * size + 1
+    one, other = (pii.permute_symbols([d, *base[1:]], [10] * size, KEY, "t") for d in (3, 4))
+    blocks = [slice(i, i + pii.BLOCK_SYMBOLS) for i in range(0, size - 1, pii.BLOCK_SYMBOLS)]
+    assert all(one[b] != other[b] != base[b] for b in blocks)
+
+
 def test_surrogates_keep_form_and_identity(spark):
     text = "Mail Anna.B-7@mail3.example.com, ANNA.B-7@MAIL3.EXAMPLE.COM or +1 (640) 555-0953 and 640-555-0953; card 4111 1111 1111 1111, ip 9.122.68.47, token = \"f6f4b6c25fd9db1a3d0f51bedd389b0833f73c65\". Mrs Anna Schmidt, Frau Schmidt, Иван Петров."
     rows = [(1, text, 9), (2, "Nothing here but 12 words.", 9), (3, None, 9), (4, "", 9), (5, "again Anna.B-7@mail3.example.com", 9), (1, text, 9)]
