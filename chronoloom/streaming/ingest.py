@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.checks import observation_errors
 from ..operators.folds import chunk_step
+from ..operators.payloads import payload_findings
 
 
 def fan_in(sources: dict[str, DataFrame]) -> DataFrame:
@@ -148,6 +150,21 @@ def write_once(path: str, check: Callable[[DataFrame], DataFrame] | None = None)
     return write
 
 
+def row_gate(*checks: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """One check for :func:`write_once` from several, each a function from rows to those that break it; any broken rule stops the batch."""
+    return lambda batch: reduce(DataFrame.unionByName, [check(batch).select(F.lit(i).alias("check")) for i, check in enumerate(checks)])
+
+
+def payload_gate(registry: DataFrame, keys: Sequence[str], payload: str) -> Callable[[DataFrame], DataFrame]:
+    """Rows whose payload breaks its schema: what is not declared is not written (see :func:`.payloads.payload_findings`)."""
+    return lambda batch: payload_findings(batch, registry, keys, payload)
+
+
+def observation_gate(domains: dict[str, Sequence[str]], value_columns: dict[str, str]) -> Callable[[DataFrame], DataFrame]:
+    """Observation rows that verification would find: the same rule at the time of writing."""
+    return lambda batch: batch.withColumn("error", observation_errors(batch, domains, value_columns)).where("error is not null")
+
+
 def ingest(stream: DataFrame, path: str, checkpoint: str, check: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Take all that is there now, write it and stop; the next call goes on from the checkpoint."""
     query = stream.writeStream.foreachBatch(write_once(path, check)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -96,3 +96,18 @@ def test_a_silent_streams_chunk_is_cut(spark, tmp_path, typed):
     got = read().where("packet_seq is not null")
     assert [(r.packet_seq, r.chunk) for r in got.where("producer = 'quiet'").orderBy("packet_seq").collect()] == [(0, 0), (1, 0), (2, 1), (3, 1)]
     assert [(r.packet_seq, r.chunk, r.late) for r in got.where("producer = 'ended'").orderBy("packet_seq").collect()] == [(0, 0, False), (1, None, False), (2, None, True)]
+
+
+def test_gates_of_payloads_and_observations(spark, tmp_path):
+    from chronoloom.plans.verify import OBSERVATION_DOMAINS, VALUE_COLUMNS
+
+    registry = spark.createDataFrame([("e", "k", "integer", True, True)], "schema_id string, key string, type string, required boolean, closed boolean")
+    columns = "schema_id string, payload string, kind string, name string, value_type string, applies_to string, provenance string, status string, value_i64 bigint, value_u64 bigint, value_f64 double, value_str string"
+    good = ("e", '{"k":1}', "time", "t", "int64", "unknown", "device_provided", "assumed", 5, None, None, None)
+    gate = ingest.row_gate(ingest.payload_gate(registry, ["schema_id"], "payload"), ingest.observation_gate(OBSERVATION_DOMAINS, VALUE_COLUMNS))
+    write = ingest.write_once(str(tmp_path / "rows"), gate)
+    write(spark.createDataFrame([good], columns), 0)
+    for bad in [(*good[:1], '{"j":1}', *good[2:]), (*good[:2], "place", *good[3:]), (*good[:8], None, *good[9:])]:
+        with pytest.raises(ValueError, match="contract"):
+            write(spark.createDataFrame([good, bad], columns), 1)
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 1
