@@ -1,14 +1,17 @@
 """Ordered folds: state machines over the records of a session or stream.
 
 Short logs (annotations, lifecycle records of a session) fold in an array expression. Series without a bound are sorted
-inside their partition and folded row by row with one state a key in memory, whatever the length of a series.
+inside their partition and folded with one state a key in memory, whatever the length of a series: chunks a chunk at a
+time, other states row by row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,9 +105,92 @@ def chunk_step(max_rows: int, max_age: float | None, n_weights: int) -> Callable
     return step
 
 
+def _runs(batch: pa.RecordBatch, keys: Sequence[int]) -> np.ndarray:
+    """Places where a run of rows with equal keys begins, nulls being equal, and the number of rows at the end."""
+    edge = np.zeros(batch.num_rows + 1, bool)
+    edge[[0, -1]] = True
+    for k in keys:
+        column = batch.column(k)
+        here, before = column.slice(1), column.slice(0, batch.num_rows - 1)
+        differ = pc.fill_null(pc.not_equal(here, before), False).to_numpy(zero_copy_only=False)
+        edge[1:-1] |= differ | (pc.is_null(here).to_numpy(zero_copy_only=False) != pc.is_null(before).to_numpy(zero_copy_only=False))
+    return np.flatnonzero(edge)
+
+
+class _Chunker:
+    """Greedy chunking of one key's rows in runs: a step finds the end of a chunk in sums over the run, so steps are as many as chunks.
+
+    Agrees with :func:`chunk_step` for weights that are not negative.
+    """
+
+    def __init__(self, max_rows: int, max_age: float | None, n_weights: int):
+        self.max_rows, self.max_age = max_rows, max_age
+        self.chunk, self.sums, self.since, self.full = -1, np.zeros(n_weights, np.int64), None, True
+
+    def take(self, sums: np.ndarray, times: np.ndarray | None, timed: np.ndarray | None) -> np.ndarray:
+        """Chunks of the next rows; ``sums`` are running sums of their weights, one row more than there are rows."""
+        n = sums.shape[1] - 1
+        out, at = np.empty(n, np.int64), 0
+        while at < n:
+            fresh = self.full
+            if fresh:
+                self.chunk, self.since, self.full = self.chunk + 1, None, False
+                self.sums[:] = 0
+            end = n
+            if self.max_rows > 0:
+                # The first row of a chunk is in it, however heavy.
+                ends = [int(np.searchsorted(p[1:], self.max_rows - s + p[at], "right")) for p, s in zip(sums, self.sums.tolist(), strict=True)]
+                end = min([n, *(max(e, at + fresh) for e in ends)])
+            cut = end < n
+            if times is not None and end > at:
+                here, known = times[at:end], timed[at:end]
+                if self.since is None and known.any():
+                    self.since = here[known.argmax()]
+                if self.since is not None:
+                    old = known & (here - self.since >= self.max_age)
+                    if old.any():
+                        end, cut = at + int(old.argmax()) + 1, True
+            out[at:end] = self.chunk
+            self.sums += sums[:, end] - sums[:, at]
+            self.full, at = cut, end
+        return out
+
+
 def chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], weights: Sequence[str], *, max_rows: int, max_age: float | None = None, time: str | None = None) -> DataFrame:
-    """Rows with ``chunk``, from 0 in each key, by greedy chunking at row boundaries (see :func:`chunk_step`)."""
-    return fold_rows(df, keys, order, [*weights, *([time] if time else [])], lambda: None, chunk_step(max_rows, max_age, len(weights)), "chunk long")
+    """Rows with ``chunk``, from 0 in each key, by greedy chunking at row boundaries (see :func:`chunk_step`).
+
+    Weights are not negative; ``time`` is a number. Rows stay in Arrow batches; Python takes a step for each chunk.
+    """
+    df = df.drop("chunk")
+    schema, at = T.StructType([*df.schema.fields, T.StructField("chunk", T.LongType())]), df.columns.index
+    key_at, weight_at, time_at = [at(k) for k in keys], [at(w) for w in weights], at(time) if time and max_age is not None else None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sums = np.zeros((len(weight_at), batch.num_rows + 1), np.int64)
+            for row, w in zip(sums, weight_at, strict=True):
+                # A weight above the bound fills a chunk, whatever it is: cut down, sums stay in 64 bits.
+                whole = pc.fill_null(batch.column(w).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+                if (whole < 0).any():
+                    raise ValueError("a weight of a chunk is negative")
+                np.cumsum(np.minimum(whole, max(max_rows, 0) + 1), out=row[1:])
+            times = timed = None
+            if time_at is not None:
+                column = batch.column(time_at)
+                timed = column.is_valid().to_numpy(zero_copy_only=False)
+                times = pc.fill_null(column, pa.scalar(0, column.type)).to_numpy(zero_copy_only=False)
+            made, edges = np.empty(batch.num_rows, np.int64), _runs(batch, key_at)
+            for first, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                key = tuple(batch.column(k)[first].as_py() for k in key_at)
+                if held is None or key != last:
+                    last, held = key, _Chunker(max_rows, max_age, len(weight_at))
+                made[first:end] = held.take(sums[:, first : end + 1], *(x if x is None else x[first:end] for x in (times, timed)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], names=schema.names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def periodic_marks(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, interval: float) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -220,3 +221,21 @@ def test_checksums_of_many_equal_one_by_one(payloads):
         return crc ^ 0xFFFFFFFF
 
     assert canonical.crc32c_many(payloads).tolist() == [plain(p) for p in payloads]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.none() | st.integers(0, 9) | st.just(2**62), st.integers(0, 9), st.none() | st.integers(-5, 60)), max_size=40), st.integers(-1, 14), st.none() | st.integers(0, 20), st.lists(st.integers(1, 7), max_size=12))
+def test_chunks_by_runs_equal_chunks_by_rows(rows, max_rows, max_age, cuts):
+    step, state, want = folds.chunk_step(max_rows, max_age, 2), None, []
+    for row in rows:
+        state, chunk = step(state, row)
+        want.append(chunk)
+    held, got, at = folds._Chunker(max_rows, max_age, 2), [], 0
+    for size in [*cuts, len(rows)]:
+        part, at = rows[at : at + size], at + size
+        weights = np.array([[min(r[k] or 0, max(max_rows, 0) + 1) for r in part] for k in (0, 1)], np.int64).reshape(2, len(part))
+        sums = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(weights, axis=1)], axis=1)
+        timed = np.array([r[2] is not None for r in part], bool)
+        times = np.array([r[2] or 0 for r in part], np.int64)
+        got += held.take(sums, *((times, timed) if max_age is not None else (None, None))).tolist()
+    assert got == want
