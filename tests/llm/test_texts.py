@@ -317,7 +317,7 @@ def test_queries_cover_the_list_and_pipeline(spark):
     import __spark_entry__ as entry
     import corpus_pipeline
 
-    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in entry.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in entry.queries() if n.startswith("op")) == list(range(1, 14))
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
