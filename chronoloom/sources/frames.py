@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from ..functions.canonical import HEADER, HEADER_BYTES, MAGIC, crc32c_many
 from .logs import open_input
 
+#: Logs that one task reads.
+FILES_PER_TASK = 8
 #: Frames whose checksums are computed together.
 _TOGETHER = 256
 
@@ -69,7 +71,8 @@ def frame_table(files: DataFrame, keys: Sequence[str], *, uri: str = "uri") -> D
         seq, at, length, error = zip(*held, strict=True)
         return pa.RecordBatch.from_arrays([*front, pa.array(seq, pa.int64()), pa.array(at, pa.int64()), pa.array(length, pa.int64()), pa.array(error, pa.string())], names=schema.names)
 
-    return named.repartition("uri").mapInArrow(read, schema)
+    # A row names a whole log: a number of tasks of our own, as Spark would put the small rows into one.
+    return named.repartition(named.count() // FILES_PER_TASK + 1, "uri").mapInArrow(read, schema)
 
 
 def write_frame_index(files: DataFrame, keys: Sequence[str], path: str) -> None:
