@@ -1,10 +1,11 @@
 """Main text of web pages by wrapper induction over pages of one host.
 
-A few reference pages of each host and layout are aligned by simple tree matching: the largest set of node pairs that keeps
-parents, order and labels. Text that is equal in the aligned nodes is template and is kept in the wrapper; a page is
-aligned with its wrapper, template text goes, and every varying slot and every node that the wrapper does not know is content,
-in page order. Parts that are menus, headers, footers, sidebars, notices, adverts, forms or comments by tag, role or
-class are no nodes at all, and a page that marks its article or main part is cut down to it before it is aligned.
+A few reference pages of each host and layout are aligned, whole, by simple tree matching: the largest set of node pairs that
+keeps parents, order and labels. Text that is equal in the aligned nodes is template and is kept in the wrapper; a page is
+aligned with its wrapper, template text goes, and what is left are varying slots and nodes that the wrapper does not know.
+The wrapper also tells whether the articles or main parts of its host hold most of what varies; only then is a page cut
+down to them. Menus, headers, footers, sidebars, adverts, forms and comments that vary from page to page look like content to
+any alignment: among what is left, these alone are told by tag, role and class.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Generator, Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,15 +39,25 @@ CLOSES_P = frozenset(
 )
 #: A start tag closes an open element of the same kind of item.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Parts that are never main text.
-DROPPED = frozenset("nav footer aside form script style noscript template button select textarea input iframe menu dialog svg canvas object head title".split())
-_ANYWHERE = (
-    "ad|ads|advert\\w*|adsense|sponsor\\w*|promo\\w*|menu|nav\\w*|breadcrumbs?|sidebar|cookies?|consent|notice|popup|modal|comments?|disqus|respond|"
-    "replies|reply|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|widget|toolbar|skip|hidden"
+#: Elements that are no text of the page; parts of a page that are never main text.
+NO_TEXT = frozenset("script style noscript template button select textarea input iframe svg canvas object head title".split())
+CHROME_TAGS = frozenset("nav footer aside menu dialog".split())
+#: Words of a class or id that name a part beside the main text; the second list does not count inside an article, where it may name the title.
+CHROME = frozenset(
+    "ad ads adsense adslot adv advert advertisement advertisements advertising adverts breadcrumb breadcrumbs comment commentlist comments consent cookie "
+    "cookies disqus gdpr hidden login menu menus modal nav navbar navigation newsletter notice notices popup promo promos promotion promotions "
+    "recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription toolbar "
+    "widget widgets".split()
 )
-_BAD = re.compile(rf"(?:^|[\s_-])(?:{_ANYWHERE})(?:$|[\s_-])", re.I)
-#: Classes of parts of a page; inside an article they may name its title.
-_BAD_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:banner|side|footer|header|masthead)(?:$|[\s_-])", re.I)
+CHROME_OUTSIDE = frozenset("banner footer header masthead side".split())
+#: Words that may stand beside these without telling of a subject ("related-posts" is a list of links, "related-work" a chapter).
+BESIDE = frozenset(
+    "alert area article articles aside bar bars blog block body bottom box btn button buttons center col column container content count desktop entry "
+    "field fixed float form global google group head holder icon icons inner item items label left link links list lists main media middle mini mobile "
+    "module news outer page pages panel popular post posts primary reader readers right row secondary section site slot stories sticky sub thread title "
+    "to top unit user users visually wrap wrapper zone".split()
+)
+_WORDS = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+(?![a-z])")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Possessive: a tag is read once from front to back, whatever it holds.
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -55,6 +67,12 @@ _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 LAYOUT = ("<article", "<main", "<section", "<aside", "<header", "<table")
 #: References that must hold a node, and agree on its text, before the text counts as template.
 AGREE, LEAST = 0.8, 3
+#: References that share so much of their text, and of the words of the rest, are copies of one page: one of them counts.
+COPY, EDIT = 0.8, 0.6
+#: Marks of blocks: never main text; by a word of class or id; a form; an article or main part.
+CHROME_PART, NAMED, FORM, PART = 1, 2, 3, 4
+#: Elements that a block may enclose, as bits.
+_HELD = {"article": 1, "main": 2, "h1": 4, "nav": 8, "header": 8, "footer": 8}
 #: Cells of an alignment table that are held at once; longer lists are halved, with the same result.
 CELLS = 1 << 22
 
@@ -62,10 +80,10 @@ CELLS = 1 << 22
 class Block:
     """A block element: its runs of text and child blocks in page order. Inline elements are part of the runs."""
 
-    __slots__ = ("label", "items", "shape", "text")
+    __slots__ = ("label", "items", "shape", "text", "mark", "held")
 
-    def __init__(self, label: str):
-        self.label, self.shape, self.text = label, -1, 0
+    def __init__(self, label: str, mark: int = 0, held: int = 0):
+        self.label, self.shape, self.text, self.mark, self.held = label, -1, 0, mark, held
         self.items: list[str | Block] = []
 
     def kids(self) -> list[Block]:
@@ -108,16 +126,23 @@ def _tokens(source: str) -> Generator[tuple[str, str, str, str, int], int | None
     yield "".join(held) + source[at:], "", "", "", len(source)
 
 
-def page_blocks(source: str) -> Block:
-    """The blocks of a page without dropped parts; of its article or main parts alone where those hold text.
+@lru_cache(4096)
+def named_chrome(names: str, inside: bool) -> bool:
+    """Whether a class or id names a part beside the main text: by words that name such parts, with none that names a subject."""
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        told = [w in CHROME or not inside and w in CHROME_OUTSIDE for w in words]
+        if any(told) and all(t or len(w) == 1 or w in BESIDE or w in CHROME_OUTSIDE for t, w in zip(told, words, strict=True)):
+            return True
+    return False
 
-    Never fails on broken markup, whatever its depth.
-    """
+
+def page_blocks(source: str) -> Block:
+    """The blocks of a whole page, marked by what their tag, role or class tells. Never fails on broken markup, whatever its depth."""
     root, line = Block("#root"), []
-    # Open elements: tag, block that takes text and children (None in a dropped part), whether it is inside an article.
+    # Open elements: tag, block that takes text and children (None where text is none of the page), whether it is inside an article.
     stack: list[tuple[str, Block | None, bool]] = [("#root", root, False)]
     open_tags: Counter = Counter()
-    parts: list[Block] = []
 
     def flush() -> None:
         text = " ".join("".join(line).split())
@@ -159,21 +184,21 @@ def page_blocks(source: str) -> Block:
             marks = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
             _, into, inside = stack[-1]
             here = inside or tag in ("article", "main")
-            bad = tag in DROPPED or tag == "header" and not inside
-            if not bad and marks and tag not in ("body", "html", "article", "main"):
-                name = " ".join(v for k, v in marks.items() if k != "role")
-                bad = bool(name and (_BAD.search(name) or not inside and _BAD_OUTSIDE.search(name))) or marks.get("role", "").lower() in _ROLES
-            block = None if bad else into
+            mark = PART if tag in ("article", "main") else CHROME_PART if tag in CHROME_TAGS or tag == "header" and not inside else FORM if tag == "form" else 0
+            if marks and not mark and tag not in ("body", "html"):
+                if marks.get("role", "").lower() in _ROLES:
+                    mark = CHROME_PART
+                elif named_chrome(" ".join(v for k, v in marks.items() if k != "role"), inside):
+                    mark = NAMED
+            block = None if tag in NO_TEXT or mark and tag in INLINE else into
             if tag == "br" and into is not None:
                 line.append(" ")
             if tag not in INLINE:
                 flush()
                 if block is not None:
                     kept = [c for c in marks.get("class", "").split() if not any(x.isdigit() for x in c)]
-                    block = Block(".".join([tag, *kept]))
+                    block = Block(".".join([tag, *kept]), mark, _HELD.get(tag, 0))
                     into.items.append(block)
-                    if here and not inside:
-                        parts.append(block)
             if tag in RAW:
                 end = _RAW_END[tag].search(source, after)
                 token = tokens.send(end.end() if end else len(source))
@@ -183,11 +208,44 @@ def page_blocks(source: str) -> Block:
         token = token or next(tokens)
     close(1)
     flush()
-    if any(True for p in parts for _ in texts(p)):
-        root.items = list(parts)
     return root
 
 
+def preorder(root: Block) -> list[Block]:
+    order, stack = [], [root]
+    while stack:
+        order.append(node := stack.pop())
+        stack += reversed(node.kids())
+    return order
+
+
+def slots(root: Block) -> list[tuple[str, bool]]:
+    """(text, whether it is in an article or main part) in page order, of all that no mark takes out.
+
+    A form around an article, main part, main heading, header, menu or footer is the frame of the page and no form. A part that
+    is named like a menu or an advert, yet encloses the main part or the only article, stays as well.
+    """
+    order = preorder(root)
+    lone = sum(node.label.split(".", 1)[0] == "article" for node in order) == 1
+    for node in reversed(order):
+        for kid in node.kids():
+            node.held |= kid.held
+    out, stack = [], [(iter(root.items), False)]
+    while stack:
+        items, inside = stack[-1]
+        for item in items:
+            if isinstance(item, str):
+                out.append((item, inside))
+                continue
+            frame = item.mark == FORM and item.held or item.mark == NAMED and (item.held & 2 or lone and item.held & 1)
+            if item.mark in (0, PART) or frame:
+                stack.append((iter(item.items), inside or item.mark == PART))
+                break
+        else:
+            stack.pop()
+    return out
+
+
 def texts(block: Block) -> Iterator[str]:
     """Runs of text in page order."""
     stack = [iter(block.items)]
@@ -341,12 +399,37 @@ def matched(shapes: Shapes, a: Block, b: Block) -> Iterator[tuple[Block, Block]]
         stack += shapes.children(x, y)
 
 
+def copies(a: Counter, b: Counter) -> bool:
+    """Whether two pages, as counted runs of text, are copies: most is equal, and the rest is next to nothing or an edit of the other's rest.
+
+    Pages of one host may share more than they have of their own; only what they do not share tells whether they differ.
+    """
+    length = lambda said: sum(len(t) * n for t, n in said.items())
+    size, alike = max(length(a), length(b), 1), length(a & b)
+    if alike < COPY * size:
+        return False
+    words = lambda said: Counter(w for t, n in said.items() for w in t.split() * n)
+    mine, other = words(a - b), words(b - a)
+    return size - alike <= (1 - COPY) * size / 4 or (mine & other).total() >= EDIT * max(mine.total(), other.total())
+
+
+def different(trees: list[Block]) -> list[Block]:
+    """The trees without copies of earlier ones."""
+    kept: list[tuple[Block, Counter]] = []
+    for tree in trees:
+        said = Counter(texts(tree))
+        if not any(copies(said, other) for _, other in kept):
+            kept.append((tree, said))
+    return [tree for tree, _ in kept]
+
+
 def induce(pages: list[str]) -> str | None:
-    """The wrapper of reference pages as JSON; None where they are too few to tell template from content, or share no text.
+    """The wrapper of reference pages as JSON; None where they are too few to tell template from content, or tell nothing.
 
     Nodes of the smallest page that most references hold: labels, places of the parents, and the template text of each.
+    ``parts``: whether articles and main parts hold most of the text that varies (null: there are none).
     """
-    trees = sorted((page_blocks(p) for p in pages), key=lambda t: sum(1 for _ in texts(t)))
+    trees = sorted(different([page_blocks(p) for p in pages]), key=lambda t: sum(1 for _ in texts(t)))
     if len(trees) < LEAST:
         return None
     shapes, base = Shapes(), trees[0]
@@ -369,7 +452,15 @@ def induce(pages: list[str]) -> str | None:
         # Of a run that a node repeats, as many count as are found often enough.
         constant.append(sorted(run for run, n in Counter(node.runs()).items() for _ in range(min(n, int(common[id(node)][run] // need)))))
         stack += [(k, len(labels) - 1) for k in reversed(node.kids())]
-    return json.dumps({"labels": labels, "parents": parents, "constant": constant}) if any(constant) else None
+    told = {"labels": labels, "parents": parents, "constant": constant, "parts": None}
+    wrapper, inside, total = Wrapper(json.dumps(told)), 0, 0
+    for tree in trees:
+        wrapper.strip(tree)
+        for text, part in slots(tree):
+            inside, total = inside + part * len(text), total + len(text)
+    if inside:
+        told["parts"] = 2 * inside > total
+    return json.dumps(told) if inside or any(constant) else None
 
 
 class Wrapper:
@@ -380,7 +471,7 @@ class Wrapper:
         nodes = [Block(label) for label in told["labels"]]
         for node, parent in zip(nodes[1:], told["parents"][1:], strict=True):
             nodes[parent].items.append(node)
-        self.root, self.shapes = nodes[0], Shapes()
+        self.root, self.shapes, self.parts = nodes[0], Shapes(), told["parts"]
         self.constant = {id(n): Counter(c) for n, c in zip(nodes, told["constant"], strict=True) if c}
         self.own = lambda node: list(self.constant.get(id(node), Counter()).elements())
         self.shapes.number(self.root, self.own)
@@ -403,11 +494,16 @@ class Wrapper:
 
 
 def extract(source: str, wrapper: Wrapper | None) -> str:
-    """Main text of one page."""
-    page = page_blocks(source)
+    """Main text of one page. Without a wrapper, an article or main part counts if it holds most of the page's own text."""
+    page, parts = page_blocks(source), None
     if wrapper is not None:
         wrapper.strip(page)
-    return "\n".join(texts(page))
+        parts = wrapper.parts
+    found = slots(page)
+    inside = sum(len(text) for text, part in found if part)
+    if parts is None:
+        parts = 2 * inside > sum(len(text) for text, _ in found)
+    return "\n".join(text for text, part in found if part or not (inside and parts))
 
 
 def host_of(url: Column) -> Column:
@@ -448,8 +544,8 @@ def extract_text(pages: DataFrame, *, references: int = 8) -> DataFrame:
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by a line
     feed. Null and empty html give the empty text. A null url belongs to the host "". Hosts with fewer than three
-    different pages of a layout have no wrapper: all text that no tag, role or class drops is content. Repeated rows each keep
-    their row; other columns are ignored.
+    different pages of a layout have no wrapper: all text that no tag, role or class drops is content, of its articles or main parts
+    alone where these hold most of it. Repeated rows each keep their row; other columns are ignored.
     """
     source = pages.select(F.col("page_id").cast("bigint"), "url", "html", host_of(F.col("url")).alias("host"), layout_of(F.col("html")).alias("layout"))
     # Broadcast by Spark below its size limit; beyond it the pages shuffle by host and hot hosts are split.

@@ -64,7 +64,10 @@ def test_template_goes_and_every_slot_stays():
 def test_copies_among_references_are_no_template():
     copy = "<article><h1>Same story</h1>" + "".join(f"<p>Paragraph {i} of it.</p>" for i in range(20)) + "</article>"
     others = [f"<article><h1>Story {i}</h1><p>Only {i}.</p></article>" for i in range(4)]
-    assert html_text.induce([copy, copy + "<!-- a -->", copy + "<!-- b -->", *others]) is None
+    wrapper = html_text.Wrapper(html_text.induce([copy, copy + "<!-- a -->", copy.replace("graph 3 of", "graph three of"), *others]))
+    assert not wrapper.constant and wrapper.parts
+    assert html_text.extract(copy, wrapper).split("\n") == ["Same story", *[f"Paragraph {i} of it." for i in range(20)]]
+    assert html_text.induce([copy, copy + "<!-- a -->", copy + "<!-- b -->"]) is None  # one page told three times
 
 
 def test_odd_markup_keeps_what_it_says():
@@ -76,6 +79,48 @@ def test_odd_markup_keeps_what_it_says():
     assert take("") == "" and take("<!-- never ends <p>x") == "" and take("<script>x") == ""
 
 
+def test_an_article_counts_where_it_holds_most_of_what_varies():
+    take = lambda s: html_text.extract(s, None).split("\n")
+    assert take("<div id=content>This is the main text</div><section><article>teaser</article></section>") == ["This is the main text", "teaser"]
+    assert take("<div>by the way</div><article>The story that the page is about</article>") == ["The story that the page is about"]
+    # The host decides: its articles are teasers, on one page with little other text as well; or the story, however short.
+    teasers = [f"<div id=content>Main text number {i} of this host, at length</div><article>Teaser {i}</article>" for i in range(5)]
+    wrapper = html_text.Wrapper(html_text.induce(teasers))
+    assert wrapper.parts is False
+    assert html_text.extract("<div id=content>Hm</div><article>A teaser at length</article>", wrapper) == "Hm\nA teaser at length"
+    stories = [f"<p>Aside {i}</p><article>Story number {i} of this host, told at length</article>" for i in range(5)]
+    wrapper = html_text.Wrapper(html_text.induce(stories))
+    assert wrapper.parts is True
+    assert html_text.extract("<p>An aside at length</p><article>Hm</article>", wrapper) == "Hm"
+    assert html_text.extract("<p>No article</p>", wrapper) == "No article"
+
+
+def test_template_text_outweighs_an_article_no_more():
+    """What is equal on all pages is no text of the page when it is asked where most of its text stands."""
+    rules = "House rules of this site, which are the same on every page and longer than any story of it. " * 3
+    told = ["A dog ran home at noon.", "Rain fell over green hills.", "Bread costs more again.", "Nobody knew why she left.", "Two ships met in fog."]
+    pages = [f"<div>{rules}</div><article><h1>Story {i}</h1><p>{t}</p></article>" for i, t in enumerate(told)]
+    wrapper = html_text.Wrapper(html_text.induce([*pages, pages[0].replace("ran home", "ran away")]))
+    assert wrapper.parts and [html_text.extract(p, wrapper) for p in pages] == [f"Story {i}\n{t}" for i, t in enumerate(told)]
+    assert html_text.extract(f"<div>{rules}</div><p>No article</p>", wrapper) == "No article"
+
+
+def test_class_words_of_a_subject_stay():
+    take = lambda name: html_text.extract(f"<div class='{name}'>text</div><p>more", None) == "text\nmore"
+    for name in ("navy", "social-science", "share-price", "promotion-law", "hidden-gems", "related-work", "header-less", "adobe", "cookie-recipes", "", "x y"):
+        assert take(name), name
+    for name in ("nav", "main-nav", "MainNav", "ad", "ad-300x250", "ad_a8", "related-posts", "reader-comments", "comments", "site-header", "x sidebar", "promo box", "share-buttons"):
+        assert not take(name), name
+
+
+def test_a_form_around_the_page_is_its_frame():
+    take = lambda s: html_text.extract(s, None)
+    assert take("<form><nav>Menu</nav><div><h1>Title</h1><p>Body<input><button>Go</button></div><footer>f</footer></form>") == "Title\nBody"
+    assert take("<p>Body</p><form><p>Your mail<input></form>") == "Body"
+    assert take("<div class=widget><article>The story</article></div><div class=widget>Weather</div>") == "The story"
+    assert take("<div class=related><article>one</article><article>two</article></div><p>Body") == "Body"
+
+
 @pytest.mark.parametrize("source", ["<a" * 100_000, "<a " * 100_000 + ">", '<a "' * 100_000 + ">", "<a \"><b '>" * 50_000, "<" * 100_000 + ">", "<!--" * 50_000, "<div>" * 5000 + "deep", "<b>" * 5000 + "<p>x" * 5000, "<div>" * 5000 + "</b>" * 50_000])
 def test_hostile_markup_is_linear(source):
     began = time.process_time()
