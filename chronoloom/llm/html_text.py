@@ -390,13 +390,14 @@ def heaviest(weights: np.ndarray, left: np.ndarray, right: np.ndarray, up: int =
     return out[::-1]
 
 
-def matched(shapes: Shapes, a: Block, b: Block) -> Iterator[tuple[Block, Block]]:
-    """The pairs of nodes of a largest matching of two numbered trees, parents before children."""
+def matched(shapes: Shapes, a: Block, b: Block, into: Callable[[Block], bool] = lambda node: True) -> Iterator[tuple[Block, Block]]:
+    """The pairs of nodes of a largest matching of two numbered trees, parents before children; below nodes of ``a`` that ``into`` names."""
     stack = [(a, b)] if a.label == b.label else []
     while stack:
         x, y = stack.pop()
         yield x, y
-        stack += shapes.children(x, y)
+        if into(x):
+            stack += shapes.children(x, y)
 
 
 def copies(a: Counter, b: Counter) -> bool:
@@ -477,12 +478,14 @@ class Wrapper:
         self.shapes.number(self.root, self.own)
 
     def strip(self, page: Block) -> None:
-        """Take the template text out of a page."""
+        """Take the template text out of a page. Nodes are aligned as far down as the wrapper has such text below them."""
+        if not self.root.text:
+            return
         if len(self.shapes.label) > 20_000:
             self.shapes = Shapes()
             self.shapes.number(self.root, self.own)
         self.shapes.number(page)
-        for mine, other in matched(self.shapes, self.root, page):
+        for mine, other in matched(self.shapes, self.root, page, lambda node: node.text != 0):
             if id(mine) in self.constant:
                 gone, kept = Counter(self.constant[id(mine)]), []
                 for item in other.items:
