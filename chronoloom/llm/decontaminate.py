@@ -1,8 +1,9 @@
 """Benchmark decontamination by size-partitioned MinHash containment, in DataFrame functions only.
 
 A hash orders all shingles at random. Test items are partitioned by their number of distinct shingles; the signature of an
-item is its lowest hashes, as many as its partition asks for, and the signature of a document its hashes up to the highest
-of any item's signature. A document that holds the share ``containment`` of an item misses so few of the item's
+item is its lowest hashes, as many as its partition asks for, and the signature of a document its hashes in those cells of
+the hash range that hold a hash of an item's signature, so that small items, whose lowest hashes lie anywhere, cost no more
+than their own cells. A document that holds the share ``containment`` of an item misses so few of the item's
 shingles that it must hold a number of the item's signature that follows from its size and partition; what holds fewer
 is no candidate. Unlike in bands of a Jaccard threshold this does not depend on the document's length: a match of 20
 shingles in a text of 5,000 has a Jaccard similarity of 0.003 and would be lost. Candidates are verified by the shingles themselves.
@@ -10,6 +11,7 @@ shingles in a text of 5,000 has a Jaccard similarity of 0.003 and would be lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,9 @@ WIDTH = 5
 CONTAINMENT = 0.8
 #: Bytes of sketches, of item shingles or of candidates that are broadcast at most, about.
 BROADCAST_BYTES = 32 << 20
+#: Cells of the hash range that signatures are marked in: 16 for each hash of an item's signature, between these powers of two.
+#: Beyond, cells fill up and let more hashes of documents through; none is lost.
+LEAST_CELLS, MOST_CELLS = 12, 18
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -84,6 +89,19 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def in_cells(wanted: DataFrame) -> Callable[[Column], Column]:
+    """A test that holds for every hash in the column ``hash`` of ``wanted`` and for few others: whether the hash's cell has one.
+
+    The cells are bits of at most 4,096 numbers, gathered by the driver and folded to one array; the test is a lookup without a join.
+    """
+    cells = min(max(math.ceil(math.log2(16 * wanted.count() + 1)), LEAST_CELLS), MOST_CELLS)
+    cell = lambda h: F.shiftrightunsigned(h, 64 - cells)
+    marked = wanted.select(cell(F.col("hash")).alias("cell")).groupBy(F.shiftright("cell", 6).alias("place"))
+    held = {r.place: r.bits for r in marked.agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 AS INT))")).alias("bits")).collect()}
+    table = F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(1 << (cells - 6)))), ",").cast("array<bigint>")
+    return lambda h: F.getbit(F.get(table, F.shiftright(cell(h), 6).cast("int")), cell(h).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def matches(
     docs: DataFrame,
     items: DataFrame,
@@ -104,9 +122,7 @@ def matches(
     known = materialize(sketches(items, containment, width, item_col, item_text_col), "benchmark-shingles")
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     wanted = known.where("in_sketch").select("hash", "item", "need")
-    # One number, whatever the input: no document needs hashes beyond the highest of a sketch.
-    highest = wanted.agg(F.max("hash")).first()[0]
-    below = F.filter(shingle_hashes(F.col("t"), width), lambda h: h <= F.lit(highest).cast("bigint"))
+    below = F.filter(shingle_hashes(F.col("t"), width), in_cells(wanted))
     found = rows.select("key", F.explode(F.array_distinct(below)).alias("hash"))
     hits = found.join(_sent(wanted), "hash").groupBy("key", "item", "need").agg(F.count_distinct("hash").alias("hits"))
     pairs = materialize(hits.where("hits >= need").select("key", "item"), "benchmark-candidates")

@@ -243,3 +243,15 @@ def test_parity_sketches_refute_no_similar_sets(size):
     # One of them larger by a quarter: the level of the larger one counts.
     small, large = all_[: size * 4 // 5 or 1], all_[:size]
     assert simhash.maybe_similar(simhash.parity_sketch(small)[None], simhash.parity_sketch(large)[None], 0.8)[0] == (len(small) >= 0.8 * len(large) - 1e-9)
+
+
+def test_cells_hold_every_wanted_hash_and_few_others(spark):
+    """A bound alone lets most of the hash range through as soon as one item is small; cells do not."""
+    wanted = spark.range(300).select(F.xxhash64("id").alias("hash"))
+    passes = decontaminate.in_cells(wanted)
+    assert wanted.where(passes(F.col("hash"))).count() == 300
+    others = spark.range(1000, 21_000).select(F.xxhash64("id").alias("hash"))
+    assert others.where(passes(F.col("hash"))).count() < 0.1 * 20_000
+    edges = spark.createDataFrame([(-(2**63),), (-1,), (0,), (2**63 - 1,)], "hash bigint")
+    assert edges.where(decontaminate.in_cells(edges)(F.col("hash"))).count() == 4
+    assert edges.where(decontaminate.in_cells(wanted.limit(0))(F.col("hash"))).count() == 0
