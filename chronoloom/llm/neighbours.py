@@ -73,11 +73,20 @@ class CollisionIndex:
         return np.flatnonzero(np.add.reduce(hit.view(np.uint8), axis=0, dtype=np.uint8) >= self.need)
 
 
+def balanced(vectors: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that takes its largest component to between 0.5 and 1.
+
+    Squares neither vanish nor overflow then, and as only exponents change, cosines of other rows stay the same to the last bit.
+    """
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, verified: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query place, vector place, score) of up to k nearest of a block for each query, ties to smaller ids.
 
     :param verified: takes how many vectors each query verified.
     """
+    vectors, queries = balanced(vectors), balanced(queries)
     sizes, lengths = np.sqrt((vectors**2).sum(axis=1)), np.sqrt((queries**2).sum(axis=1))
     index = CollisionIndex(vectors / sizes[:, None])
     points = (queries / lengths[:, None]) @ index.lines

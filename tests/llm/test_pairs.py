@@ -255,3 +255,26 @@ def test_cells_hold_every_wanted_hash_and_few_others(spark):
     edges = spark.createDataFrame([(-(2**63),), (-1,), (0,), (2**63 - 1,)], "hash bigint")
     assert edges.where(decontaminate.in_cells(edges)(F.col("hash"))).count() == 4
     assert edges.where(decontaminate.in_cells(wanted.limit(0))(F.col("hash"))).count() == 0
+
+
+def test_tiny_and_huge_components_have_neighbours():
+    """Squares of such components are 0 or infinite in doubles; the cosine is neither."""
+    draw = np.random.default_rng(5).standard_normal((60, 8))
+    scale = np.array([1e-170, 1e-300, 1.0, 1e200, 5e-324])[np.arange(60) % 5][:, None]
+    vectors, ids = draw * scale, np.arange(60)
+    vectors[4::5] = np.sign(draw[4::5]) * 5e-324
+    unit = neighbours.balanced(vectors)
+    unit = unit / np.sqrt((unit**2).sum(axis=1))[:, None]
+    q, v, score = neighbours.search_block(vectors, ids, vectors[:10], ids[:10], 5)
+    hits = 0
+    for i in range(10):
+        exact = unit @ unit[i]
+        assert len(set(v[q == i])) == 5 and np.allclose(score[q == i], exact[v[q == i]])
+        exact[i] = -9
+        hits += len(set(v[q == i]) & set(np.argsort(-exact)[:5]))
+    assert hits >= 45
+    plain = np.random.default_rng(6).standard_normal((50, 8))
+    far = neighbours.balanced(plain)
+    lengths = lambda x: np.sqrt((x**2).sum(axis=1))
+    cosine = lambda x: (x * x[7]).sum(axis=1) / (lengths(x) * lengths(x)[7])
+    assert np.array_equal(cosine(plain), cosine(far))
