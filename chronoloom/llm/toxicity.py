@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialize
+from .storage import fresh_name, materialize
 
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
@@ -176,13 +176,13 @@ def _sum(weight: np.ndarray, text: str, wanted: np.ndarray) -> float:
     return float((weight[slots] * size).sum())
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` DOUBLE in 0..1, larger where label 1 is likelier; only the text is read.
+def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with ``score_col`` DOUBLE in 0..1, larger where label 1 is likelier; only the text is read.
 
-    Null and empty texts score by the intercept alone. A column named score is replaced.
+    Null and empty texts score by the intercept alone. A column of the name of ``score_col`` is replaced.
     """
-    base = docs.drop("score")
-    names, at = [*base.columns, "score"], base.columns.index(text_col)
+    base = docs.drop(score_col)
+    names, at = [*base.columns, score_col], base.columns.index(text_col)
     slots, weights, bias = model.slots, model.weights, model.bias
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +195,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
             made = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], names=names)
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -211,5 +211,6 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, id_c
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with the columns of ``docs``."""
-    scored = score(docs.withColumnRenamed("score", "__score"), fit(docs, labels, text_col=text_col, **options), text_col=text_col)
-    return scored.where(F.col("score") < threshold).drop("score").withColumnRenamed("__score", "score")
+    made = fresh_name(docs, "score")
+    scored = score(docs, fit(docs, labels, text_col=text_col, **options), text_col=text_col, score_col=made)
+    return scored.where(F.col(made) < threshold).drop(made)

@@ -266,6 +266,15 @@ def test_pieces_equal_whole_texts(tmp_path, monkeypatch):
             assert [p.tolist() for p in parts] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts[at : at + 700]]
 
 
+def test_rejecting_toxic_rows_keeps_columns_of_any_name(spark):
+    """Columns named like those made on the way stay, in their case and place."""
+    docs = spark.createDataFrame([(i, "vile rot" if i % 2 else "calm sea", i, -i) for i in range(40)], "doc_id bigint, text string, Score int, __score int")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    kept = toxicity.reject_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [(i, "calm sea", i, -i) for i in range(0, 40, 2)]
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.classify(docs, labels).join(labels, "doc_id").where("held_out").select("predicted", "toxic").toPandas()
