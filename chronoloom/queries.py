@@ -173,7 +173,7 @@ def sealed_file_set(pages):
     digest = F.md5(F.col("html").cast("binary"))
     sealed = pages.where("page_id % 11 != 0").select("url", digest.alias("h"))
     actual = pages.where("page_id % 17 != 0").select("url", F.when(F.col("page_id") % 13 == 0, "x").otherwise(digest).alias("h"))
-    return checks.sealed_mismatch(sealed, actual, ["url"], "h")
+    return checks.sealed_mismatch(sealed, actual, ["url"], "h", nulls_meet=False)
 
 
 @query("""
