@@ -676,7 +676,7 @@ UNION ALL SELECT user_id, event_id + 10000000, NULL, NULL, NULL, NULL FROM e
 
 
 def pushed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-31, STR-01 to STR-05: a producer for each type of event pushes files, and one query takes them in several batches, in chunks of 100."""
+    """SRC-31, STR-01 to STR-05: a producer for each type of event pushes files, and one query takes them in batches of some MB of each, in chunks of 100."""
     out = _fresh_folder(spark, "pushed")
     spool = f"{out}/spool".removeprefix("file://")
 
@@ -689,8 +689,9 @@ def pushed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.table({"n": [table.num_rows]})
 
     events = table(spark, sf_dir, "events").select("event_type", F.expr("event_id div 2048").alias("file"), "event_id")
-    # Numbers of files follow each other, whatever the numbers of events.
-    events = events.withColumn("file", F.dense_rank().over(Window.partitionBy("event_type").orderBy("file")) - 1)
+    # Numbers of files follow each other, whatever the numbers of events; one row for each file is numbered, not the events.
+    files = events.select("event_type", "file").distinct().withColumn("number", F.row_number().over(Window.partitionBy("event_type").orderBy("file")) - 1)
+    events = events.join(files, ["event_type", "file"]).select("event_type", F.col("number").alias("file"), "event_id")
     events.groupBy("event_type", "file").applyInArrow(push_file, "n bigint").agg(F.sum("n")).collect()
     stream = push.pushed_stream(spark, spool, "producer string, event_id bigint", progress=f"{out}/progress").withColumn("one", F.lit(1).cast("bigint"))
     made = ingest.chunked(stream, ["producer"], "event_id", ["one"], max_rows=100)

@@ -2,8 +2,9 @@
 
 A producer appends files to its own folder of the spool; a file appears only when whole and its number is its place. An
 offset is the number of files taken of each producer, so several producers make one query without waiting for each other, and
-a batch that runs again reads the same files. A batch takes at most ``files_per_producer`` of each: a fast producer does not crowd
-out a slow one, and what waits stays in the spool.
+a batch that runs again reads the same files. A batch takes at most ``bytes_per_producer`` of each, or ``files_per_producer`` files
+where that is given: a fast producer does not crowd out a slow one, and what waits stays in the spool. Batches follow from the
+size of a backlog, not from how many small files it came in.
 
     spark.dataSource.register(PushedPackets)
     spark.readStream.format("pushed_packets").schema(schema).option("spool", path).option("progress", file).load()
@@ -23,7 +24,10 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_type
 
-FILES_PER_PRODUCER = 8
+#: Bytes of files that a batch takes of one producer, one file at least.
+BYTES_PER_PRODUCER = 8 << 20
+#: Files of a producer that one task reads.
+FILES_PER_TASK = 256
 
 
 def _files(folder: str) -> int:
@@ -58,8 +62,8 @@ class PushedFiles(InputPartition):
 
 
 class PushReader(DataSourceStreamReader):
-    def __init__(self, spool: str, progress: str | None, limit: int, schema: T.StructType):
-        self.spool, self.progress, self.limit, self.schema = spool.removeprefix("file://"), progress and progress.removeprefix("file://"), limit, schema
+    def __init__(self, spool: str, progress: str | None, limit: int | None, schema: T.StructType, n_bytes: int = BYTES_PER_PRODUCER):
+        self.spool, self.progress, self.limit, self.schema, self.n_bytes = spool.removeprefix("file://"), progress and progress.removeprefix("file://"), limit, schema, n_bytes
         self.at: dict[str, int] = {}
         # What an earlier run has planned: a query that starts again admits from there, not all that waits at once.
         if self.progress and os.path.exists(self.progress):
@@ -71,7 +75,16 @@ class PushReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:  # noqa: N802
         there = {name: _files(os.path.join(self.spool, name)) for name in sorted(os.listdir(self.spool))} if os.path.isdir(self.spool) else {}
-        return self.at | {name: max(self.at.get(name, 0), min(n, self.at.get(name, 0) + self.limit)) for name, n in there.items()}
+        return self.at | {name: max(self.at.get(name, 0), self._admitted(name, self.at.get(name, 0), n)) for name, n in there.items()}
+
+    def _admitted(self, name: str, first: int, n: int) -> int:
+        """Files of a producer that the next batch ends before, of ``n`` that are there."""
+        if self.limit is not None:
+            return min(n, first + self.limit)
+        end, left = first, self.n_bytes
+        while end < n and (left := left - os.stat(os.path.join(self.spool, name, f"{end:012d}.arrow")).st_size) >= 0:
+            end += 1
+        return min(n, max(end, first + 1))
 
     def partitions(self, start: dict, end: dict) -> list[PushedFiles]:
         self.at = {name: max(n, self.at.get(name, 0)) for name, n in end.items()}
@@ -81,7 +94,7 @@ class PushReader(DataSourceStreamReader):
             with open(part, "w") as out:
                 json.dump(self.at, out)
             os.replace(part, self.progress)
-        return [PushedFiles(name, start.get(name, 0), n) for name, n in sorted(end.items()) if n > start.get(name, 0)]
+        return [PushedFiles(name, first, min(first + FILES_PER_TASK, n)) for name, n in sorted(end.items()) for first in range(start.get(name, 0), n, FILES_PER_TASK)]
 
     def read(self, partition: PushedFiles) -> Iterator[pa.RecordBatch]:
         fields = [f for f in self.schema.fields if f.name != "producer"]
@@ -99,7 +112,7 @@ class PushReader(DataSourceStreamReader):
 
 
 class PushedPackets(DataSource):
-    """Options: ``spool``; ``progress``, a file of this query beside its checkpoint; ``files_per_producer``. A column ``producer`` is filled in."""
+    """Options: ``spool``; ``progress``, a file of this query beside its checkpoint; ``files_per_producer`` or ``bytes_per_producer``. A column ``producer`` is filled in."""
 
     @classmethod
     def name(cls) -> str:
@@ -109,11 +122,13 @@ class PushedPackets(DataSource):
         raise ValueError("pushed_packets needs the schema of its rows")
 
     def streamReader(self, schema: T.StructType) -> PushReader:  # noqa: N802
-        return PushReader(self.options["spool"], self.options.get("progress"), int(self.options.get("files_per_producer", FILES_PER_PRODUCER)), schema)
+        files = self.options.get("files_per_producer")
+        return PushReader(self.options["spool"], self.options.get("progress"), int(files) if files else None, schema, int(self.options.get("bytes_per_producer", BYTES_PER_PRODUCER)))
 
 
-def pushed_stream(spark: SparkSession, spool: str, schema: T.StructType | str, *, progress: str | None = None, files_per_producer: int = FILES_PER_PRODUCER) -> DataFrame:
+def pushed_stream(spark: SparkSession, spool: str, schema: T.StructType | str, *, progress: str | None = None, files_per_producer: int | None = None, bytes_per_producer: int = BYTES_PER_PRODUCER) -> DataFrame:
     """The rows of all producers of a spool as one stream."""
     spark.dataSource.register(PushedPackets)
-    reader = spark.readStream.format("pushed_packets").schema(schema).option("spool", spool).option("files_per_producer", files_per_producer)
+    reader = spark.readStream.format("pushed_packets").schema(schema).option("spool", spool).option("bytes_per_producer", bytes_per_producer)
+    reader = reader if files_per_producer is None else reader.option("files_per_producer", files_per_producer)
     return (reader.option("progress", progress) if progress else reader).load()
