@@ -650,17 +650,17 @@ def frame_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _fresh_folder(spark, "frames").removeprefix("file://")
 
     def write_log(table):
-        import pyarrow as pa
-
         table = table.sort_by("event_id")
         user, pairs = table["user_id"][0].as_py(), []
         for number, text in zip(table["event_id"].to_pylist(), table["props"].to_pylist(), strict=True):
             pairs += [(number, text.encode()), (number, b"again")] if number % 10 == 0 else [(number, text.encode())]
-        recordings.put(out, f"{user}.bin", recordings.frame_log([n for n, _ in pairs], [p for _, p in pairs]))
-        return pa.table({"user_id": [user], "uri": [f"file://{out}/{user}.bin"]})
+        return {f"{user}.bin": recordings.frame_log([n for n, _ in pairs], [p for _, p in pairs])}, {"user_id": user, "uri": f"file://{out}/{user}.bin"}
+
+    import pyarrow as pa
 
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "props")
-    events.groupBy("user_id").applyInArrow(write_log, "user_id bigint, uri string").write.parquet(f"file://{out}/.files")
+    users = events.select("user_id").distinct().count()
+    recordings.write_groups(events, ["user_id"], users, write_log, pa.schema([("user_id", pa.int64()), ("uri", pa.string())]), out).write.parquet(f"file://{out}/.files")
     frames.write_frame_index(spark.read.parquet(f"file://{out}/.files"), ["user_id"], f"file://{out}/.index")
     wanted = events.select("user_id", F.explode(F.array(F.col("event_id"), F.col("event_id") + 10_000_000)).alias("packet_seq"))
     made = frames.lookup_frames(spark, f"file://{out}/.index", wanted, ["user_id"])
