@@ -164,16 +164,34 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def units(texts: list[str]) -> Iterator[slice]:
-    """Slices of the texts of about ``UNIT`` characters each, of one text at least."""
+def forget_encoders() -> None:
+    """Drop the tokenizers of this process and the pieces they have learned."""
+    _ENCODERS.clear()
+
+
+def units(sizes: list[int]) -> Iterator[slice]:
+    """Slices of texts of these sizes, about ``UNIT`` characters each, of one text at least."""
     first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(sizes):
+        size += n
         if size >= UNIT:
             yield slice(first, i + 1)
             first, size = i + 1, 0
-    if first < len(texts):
-        yield slice(first, len(texts))
+    if first < len(sizes):
+        yield slice(first, len(sizes))
+
+
+def encoded(batches: Iterable[pa.RecordBatch], tool: PieceEncoder, end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(document ids, ids of all texts, ids of each text) of units of the batches (document id, text).
+
+    Workers outlive their tasks: what Arrow has kept of a unit's memory is given back after each.
+    """
+    for batch in batches:
+        for some in units(pc.utf8_length(batch.column(1)).to_pylist()):
+            rows = batch.slice(some.start, some.stop - some.start)
+            ids, counts = tool.encode(rows.column(1).to_pylist(), end_id)
+            pa.default_memory_pool().release_unused()
+            yield rows.column(0), ids, counts
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -268,21 +286,18 @@ def write_token_files(
 
         def frames() -> Iterator[bytes]:
             nonlocal seen
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for some in units(texts):
-                    ids, counts = tool.encode(texts[some], end_id)
-                    found = np.bincount(ids)
-                    if len(found) > len(seen):
-                        seen = np.concatenate([seen, np.zeros(len(found) - len(seen), np.int64)])
-                    seen[: len(found)] += found
-                    stops = np.concatenate([[0], np.cumsum(counts)]) * width
-                    coded = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(stops.astype(np.int64)), pa.py_buffer(ids)])
-                    out = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                        writer.write_batch(pa.record_batch([batch.column(0).slice(some.start, len(counts)), coded], schema=schema))
-                    frame = out.getvalue().to_pybytes()
-                    yield struct.pack("<Q", len(frame)) + frame, len(ids) * width
+            for names, ids, counts in encoded(batches, tool, end_id):
+                found = np.bincount(ids)
+                if len(found) > len(seen):
+                    seen = np.concatenate([seen, np.zeros(len(found) - len(seen), np.int64)])
+                seen[: len(found)] += found
+                stops = np.concatenate([[0], np.cumsum(counts)]) * width
+                coded = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(stops.astype(np.int64)), pa.py_buffer(ids)])
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(pa.record_batch([names, coded], schema=schema))
+                frame = out.getvalue().to_pybytes()
+                yield struct.pack("<Q", len(frame)) + frame, len(ids) * width
 
         def chunks(held: bytes, size: int) -> Iterator[bytes]:
             """Frames from ``held`` on until a file is full; what comes next is left in ``after``."""
@@ -350,6 +365,7 @@ def _scan(spark: SparkSession, uri: str, row, schema: str) -> DataFrame:
         return spark.createDataFrame([], full)
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()  # reading needs none, and the worker lives on
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 name = path.rpartition("/")[2]

@@ -3,9 +3,12 @@
 import base64
 import hashlib
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -266,6 +269,26 @@ def test_pieces_equal_whole_texts(tmp_path, monkeypatch):
             assert [p.tolist() for p in parts] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts[at : at + 700]]
 
 
+def test_encoding_gives_arrow_memory_back():
+    """In a process of its own, as a worker that outlives its tasks: what Arrow keeps of units that are done."""
+    code = """
+import random, re, pyarrow as pa
+from chronoloom.llm import queries, tokens
+held = lambda: int(re.search(r"Pss_Anon: *([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+draw = random.Random(1)
+words = ["".join(draw.choices("abcdefghij", k=draw.randint(3, 9))) for _ in range(200_000)]
+texts = [" ".join(draw.choices(words, k=draw.randint(50, 900))) for _ in range(2_000)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "t"])
+tool = tokens.encoder(queries.byte_bpe())
+made = sum(len(ids) for _ in range(3) for _, ids, _ in tokens.encoded([batch], tool, 2))
+before = held()
+pa.default_memory_pool().release_unused()
+print(made, before - held())
+"""
+    made, kept = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split())
+    assert made > 1_000_000 and kept < 12
+
+
 def test_rejecting_toxic_rows_keeps_columns_of_any_name(spark):
     """Columns named like those made on the way stay, in their case and place."""
     docs = spark.createDataFrame([(i, "vile rot" if i % 2 else "calm sea", i, -i) for i in range(40)], "doc_id bigint, text string, Score int, __score int")
