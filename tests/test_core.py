@@ -107,6 +107,27 @@ def test_frames_round_trip_and_torn_tail(packets, cut):
         assert torn[-1]["error"] == "torn_payload" and len(torn) == len(packets)
 
 
+def test_frames_of_many_logs_are_checked_together(spark, tmp_path, monkeypatch):
+    import struct
+
+    made = lambda s, p: struct.pack(canonical.HEADER, canonical.MAGIC, s, len(p)) + p + struct.pack("<I", canonical.crc32c_bytes(p))
+    bad = made(2, b"xyz")[:-1] + b"\x00"
+    logs, calls, many = [made(1, b"a") + bad + made(3, b"b"), b"", made(4, b"") + b"torn", made(5, b"c" * 3000), b"\x00" * 40], [], canonical.crc32c_many
+    monkeypatch.setattr(canonical, "crc32c_many", lambda payloads: calls.append(1) or many(payloads))
+    got = [[(f["at"], f["packet_seq"], f["error"]) for f in found] for found in canonical.frames_of(logs)]
+    header = canonical.HEADER_BYTES
+    assert got == [[(0, 1, None), (header + 5, None, "bad_crc")], [], [(0, 4, None), (header + 4, None, "torn_header")], [(0, 5, None)], [(0, None, "bad_magic")]]
+    assert len(calls) == 1
+    # One file of one row group: its frames are made by more than the task that reads it.
+    spark.range(1000).selectExpr("id AS event_id", "string(id) AS props").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = entry.queries()["payload_frames"](spark, str(tmp_path))
+        assert found.select(F.spark_partition_id()).distinct().count() > 1 and found.where("payload = string(event_id) AND packet_seq = event_id").count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.recursive(st.none() | st.booleans() | st.integers(-(2**53), 2**53) | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=4), x, max_size=3), max_leaves=8))
 def test_canonical_round_trip(value):
