@@ -32,7 +32,7 @@ HEADER = struct.Struct("<8s4Q")
 #: Value lengths of each control byte: the table that decoding looks up.
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2)[None, :] & 3).astype(np.uint8) + 1
 #: Pieces remembered by a worker before it starts over.
-CACHE = 300_000
+CACHE = 150_000
 #: Characters of texts that are encoded at once, about.
 UNIT = 2 << 20
 #: Bytes of ids a file holds before the next one begins.
