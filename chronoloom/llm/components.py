@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, measured
 
 
 def _lowest(links: DataFrame) -> DataFrame:
@@ -14,17 +14,19 @@ def _lowest(links: DataFrame) -> DataFrame:
     return links.join(least, "u")
 
 
+def _unfold(links: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v) of each of the named pairs of columns, in one pass: a union would plan, and run, all below it once a pair."""
+    ways = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])
+    return links.select(F.explode(ways).alias("way")).select("way.u", "way.v")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return _lowest(_unfold(links, ("u", "v"), ("v", "u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    starred = _lowest(down)
-    moved = starred.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = starred.select("u", F.col("m").alias("v"))
-    return moved.union(own).where("u != v").distinct()
+    starred = _lowest(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    return _unfold(starred, ("v", "m"), ("u", "m")).where("u != v").distinct()
 
 
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -38,17 +40,18 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
     twice; the number of rounds grows with the logarithm of the longest chain. Rounds are written to the shared folder, so no
     lineage piles up, and only a count and a checksum reach the driver.
     """
-    links = materialize(links.where("u is not null and v is not null and u != v").distinct(), name)
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), name)
+    return star_components(materialize(links.where("u is not null and v is not null and u != v").distinct(), name), name)
+
+
+def star_components(links: DataFrame, name: str = "components") -> DataFrame:
+    """:func:`connected_components` of links that are written already and have no loops, repeats and null ends."""
+    labels = materialize(_unfold(links, ("u", "v"), ("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), name)
     of = lambda end, named: labels.select(F.col("node").alias(end), F.col("label").alias(named))
     edges = links.join(of("u", "a"), "u").join(of("v", "b"), "v").where("a != b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    edges, seen = materialize(edges, name), None
-    while not edges.isEmpty():
-        edges = materialize(_small_star(_large_star(edges)), name)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
+    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    (edges, state), seen = measured(edges, name, mark=mark), None
+    while state["rows"] and state != seen:
+        seen = state
+        edges, state = measured(_small_star(_large_star(edges)), name, mark=mark)
     found = edges.select(F.col("u").alias("label"), F.col("v").alias("component"))
     return labels.join(found, "label", "left").select("node", F.coalesce("component", "label").alias("component"))

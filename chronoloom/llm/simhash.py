@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .storage import fresh_name, materialize
+from .components import connected_components, star_components
+from .storage import fresh_name, materialize, measured
 
 SEED = 42
 FANOUT = 8
@@ -419,8 +419,8 @@ def cross_pairs(codes: DataFrame, limit: int, similarity: float, low: int, high:
     return pairs.select(one.alias("u"), F.when(F.col("v").isNotNull(), F.greatest("u", "v")).alias("v")).distinct()
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, *, width: int, text_col: str = "text") -> DataFrame:
-    """(fingerprint, shingles, sketch) of one text for each of ``nodes`` (fingerprint, text_hash).
+def shingle_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, *, width: int, text_col: str = "text") -> DataFrame:
+    """(fingerprint, shingles, sketch) of one text for each of ``nodes`` (fingerprint, text_hash), ``n_nodes`` of them.
 
     ``shingles`` are distinct numbers of 32 bits; two shingles of a pair of texts share one by chance about once in 4,000
     pairs of texts of 1,000 words. ``sketch`` is their :func:`parity_sketch`.
@@ -435,7 +435,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, *, width: int, text_col: str
                 sketches.append(parity_sketch(hashes).astype(">u8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32())), pa.array(sketches, pa.binary())], names=["fingerprint", "shingles", "sketch"])
 
-    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes  # a row is a hash and a fingerprint
+    few = F.broadcast(nodes) if n_nodes <= BROADCAST_ROWS else nodes  # a row is a hash and a fingerprint
     texts = docs.select(_text_hash(text_col).alias("text_hash"), F.col(text_col).alias("t")).join(few, "text_hash")
     made = texts.select("fingerprint", "t").mapInArrow(run, "fingerprint binary, shingles array<int>, sketch binary")
     return made.dropDuplicates(["fingerprint"])
@@ -459,26 +459,29 @@ def _verified(docs: DataFrame, distinct: DataFrame, links: DataFrame, limit: int
     """
     how = {"lanes": lanes, "key_bits": key_bits, "tables": tables}
     loose = connected_components(links, "simhash-loose").select(F.col("node").alias("fingerprint"), F.col("component").alias("loose"))
-    nodes = materialize(loose.join(distinct, "fingerprint").select("fingerprint", "loose", "text_hash"), "simhash-nodes")
-    sets = materialize(shingle_sets(docs, nodes.select("fingerprint", "text_hash"), width=width, text_col=text_col), "shingle-sets")
+    nodes, state = measured(loose.join(distinct, "fingerprint").select("fingerprint", "loose", "text_hash"), "simhash-nodes")
+    sets = materialize(shingle_sets(docs, nodes.select("fingerprint", "text_hash"), state["rows"], width=width, text_col=text_col), "shingle-sets")
     tried = materialize(nearest_pairs(nodes.withColumns({"component": F.lit(b""), "sketch": F.lit(b"")}), limit, **how), "simhash-nearest")
-    fresh, parts, active, low, high = tried, nodes.select("fingerprint", "loose", F.col("fingerprint").alias("component")), None, 1, 4
+    fresh, parts, parted, active, low, high = tried, nodes.select("fingerprint", "loose", F.col("fingerprint").alias("component")), False, None, 1, 4
     while True:
         sure = similar_links(fresh, sets, similarity)
-        of = lambda node, name: parts.select(F.col("fingerprint").alias(node), F.col("component").alias(name))
-        sure = materialize(sure.join(of("u", "a"), "u").join(of("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "simhash-sure")
-        if not sure.isEmpty():
-            joined = connected_components(sure, "simhash-parts").select(F.col("node").alias("component"), F.col("component").alias("now"))
+        if parted:  # before that each code is its own component
+            of = lambda node, name: parts.select(F.col("fingerprint").alias(node), F.col("component").alias(name))
+            sure = sure.join(of("u", "a"), "u").join(of("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        sure, state = measured(sure.where("u != v").distinct(), "simhash-sure")
+        if state["rows"]:
+            joined = star_components(sure, "simhash-parts").select(F.col("node").alias("component"), F.col("component").alias("now"))
             parts = parts.join(joined, "component", "left").select("fingerprint", "loose", F.coalesce("now", "component").alias("component"))
-            parts = materialize(parts, "simhash-parted")
+            parts, parted = materialize(parts, "simhash-parted"), True
         several = parts.groupBy("loose").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("loose")
         open_ = parts.join(several if active is None else several.join(active, "loose"), "loose", "left_semi").join(sets.select("fingerprint", "sketch"), "fingerprint")
         named = F.unhex(F.lpad(F.hex(F.xxhash64("component")), 16, "0"))
-        met = materialize(cross_pairs(open_.withColumn("component", named), limit, similarity, low, high, **how), "simhash-met")
-        fresh = materialize(met.where("v is not null").join(tried, ["u", "v"], "left_anti"), "simhash-more")
-        far = met.where("v is null").select(F.col("u").alias("fingerprint"))
-        if fresh.isEmpty() and far.isEmpty():
+        pairs = cross_pairs(open_.withColumn("component", named), limit, similarity, low, high, **how)
+        met, state = measured(pairs, "simhash-met", far=F.count_if(F.col("v").isNull()))
+        fresh, more = measured(met.where("v is not null").join(tried, ["u", "v"], "left_anti"), "simhash-more")
+        if not more["rows"] and not state.get("far"):
             return parts.select("fingerprint", "component")
+        far = met.where("v is null").select(F.col("u").alias("fingerprint"))
         # Whole groups stay: what connects two codes may lie in other buckets.
         active = materialize(nodes.join(far, "fingerprint", "left_semi").select("loose").distinct(), "simhash-active")
         tried, low, high = tried.union(fresh), high, high * 16
@@ -502,6 +505,21 @@ def _whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield np.concatenate([k for k, _ in held]), np.concatenate([w for _, w in held])
 
 
+def _grouped(docs: DataFrame, *, width: int = 5, lanes: int = 4, limit: int = 46, key_bits: int | None = 20, similarity: float = 0.8, recall: float = 0.9, verify: bool = False, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints of the documents, (fingerprint, first, text_hash, component), (component, component_id): see :func:`near_duplicates`."""
+    coded = materialize(fingerprints(docs, width=width, lanes=lanes, id_col=id_col, text_col=text_col, once=verify), "fingerprints")
+    distinct = coded.groupBy("fingerprint").agg(F.min(id_col).alias("first"), F.min("text_hash").alias("text_hash"))
+    tables = 0 if key_bits is None else tables_for(similarity, key_bits, recall)
+    links = near_links(distinct, limit, key_bits=key_bits, tables=tables)
+    if verify:
+        groups = _verified(docs, distinct, links, limit, lanes=lanes, key_bits=key_bits, tables=tables, width=width, similarity=similarity, text_col=text_col)
+    else:
+        groups = connected_components(links, "simhash-links").select(F.col("node").alias("fingerprint"), "component")
+    owner = distinct.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    least = owner.groupBy("component").agg(F.min("first").alias("component_id"))
+    return coded, owner, least
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -530,16 +548,7 @@ def near_duplicates(
     without words, have the fingerprint zero and link like any other. Repeated rows each keep their row. A null
     id takes part; a group of null ids alone has a null component_id. Other columns are ignored.
     """
-    coded = materialize(fingerprints(docs, width=width, lanes=lanes, id_col=id_col, text_col=text_col, once=verify), "fingerprints")
-    distinct = coded.groupBy("fingerprint").agg(F.min(id_col).alias("first"), F.min("text_hash").alias("text_hash"))
-    tables = 0 if key_bits is None else tables_for(similarity, key_bits, recall)
-    links = near_links(distinct, limit, key_bits=key_bits, tables=tables)
-    if verify:
-        groups = _verified(docs, distinct, links, limit, lanes=lanes, key_bits=key_bits, tables=tables, width=width, similarity=similarity, text_col=text_col)
-    else:
-        groups = connected_components(links, "simhash-links").select(F.col("node").alias("fingerprint"), "component")
-    owner = distinct.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    least = owner.groupBy("component").agg(F.min("first").alias("component_id"))
+    coded, owner, least = _grouped(docs, width=width, lanes=lanes, limit=limit, key_bits=key_bits, similarity=similarity, recall=recall, verify=verify, id_col=id_col, text_col=text_col)
     names = owner.join(least, "component").select("fingerprint", "component_id")
     return coded.join(names, "fingerprint").select(id_col, F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
@@ -550,8 +559,8 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     Of rows that share an id, the one whose text hashes lowest stays. Columns are those of ``docs``. Rows with a
     null id are kept: they cannot be told apart by id.
     """
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    stay = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    _, _, least = _grouped(docs, id_col=id_col, text_col=text_col, **options)
+    stay = least.select(F.col("component_id").alias(id_col)).distinct()
     kept = docs.where(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi")
     order, copy = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)), fresh_name(docs, "copy")
     kept = kept.withColumn(copy, F.row_number().over(order)).where(F.col(copy) == 1).drop(copy)

@@ -219,6 +219,19 @@ def test_pipeline_near_copies_equal_brute_force(spark):
     assert kept == set(group)
 
 
+def test_near_copies_take_few_jobs(spark):
+    """Each job takes threads and buffers of the driver, on the smallest input too."""
+    texts = [words(60, i % 20) + (f" tail{i}" if i >= 20 else "") for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spark.sparkContext.setJobGroup("near-copies", "near copies")
+    try:
+        kept = simhash.drop_near_duplicates(docs, lanes=3, limit=48, key_bits=13, recall=0.9999, verify=True).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near-copies"))
+    assert sorted(r.doc_id for r in kept) == list(range(20)) and jobs <= 62, jobs
+
+
 def test_items_without_id_match(spark):
     one, two = words(30, 21), words(25, 22)
     docs = spark.createDataFrame([(1, "before " + one), (2, two), (3, words(40, 23))], "doc_id bigint, text string")
