@@ -269,6 +269,16 @@ def test_pieces_equal_whole_texts(tmp_path, monkeypatch):
             assert [p.tolist() for p in parts] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts[at : at + 700]]
 
 
+def test_pieces_are_learned_once(monkeypatch):
+    """Words that come back after 160,000 others are still known."""
+    tool, learned = tokens.PieceEncoder(queries.byte_bpe()), []
+    learn = tool._learn
+    monkeypatch.setattr(tool, "_learn", lambda pieces: (learned.append(len(pieces)), learn(pieces)))
+    first, second = (" ".join(f"{c}{i}" for i in range(160_000)) for c in "xy")
+    made = [tool.encode([text], 2)[0] for text in (first, second, first)]
+    assert np.array_equal(made[0], made[2]) and sum(learned) < 330_000
+
+
 def test_encoding_gives_arrow_memory_back():
     """In a process of its own, as a worker that outlives its tasks: what Arrow keeps of units that are done."""
     code = """
