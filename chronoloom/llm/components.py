@@ -14,19 +14,19 @@ def _lowest(links: DataFrame) -> DataFrame:
     return links.join(least, "u")
 
 
-def _unfold(links: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
-    """(u, v) of each of the named pairs of columns, in one pass: a union would plan, and run, all below it once a pair."""
-    ways = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])
-    return links.select(F.explode(ways).alias("way")).select("way.u", "way.v")
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    return _lowest(_unfold(links, ("u", "v"), ("v", "u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    return _lowest(_both_ways(links)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     starred = _lowest(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    return _unfold(starred, ("v", "m"), ("u", "m")).where("u != v").distinct()
+    # A union would plan, and run, all that lies below it twice.
+    way = F.explode(F.array(*[F.struct(F.col(node).alias("u"), F.col("m").alias("v")) for node in ("v", "u")]))
+    return starred.select(way.alias("way")).select("way.u", "way.v").where("u != v").distinct()
 
 
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -45,7 +45,7 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
 
 def star_components(links: DataFrame, name: str = "components") -> DataFrame:
     """:func:`connected_components` of links that are written already and have no loops, repeats and null ends."""
-    labels = materialize(_unfold(links, ("u", "v"), ("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), name)
+    labels = materialize(_both_ways(links).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), name)
     of = lambda end, named: labels.select(F.col("node").alias(end), F.col("label").alias(named))
     edges = links.join(of("u", "a"), "u").join(of("v", "b"), "v").where("a != b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
