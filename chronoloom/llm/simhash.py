@@ -27,6 +27,8 @@ FRONTIER = 1 << 16
 PARITY = 512
 #: Hashes of the texts whose shingles are compared that are broadcast at most.
 BROADCAST_ROWS = 500_000
+#: Tables whose buckets give the pairs that are verified first; all tables serve after them.
+FOREST_TABLES = 8
 _ONES = np.uint64(0x0101010101010101)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -204,28 +206,23 @@ def link_bucket(codes: np.ndarray, limit: int, known: np.ndarray | None = None)
     return labels.of
 
 
-def exact_keys(codes: np.ndarray, limit: int) -> np.ndarray:
-    """(n, tables) bucket keys under which any two codes within ``limit`` bits meet at least once.
+def exact_masks(lanes: int, limit: int) -> np.ndarray:
+    """(tables, lanes) bits of the bucket keys under which any two codes within ``limit`` bits meet at least once.
 
     The bits are cut into limit + 2 blocks; at least two of them are untouched, so there is a table for every
     pair of blocks.
     """
-    lanes, blocks = codes.shape[1], limit + 2
+    blocks = limit + 2
     owner = np.arange(64 * lanes) * blocks // (64 * lanes)
-    masks = []
-    for i in range(blocks):
-        for j in range(i):
-            bits = np.packbits((owner == i) | (owner == j)).view(">u8").astype(np.uint64)
-            masks.append(bits)
-    return _keys(codes, masks)
+    return np.stack([np.packbits((owner == i) | (owner == j)).view(">u8").astype(np.uint64) for i in range(blocks) for j in range(i)])
 
 
-def sampled_keys(codes: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """(n, tables) bucket keys of ``bits`` bit positions each, dealt from shuffled positions of a fixed seed.
+def sampled_masks(lanes: int, bits: int, tables: int) -> np.ndarray:
+    """(tables, lanes) of ``bits`` bit positions each, dealt from shuffled positions of a fixed seed.
 
     All positions serve in about as many tables, so no pair depends on a few that serve in many.
     """
-    lanes, draw, masks, deck = codes.shape[1], np.random.default_rng(SEED), [], np.empty(0, np.int64)
+    draw, masks, deck = np.random.default_rng(SEED), [], np.empty(0, np.int64)
     for _ in range(tables):
         if len(deck) < bits:
             deck = draw.permutation(64 * lanes)
@@ -233,10 +230,11 @@ def sampled_keys(codes: np.ndarray, bits: int, tables: int) -> np.ndarray:
         on[deck[:bits]] = 1
         deck = deck[bits:]
         masks.append(np.packbits(on).view(">u8").astype(np.uint64))
-    return _keys(codes, masks)
+    return np.stack(masks)
 
 
-def _keys(codes: np.ndarray, masks: list[np.ndarray]) -> np.ndarray:
+def bucket_keys(codes: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """(n, tables) hashes of the bits that each mask leaves of a code, and of the number of the table."""
     out = np.empty((len(codes), len(masks)), np.int64)
     for t, mask in enumerate(masks):
         x = np.full(len(codes), t + 1, np.uint64)
@@ -247,6 +245,14 @@ def _keys(codes: np.ndarray, masks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def first_table(codes: np.ndarray, others: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """The first of the tables in which each code has the key of its other, 0 if there is none."""
+    found = np.zeros(len(codes), np.int64)
+    for at in range(0, len(codes), 4096):
+        found[at : at + 4096] = np.argmin(((codes[at : at + 4096] ^ others[at : at + 4096])[:, None, :] & masks).any(axis=2), axis=1)
+    return found
+
+
 def _codes(column: pa.Array) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), ">u8").astype(np.uint64).reshape(len(values), -1)
@@ -301,7 +307,7 @@ def near_links(codes: DataFrame, limit: int, *, key_bits: int | None = None, tab
     """(u, v): links that connect what differs in ``limit`` or fewer bits, of the distinct column ``fingerprint``.
 
     Each bucket gives a spanning forest, never all of its pairs. With ``key_bits`` None the buckets are
-    lossless (:func:`exact_keys`); otherwise ``tables`` sampled keys deal the fingerprints.
+    lossless (:func:`exact_masks`); otherwise ``tables`` sampled keys deal the fingerprints.
     """
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +315,7 @@ def near_links(codes: DataFrame, limit: int, *, key_bits: int | None = None, tab
             if not batch.num_rows:
                 continue
             words = _codes(batch.column(0))
-            keys = exact_keys(words, limit) if key_bits is None else sampled_keys(words, key_bits, tables)
+            keys = bucket_keys(words, exact_masks(words.shape[1], limit) if key_bits is None else sampled_masks(words.shape[1], key_bits, tables))
             for t in range(keys.shape[1]):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), batch.column(0)], names=["key", "fingerprint"])
 
@@ -338,68 +344,82 @@ def near_links(codes: DataFrame, limit: int, *, key_bits: int | None = None, tab
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "u binary, v binary").distinct()
 
 
-def _dealt(codes: DataFrame, *, lanes: int, limit: int, key_bits: int | None, tables: int) -> DataFrame:
-    """(key, both): the columns (fingerprint, component, sketch) of ``codes``, joined, under every bucket key."""
+def _dealt(codes: DataFrame, masks: np.ndarray) -> DataFrame:
+    """(key, both): the columns (fingerprint, component, sketch) of ``codes``, joined, under every bucket key of their ``loose`` group.
+
+    Codes of two groups are never within the limit. Apart from each other they keep their places in a bucket when another
+    group is done, and a bucket grows with its group, not with the table. The last 16 bits of a key are the table's number.
+    """
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words = np.ascontiguousarray(_codes(batch.column(0))[:, :lanes])
-            keys = exact_keys(words, limit) if key_bits is None else sampled_keys(words, key_bits, tables)
+            words = np.ascontiguousarray(_codes(batch.column(0))[:, : masks.shape[1]])
+            keys = (bucket_keys(words, masks) ^ batch.column(1).to_numpy()[:, None]) & ~0xFFFF | np.arange(len(masks))
             for t in range(keys.shape[1]):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), batch.column(0)], names=["key", "both"])
 
-    rows = codes.select(F.concat("fingerprint", "component", "sketch").alias("both")).mapInArrow(deal, "key bigint, both binary")
+    named = F.unhex(F.lpad(F.hex(F.xxhash64("component")), 16, "0"))
+    rows = codes.select(F.concat("fingerprint", named, "sketch").alias("both"), F.xxhash64("loose")).mapInArrow(deal, "key bigint, both binary")
     return rows.repartition("key").sortWithinPartitions("key")
 
 
-def _buckets(batches: Iterable[pa.RecordBatch], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(codes, the rest of each row, end of the bucket of each code) in pieces of whole buckets, each bucket in Gray order."""
+def _open_buckets(batches: Iterable[pa.RecordBatch], lanes: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(codes, components, sketches, end of the bucket and table of each code) of the buckets with several components, each in Gray order."""
     for keys, both in _whole_runs(batches):
         order = gray_order(np.concatenate([keys.view(np.uint64)[:, None], both[:, :lanes]], axis=1))
         # The key leads the rank, so buckets stay together; only whether two keys are equal matters.
         keys, both = keys[order], both[order]
-        ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1
-        yield both[:, :lanes], both[:, lanes:], np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        sizes, parts = np.diff(np.append(starts, len(keys))), both[:, lanes]
+        several = np.minimum.reduceat(parts, starts) != np.maximum.reduceat(parts, starts) if len(starts) else np.empty(0, bool)
+        if several.any():
+            stay, sizes = np.repeat(several, sizes), sizes[several]
+            both, table = both[stay], keys[stay] & 0xFFFF
+            yield np.ascontiguousarray(both[:, :lanes]), both[:, lanes], np.ascontiguousarray(both[:, lanes + 1 :]), np.repeat(np.cumsum(sizes), sizes), table
 
 
 def _packed_words(words: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes() for x in words.astype(">u8")], pa.binary())
 
 
-def nearest_pairs(codes: DataFrame, limit: int, *, lanes: int, key_bits: int | None, tables: int) -> DataFrame:
-    """(u, v): each code with one that is nearest among its neighbours in the Gray order of its buckets, within ``limit``."""
+def forest_pairs(codes: DataFrame, limit: int, similarity: float, masks: np.ndarray) -> DataFrame:
+    """(u, v): pairs up to ``FANOUT`` places apart in a bucket that would connect what :func:`cross_pairs` can find there.
+
+    A pair whose ends other pairs of the bucket connect already is left out, so rows grow with the codes and not with their
+    pairs. What is left out for a pair that does not verify is found by :func:`cross_pairs` later.
+    """
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, _, run in _buckets(batches, lanes):
-            least, mate = np.full(len(words), limit + 1), np.full(len(words), -1)
-            left = np.arange(len(words))
+        for words, parts, sketch, run, _ in _open_buckets(batches, masks.shape[1]):
+            labels, left = Labels(len(words)), np.arange(len(words))
             for step in range(1, FANOUT + 1):
                 left = left[left + step < run[left]]
-                apart = popcount(words[left] ^ words[left + step])
-                for at, other in ((left, left + step), (left + step, left)):
-                    nearer = apart < least[at]
-                    least[at[nearer]], mate[at[nearer]] = apart[nearer], other[nearer]
-            at = np.flatnonzero(mate >= 0)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([_packed_words(words[at]), _packed_words(words[mate[at]]), pa.array(least[at])], names=["u", "v", "apart"])
+                at = left[(parts[left] != parts[left + step]) & (labels.of[left] != labels.of[left + step])]
+                at = at[popcount(words[at] ^ words[at + step]) <= limit]
+                at = at[maybe_similar(sketch[at], sketch[at + step], similarity)]
+                if len(at):
+                    ends = np.sort(np.stack([labels.of[at], labels.of[at + step]]), axis=0)
+                    at = at[np.unique(ends, axis=1, return_index=True)[1]]
+                    labels.join(at, at + step)
+                    yield pa.RecordBatch.from_arrays([_packed_words(words[at]), _packed_words(words[at + step])], names=["u", "v"])
 
-    dealt = _dealt(codes, lanes=lanes, limit=limit, key_bits=key_bits, tables=tables)
-    met = dealt.mapInArrow(compare, "u binary, v binary, apart bigint").groupBy("u").agg(F.min(F.struct("apart", "v")).alias("n"))
-    return met.select(F.least("u", "n.v").alias("u"), F.greatest("u", "n.v").alias("v")).distinct()
+    pairs = _dealt(codes, masks).mapInArrow(compare, "u binary, v binary")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def cross_pairs(codes: DataFrame, limit: int, similarity: float, low: int, high: int, *, lanes: int, key_bits: int | None, tables: int) -> DataFrame:
+def cross_pairs(codes: DataFrame, limit: int, similarity: float, low: int, high: int, masks: np.ndarray) -> DataFrame:
     """(u, v): pairs ``low`` to ``high`` - 1 places apart in a bucket that differ in ``limit`` or fewer bits, whose parity
     sketches allow that similarity, and which lie in two components.
 
+    A pair comes from the first table that has it in a bucket, and its places there stay, so over all ranges it is made once.
     A row with null v names a code of a bucket that holds pairs further apart.
     """
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, rest, run in _buckets(batches, lanes):
-            parts, sketch, left = rest[:, 0], np.ascontiguousarray(rest[:, 1:]), np.arange(len(words))
+        for words, parts, sketch, run, table in _open_buckets(batches, masks.shape[1]):
+            left = np.arange(len(words))
             for step in range(low, high):
                 left = left[left + step < run[left]]
                 if not len(left):
@@ -407,14 +427,15 @@ def cross_pairs(codes: DataFrame, limit: int, similarity: float, low: int, high:
                 at = left[parts[left] != parts[left + step]]
                 at = at[popcount(words[at] ^ words[at + step]) <= limit]
                 at = at[maybe_similar(sketch[at], sketch[at + step], similarity)]
+                at = at[first_table(words[at], words[at + step], masks) == table[at]]
                 if len(at):
                     yield pa.RecordBatch.from_arrays([_packed_words(words[at]), _packed_words(words[at + step])], names=["u", "v"])
-            size = np.bincount(run, minlength=len(run) + 1)[run]
-            far = np.flatnonzero(size > high)
+            ends, sizes = np.unique(run, return_counts=True)
+            far = ends[sizes > high] - 1
             if len(far):
                 yield pa.RecordBatch.from_arrays([_packed_words(words[far]), pa.nulls(len(far), pa.binary())], names=["u", "v"])
 
-    pairs = _dealt(codes, lanes=lanes, limit=limit, key_bits=key_bits, tables=tables).mapInArrow(compare, "u binary, v binary")
+    pairs = _dealt(codes, masks).mapInArrow(compare, "u binary, v binary")
     one = F.when(F.col("v").isNull(), F.col("u")).otherwise(F.least("u", "v"))
     return pairs.select(one.alias("u"), F.when(F.col("v").isNotNull(), F.greatest("u", "v")).alias("v")).distinct()
 
@@ -453,16 +474,17 @@ def similar_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataF
 def _verified(docs: DataFrame, distinct: DataFrame, links: DataFrame, limit: int, *, lanes: int, key_bits: int | None, tables: int, width: int, similarity: float, text_col: str) -> DataFrame:
     """(fingerprint, component) of what pairs of that similarity or more connect, of all pairs within ``limit`` bits in a bucket.
 
-    Every text is verified against its nearest neighbour first. Where that leaves several components of what the index
+    A forest of likely pairs of some tables is verified first. Where that leaves several components of what the index
     has linked, pairs between them are verified, near ones in Gray order before those 16 times as far apart, until no
     pair of a bucket is left; pairs inside a component would add nothing and are not made.
     """
-    how = {"lanes": lanes, "key_bits": key_bits, "tables": tables}
+    masks = exact_masks(lanes, limit) if key_bits is None else sampled_masks(lanes, key_bits, tables)
     loose = connected_components(links, "simhash-loose").select(F.col("node").alias("fingerprint"), F.col("component").alias("loose"))
     nodes, state = measured(loose.join(distinct, "fingerprint").select("fingerprint", "loose", "text_hash"), "simhash-nodes")
     sets = materialize(shingle_sets(docs, nodes.select("fingerprint", "text_hash"), state["rows"], width=width, text_col=text_col), "shingle-sets")
-    tried = materialize(nearest_pairs(nodes.withColumns({"component": F.lit(b""), "sketch": F.lit(b"")}), limit, **how), "simhash-nearest")
-    fresh, parts, parted, active, low, high = tried, nodes.select("fingerprint", "loose", F.col("fingerprint").alias("component")), False, None, 1, 4
+    sketched = nodes.join(sets.select("fingerprint", "sketch"), "fingerprint").withColumn("component", F.col("fingerprint"))
+    tried = materialize(forest_pairs(sketched, limit, similarity, masks[:FOREST_TABLES]), "simhash-forest")
+    fresh, parts, parted, active, low, high = tried, nodes.select("fingerprint", "loose", F.col("fingerprint").alias("component")), False, None, 1, 16
     while True:
         sure = similar_links(fresh, sets, similarity)
         if parted:  # before that each code is its own component
@@ -475,8 +497,7 @@ def _verified(docs: DataFrame, distinct: DataFrame, links: DataFrame, limit: int
             parts, parted = materialize(parts, "simhash-parted"), True
         several = parts.groupBy("loose").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("loose")
         open_ = parts.join(several if active is None else several.join(active, "loose"), "loose", "left_semi").join(sets.select("fingerprint", "sketch"), "fingerprint")
-        named = F.unhex(F.lpad(F.hex(F.xxhash64("component")), 16, "0"))
-        pairs = cross_pairs(open_.withColumn("component", named), limit, similarity, low, high, **how)
+        pairs = cross_pairs(open_, limit, similarity, low, high, masks)
         met, state = measured(pairs, "simhash-met", far=F.count_if(F.col("v").isNull()))
         fresh, more = measured(met.where("v is not null").join(tried, ["u", "v"], "left_anti"), "simhash-more")
         if not more["rows"] and not state.get("far"):
@@ -484,7 +505,7 @@ def _verified(docs: DataFrame, distinct: DataFrame, links: DataFrame, limit: int
         far = met.where("v is null").select(F.col("u").alias("fingerprint"))
         # Whole groups stay: what connects two codes may lie in other buckets.
         active = materialize(nodes.join(far, "fingerprint", "left_semi").select("loose").distinct(), "simhash-active")
-        tried, low, high = tried.union(fresh), high, high * 16
+        low, high = high, high * 16
 
 
 def _whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -219,6 +219,75 @@ def test_pipeline_near_copies_equal_brute_force(spark):
     assert kept == set(group)
 
 
+def compared_rows(spark, since):
+    """Rows that the tasks which compare codes have made, after the execution ``since``, and the number of the last execution."""
+    store, rows, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    runs = store.executionsList().iterator()
+    while runs.hasNext():
+        number = runs.next().executionId()
+        if number <= since:
+            continue
+        last, values, nodes = max(last, number), store.executionMetrics(number), store.planGraph(number).allNodes().iterator()
+        while nodes.hasNext():
+            node = nodes.next()
+            metrics = node.metrics().iterator()
+            while "MapInArrow compare(" in node.desc() and metrics.hasNext():
+                metric = metrics.next()
+                if metric.name() == "number of output rows" and values.get(metric.accumulatorId()).isDefined():
+                    rows += int(values.get(metric.accumulatorId()).get().replace(",", ""))
+    return rows, last
+
+
+def test_a_large_group_of_near_copies_makes_few_rows(spark):
+    """Copies on both sides of the limit: each meets hundreds in dozens of tables."""
+    draw = np.random.default_rng(5)
+    base, texts = draw.integers(0, 3000, 150), []
+    for _ in range(400):
+        copy, n = base.copy(), draw.integers(0, 9)
+        copy[draw.integers(0, 150, n)] = draw.integers(0, 3000, n)
+        texts.append([f"w{x}" for x in copy])
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    docs.count()
+    _, since = compared_rows(spark, -1)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs, lanes=3, limit=48, key_bits=13, recall=0.9999, verify=True).collect()}
+    rows, _ = compared_rows(spark, since)
+    assert kept == set(group) and 0 < rows <= 10 * len(texts), rows
+
+
+def test_near_copies_of_one_table_equal_brute_force(spark):
+    """One bit makes two buckets of many groups: every pair within the limit that shares one must be tried, however far apart."""
+    draw, texts = np.random.default_rng(11), []
+    for _ in range(60):
+        base = draw.integers(0, 1 << 40, 100)
+        for _ in range(12):
+            copy, n = base.copy(), draw.integers(0, 7)
+            copy[draw.integers(0, 100, n)] = draw.integers(0, 1 << 40, n)
+            texts.append(" ".join(f"w{x}" for x in copy))
+    hashes = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    codes = np.stack([simhash.fingerprint(h, 3) for h in hashes])
+    deck = np.random.default_rng(simhash.SEED).permutation(192)  # the one table takes its first bit
+    bits = np.unpackbits(codes.astype(">u8").view(np.uint8).reshape(len(codes), -1), axis=1)
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in np.flatnonzero((bits[:a, deck[0]] == bits[a, deck[0]]) & ((bits[:a] != bits[a]).sum(axis=1) <= 48)):
+            shared = len(np.intersect1d(hashes[a], hashes[b]))
+            if 5 * shared >= 4 * (len(hashes[a]) + len(hashes[b]) - shared) or (codes[a] == codes[b]).all():
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    assert simhash.tables_for(0.8, 1, 0.5) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs, lanes=3, limit=48, key_bits=1, recall=0.5, verify=True).collect()}
+    assert kept == set(group), (sorted(kept - set(group)), sorted(set(group) - kept))
+
+
 def test_near_copies_take_few_jobs(spark):
     """Each job takes threads and buffers of the driver, on the smallest input too."""
     texts = [words(60, i % 20) + (f" tail{i}" if i >= 20 else "") for i in range(60)]
